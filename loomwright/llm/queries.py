@@ -21,4 +21,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_simhash": op7_simhash}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
+QUERIES = {"op7_simhash": op7_simhash, "op8_packing": op8_packing}
