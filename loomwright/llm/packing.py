@@ -81,7 +81,7 @@ def plan_patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tup
 def _plan(histogram: dict[int, int], size: int, depth: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths that share a sequence, with their number, covering the histogram.
 
-    Longest first; the gap is filled exactly by a single length, a pair or a triple
+    Singles before pairs before triples, longest first; the gap is filled exactly by a single length, a pair or a triple
     looked up by its sum, as often as the counts allow. What has no exact complement
     goes best-fit: each length into the smallest gap that takes it.
     """
@@ -104,18 +104,16 @@ def _plan(histogram: dict[int, int], size: int, depth: int) -> list[tuple[tuple[
             left[n] -= times
         plan.append((use, times))
 
-    for long in lengths:
-        gap = size - long
-        if left[long] and (k := most((long, gap))):
-            take((long, gap), k)
-        for a, b in pairs[gap] if left[long] and depth > 1 else ():
-            if k := most((long, a, b)):
-                take((long, a, b), k)
-        if left[long] and depth > 2:
-            for a in lengths:
-                if not left[long]:
-                    break
-                if a <= gap and left[a]:
+    for parts in range(1, depth + 1):
+        for long in lengths:
+            gap = size - long
+            if parts == 1 and left[long] and (k := most((long, gap))):
+                take((long, gap), k)
+            for a, b in pairs[gap] if parts == 2 else ():
+                if left[long] and (k := most((long, a, b))):
+                    take((long, a, b), k)
+            for a in lengths if parts == 3 else ():
+                if left[long] and a <= gap and left[a]:
                     for b, c in pairs.get(gap - a, ()):
                         if b <= a and (k := most((long, a, b, c))):
                             take((long, a, b, c), k)

@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.toxicity import toxicity
+
+    rows = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwright.llm.simhash import big_endian, simhash_components
 
@@ -29,4 +36,4 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_simhash": op7_simhash, "op8_packing": op8_packing}
+QUERIES = {"op3_toxicity": op3_toxicity, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
