@@ -17,6 +17,17 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each repeated passage: place and length in words, and the document that keeps it."""
+    from loomwright.llm.suffix import repeats
+
+    spans = repeats(table(spark, sf_dir, "documents")).select("id", F.explode("spans").alias("s"))
+    return spans.select(
+        F.col("id").alias("doc_id"), F.col("s.start").alias("first_word"), (F.col("s.stop") - F.col("s.start")).alias("n_words"),
+        F.col("s.other").alias("kept_in_doc_id"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwright.llm.simhash import big_endian, simhash_components
 
@@ -36,4 +47,4 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
+QUERIES = {"op3_toxicity": op3_toxicity, "op5_suffix": op5_suffix, "op7_simhash": op7_simhash, "op8_packing": op8_packing}

@@ -15,8 +15,10 @@ LENGTHS = (3, 4, 5, 6)
 FIT_ROWS = 6000
 #: Added to each count of the log-count ratio.
 SMOOTH = 1.0
+#: Fewest fitted rows that hold an n-gram of the model.
+MIN_ROWS = 8
 #: Weight of the squared coefficients against the summed loss.
-RIDGE = 1.0
+RIDGE = 30.0
 
 
 @dataclass(frozen=True)
@@ -79,7 +81,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     # rates per class, so that a rare class has no overall shift
     ratio = np.log((pos / (y.sum() + SMOOTH)) / (neg / ((1 - y).sum() + SMOOTH)))
     total = pos + neg - 2 * SMOOTH
-    ratio[total < 2] = 0.0
+    ratio[total < MIN_ROWS] = 0.0
     keep = ratio[flat] != 0
     flat, owner = flat[keep], owner[keep]
     scale = ratio[flat]
