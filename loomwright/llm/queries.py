@@ -17,6 +17,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.bpe import encode
+
+    return encode(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each repeated passage: place and length in words, and the document that keeps it."""
     from loomwright.llm.suffix import repeats
@@ -47,4 +55,4 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op5_suffix": op5_suffix, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
+QUERIES = {"op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_suffix": op5_suffix, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
