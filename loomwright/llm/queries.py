@@ -10,6 +10,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.common import scratch_path
+    from loomwright.llm.warc import archive_pages, page_id
+
+    records = archive_pages(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return records.select(
+        page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id("refers_to").alias("refers_to"),
+        "valid",
+    )
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwright.llm.toxicity import toxicity
 
@@ -55,4 +66,4 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_suffix": op5_suffix, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
+QUERIES = {"op1_warc": op1_warc, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_suffix": op5_suffix, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
