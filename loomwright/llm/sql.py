@@ -16,3 +16,53 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        true AS valid
 FROM f
 """
+
+ORACLES["op9_urls"] = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+         regexp_extract(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) AS link,
+         regexp_extract(coalesce(html, ''), '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) AS meta
+  FROM pages
+), raw AS (
+  SELECT url AS a, replace(regexp_extract(link, '(?is)\bhref\s*=\s*["'']?([^"''\s>]*)', 1), '&amp;', '&') AS t FROM p WHERE url IS NOT NULL
+  UNION ALL
+  SELECT url, replace(regexp_extract(meta, '(?is)\burl\s*=\s*["'']?([^"''\s>;]*)', 1), '&amp;', '&') FROM p WHERE url IS NOT NULL
+), edge AS (
+  SELECT DISTINCT a, b FROM (
+    SELECT a, CASE WHEN starts_with(t, '//') THEN regexp_extract(a, '^([^:/?#]*:)', 1) || t
+                   WHEN starts_with(t, '/') THEN regexp_extract(a, '^([^:/?#]*://[^/?#]*)', 1) || t ELSE t END AS b
+    FROM raw WHERE t <> '') WHERE strpos(b, '://') > 0 AND a <> b
+), both_ways AS (
+  SELECT a, b FROM edge UNION SELECT b, a FROM edge
+), reach AS (
+  SELECT a AS x, b AS y FROM both_ways UNION SELECT r.x, e.b FROM reach r JOIN both_ways e ON r.y = e.a
+), parts AS (
+  SELECT u, substr(u, strpos(u, '://') + 3) AS rest FROM (SELECT DISTINCT y AS u FROM reach)
+), judged AS (
+  SELECT u, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), own AS (
+  SELECT u, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'allow'
+                 WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'block'
+                 WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'allow'
+                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'block' END AS v FROM judged
+), spread AS (
+  SELECT r.x AS u FROM reach r JOIN own o ON r.y = o.u GROUP BY r.x
+  HAVING bool_or(coalesce(o.v, '') = 'block') AND NOT bool_or(coalesce(o.v, '') = 'allow')
+), q AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p
+), r AS (
+  SELECT page_id, url, host, path,
+         CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+              WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+              WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+              WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM q
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN url IN (SELECT u FROM spread) THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
