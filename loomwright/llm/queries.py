@@ -72,4 +72,10 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op9_urls": op9_urls, "op1_warc": op1_warc, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_suffix": op5_suffix, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op6_html": op6_html, "op9_urls": op9_urls, "op1_warc": op1_warc, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_suffix": op5_suffix, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
