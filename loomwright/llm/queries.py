@@ -78,4 +78,16 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op6_html": op6_html, "op9_urls": op9_urls, "op1_warc": op1_warc, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_suffix": op5_suffix, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(100)) == 0)
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.embed_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+QUERIES = {"op2_topk": op2_topk, "op10_embeddings": op10_embeddings, "op6_html": op6_html, "op9_urls": op9_urls, "op1_warc": op1_warc, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_suffix": op5_suffix, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
