@@ -9,7 +9,9 @@ workers. Words outside it are merged exactly, pair of least rank first.
 from __future__ import annotations
 
 import functools
+import gc
 import json
+import math
 import mmap
 import os
 import re
@@ -25,12 +27,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.common import cut
+
 #: Words in the lexicon: the most frequent ones of the corpus, ties to the smaller word.
 LEXICON_WORDS = 40_000
 #: Words that a worker remembers, and that it counts before it passes the counts on.
 REMEMBERED = 300_000
 #: Longest word in bytes that is counted or remembered; longer ones are merged each time.
 LONGEST = 256
+_NEVER = 1 << 60
 
 
 def byte_symbols() -> list[str]:
@@ -44,6 +49,10 @@ def byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+#: Below U+0180 all is assigned, composed, and folded one to one, but for U+0130.
+_BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
+
+
 @functools.cache
 def unassigned() -> re.Pattern:
     """A class of all code points without a category here."""
@@ -70,20 +79,31 @@ class WordBpe:
         self.suffix: str = model["end_of_word_suffix"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        rule = split["pattern"]["Regex"]
+        self.pattern = regex.compile(rule)
+        letters, digits = ("".join(chr(c) for c in range(0x180) if unicodedata.category(chr(c))[0] == k) for k in "LN")
+        self.ascii, self.latin = (
+            re.compile(
+                rule.replace(r"\s", r" \t\n\r\x0b\x0c\x85\xa0").replace(r"\p{L}", "".join(c for c in letters if ord(c) < top)).replace(r"\p{N}", "".join(c for c in digits if ord(c) < top))
+            ).findall
+            for top in (0x80, 0x180)
+        )
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")")
         self.symbols = byte_symbols()
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.specials.items()}
         self.path, self.library = path, None
 
     def words(self, text: str) -> list[str]:
-        """Words of a text without special tokens."""
-        if not text.isascii():
-            if unassigned().search(text):
-                return self._library_words(text)
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # each character is folded by itself, without the final form of sigma
-                text = text.replace("Σ", "σ")
+        """Words of a text without special tokens: by a pattern for ASCII, one for Latin letters, or in full."""
+        if text.isascii():
+            return self.ascii(text.lower())
+        if not _BEYOND_LATIN.search(text):
+            return self.latin(text.lower())
+        if unassigned().search(text):
+            return self._library_words(text)
+        text = unicodedata.normalize("NFC", text)
+        if "Σ" in text:  # each character is folded by itself, without the final form of sigma
+            text = text.replace("Σ", "σ")
         return self.pattern.findall(text.lower())
 
     def _library_words(self, text: str) -> list[str]:
@@ -111,23 +131,16 @@ class WordBpe:
         """Ids of one word: the pair of least rank, leftmost first, until none is left."""
         seq = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
         seq[-1] += self.suffix
-        while len(seq) > 1:
-            best, pair = None, None
-            for p in zip(seq, seq[1:]):
-                r = self.ranks.get(p)
-                if r is not None and (best is None or r < best):
-                    best, pair = r, p
-            if pair is None:
-                break
-            out, n = [], 0
-            while n < len(seq):
-                if n + 1 < len(seq) and (seq[n], seq[n + 1]) == pair:
-                    out.append(seq[n] + seq[n + 1])
-                    n += 2
-                else:
-                    out.append(seq[n])
-                    n += 1
-            seq = out
+        rank = self.ranks.get
+        ranks = [rank(p, _NEVER) for p in zip(seq, seq[1:])]
+        while ranks and (least := min(ranks)) < _NEVER:
+            n = ranks.index(least)
+            seq[n : n + 2] = [seq[n] + seq[n + 1]]
+            del ranks[n]
+            if n < len(ranks):
+                ranks[n] = rank((seq[n], seq[n + 1]), _NEVER)
+            if n:
+                ranks[n - 1] = rank((seq[n - 1], seq[n]), _NEVER)
         return [self.vocab[s] for s in seq if s in self.vocab]
 
     def decode(self, ids: list[int]) -> str:
@@ -214,17 +227,17 @@ class Lexicon:
 
 
 class _Encoder(dict):
-    """word -> (number of tokens, ids as text, tokens as text)."""
+    """word -> (ids as text, tokens as text)."""
 
     def __init__(self, bpe: WordBpe, lexicon: Lexicon | None):
         super().__init__()
         self.bpe, self.lexicon = bpe, lexicon
 
-    def __missing__(self, word: str) -> tuple[int, str, str]:
+    def __missing__(self, word: str) -> tuple[str, str]:
         ids = self.lexicon.get(word.encode("utf-8", "surrogatepass")) if self.lexicon else None
         if ids is None:
             ids = self.bpe.merge(word)
-        found = (len(ids), " ".join(map(str, ids)), self.bpe.decode(ids))
+        found = (" ".join(map(str, ids)), self.bpe.decode(ids))
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -235,13 +248,20 @@ class _Encoder(dict):
         found = []
         for special, words in self.bpe.parts(text):
             if special:
-                found.append((1, str(self.bpe.specials[words[0]]), words[0]))
+                found.append((str(self.bpe.specials[words[0]]), words[0]))
             else:
-                found += map(self.__getitem__, words)
+                found += [self[w] for w in words]
         if not found:
             return 0, "", ""
-        counts, ids, tokens = zip(*found, strict=True)
-        return sum(counts), " ".join(filter(None, ids)), " ".join(filter(None, tokens))
+        ids = " ".join([f[0] for f in found])
+        return ids.count(" ") + 1, ids, " ".join([f[1] for f in found])
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str, name: str) -> _Encoder:
+    """Kept by a Python worker from task to task."""
+    gc.disable()  # nothing here makes reference cycles, and millions of small tuples slow the collector
+    return _Encoder(WordBpe(path), Lexicon(SparkFiles.get(name)))
 
 
 def default_path() -> str:
@@ -255,6 +275,7 @@ def word_counts(df: DataFrame, text_col: str, path: str) -> DataFrame:
 
     def run(batches):
         bpe, counts = WordBpe(path), Counter()
+        gc.disable()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for special, words in bpe.parts(text or ""):
@@ -275,7 +296,15 @@ def word_counts(df: DataFrame, text_col: str, path: str) -> DataFrame:
 
 def build_lexicon(df: DataFrame, text_col: str, path: str, size: int = LEXICON_WORDS) -> str:
     """Compile the `size` most frequent words, ship the file to the executors, return its name."""
-    top = word_counts(df, text_col, path).orderBy(F.desc("n"), "word").limit(size).collect()  # at most `size` rows
+    counts = cut(word_counts(df, text_col, path).where("n > 1"), "words")
+    # the count that the last word of the lexicon has, to a sixteenth of a power of two, from a few hundred sums
+    steps = counts.groupBy(F.floor(F.log2("n") * 16).alias("step")).count().orderBy(F.desc("step")).collect()
+    seen, least = 0, 0
+    for step, n in steps:
+        seen, least = seen + n, step
+        if seen >= size:
+            break
+    top = counts.where(F.col("n") >= math.floor(2 ** (least / 16))).orderBy(F.desc("n"), "word").limit(size).collect()  # at most `size` rows
     bpe = WordBpe(path)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     local = os.path.join(tempfile.mkdtemp(), name)
@@ -297,7 +326,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     name = build_lexicon(df, text_col, path, lexicon_words)
 
     def run(batches):
-        encoder = _Encoder(WordBpe(path), Lexicon(SparkFiles.get(name)))
+        encoder = _encoder(path, name)
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
