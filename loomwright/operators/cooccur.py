@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.functions.text import WORD, case_sensitive, ngrams, surface_forms, words
+from loomwright.functions.text import WORD, case_sensitive, surface_forms, words
 
 
 def surface_terms(instances: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -29,14 +29,19 @@ def surface_terms(instances: DataFrame, aliases: DataFrame | None = None) -> Dat
 def count_support(lines: DataFrame, terms: DataFrame, line_id: list[str], text: str) -> DataFrame:
     """Rows (instance_idx, subject, object, cooccur): lines that hold a form of either side, or of both.
 
-    n-grams of a line meet the terms by equality; a line and instance count once.
+    A line's words meet the terms by the term's first word; the rest is compared in place.
+    A line and instance count once.
     """
-    longest = terms.agg(F.max("n_words")).first()[0] or 1
-    tokens = words(F.col(text), WORD)
-    low = lines.select(*line_id, F.lit(False).alias("cs"), F.explode(F.array_distinct(ngrams(words(F.lower(text), WORD), longest))).alias("term"))
-    if terms.where("cs").limit(1).count():
-        low = low.unionByName(lines.select(*line_id, F.lit(True).alias("cs"), F.explode(F.array_distinct(ngrams(tokens, longest))).alias("term")))
-    hits = low.join(terms.select("term", "cs", "side", "instance_idx"), ["term", "cs"])
+    asked = terms.withColumn("_t", F.split("term", " ")).withColumn("_first", F.get("_t", F.lit(0)))
+    hits = None
+    for cs in (False, True):
+        if cs and not asked.where("cs").limit(1).count():
+            continue
+        own = words(F.col(text) if cs else F.lower(text), WORD)
+        rows = lines.select(*line_id, own.alias("_w")).select(*line_id, "_w", F.posexplode("_w").alias("_p", "_first"))
+        found = rows.join(asked.where(F.col("cs") == cs), "_first").where(F.slice("_w", F.col("_p") + 1, F.col("n_words")) == F.col("_t"))
+        found = found.select(*line_id, "instance_idx", "side")
+        hits = found if hits is None else hits.unionByName(found)
     by_line = hits.groupBy(*line_id, "instance_idx").agg(
         F.max((F.col("side") == "subject").cast("int")).alias("s"), F.max((F.col("side") == "object").cast("int")).alias("o")
     )
