@@ -1 +1,311 @@
+"""BM25 attribution of passages: contrasts, ranking, precision, lift and effect sizes.
 
+Training rows are documents, queries are passages; pair i sets passage i against the
+next one. A document that holds a passage whole carries that fact (D_X); the others are base.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomwright.functions import metrics, text
+from loomwright.operators import facts as fact_ops
+from loomwright.operators import rank, sampling, scoring, stats
+from loomwright.plans.registry import query, table
+from loomwright.plans.runtime import materialize
+
+KS = (5, 10, 20)
+
+BM25_SQL = r"""
+tok AS (SELECT doc_id AS train_idx, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS t FROM documents), tf AS (SELECT train_idx, t, count(*) AS tf FROM tok GROUP BY 1, 2),
+dl AS (SELECT doc_id AS train_idx, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS dl FROM documents), tot AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl FROM dl),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1), qtok AS (SELECT item_id AS query_idx, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS t FROM benchmark),
+qn AS (SELECT query_idx, t, count(*) AS qn FROM qtok GROUP BY 1, 2), bm25 AS (
+  SELECT train_idx, query_idx, round(sum(qn * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)))), 6) AS score
+  FROM qn JOIN df USING (t) JOIN tf USING (t) JOIN dl USING (train_idx), tot GROUP BY 1, 2)"""
+DELTA_SQL = BM25_SQL + """, m AS (SELECT count(*) AS m FROM benchmark), grid AS (SELECT doc_id AS train_idx, item_id AS pair_idx FROM documents, benchmark), delta AS (
+  SELECT g.train_idx, g.pair_idx, coalesce(a.score, 0.0) AS score_good, coalesce(b.score, 0.0) AS score_bad, round(coalesce(a.score, 0.0) - coalesce(b.score, 0.0), 6) AS delta_i
+  FROM grid g, m LEFT JOIN bm25 a ON a.train_idx = g.train_idx AND a.query_idx = g.pair_idx LEFT JOIN bm25 b ON b.train_idx = g.train_idx AND b.query_idx = (g.pair_idx + 1) % m.m)""".replace(
+    "FROM grid g, m LEFT", "FROM (SELECT * FROM grid, m) g LEFT"
+).replace("% m.m)", "% g.m)")
+DX_SQL = """, member AS (SELECT doc_id AS train_idx, item_id AS fact_key FROM documents d, benchmark b WHERE contains(d.text, b.text)), dx AS (SELECT DISTINCT train_idx FROM member)"""
+TOP_SQL = DELTA_SQL + DX_SQL + """, top AS (SELECT *, row_number() OVER (PARTITION BY pair_idx ORDER BY delta_i DESC, train_idx) - 1 AS rank FROM delta QUALIFY rank < 20)"""
+
+
+def train(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("train_idx"), "text")
+
+
+def passages(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_idx"), "text")
+
+
+def pairs(spark, sf_dir) -> DataFrame:
+    items = passages(spark, sf_dir).select(F.col("query_idx").alias("pair_idx"))
+    n = items.count()
+    return items.select("pair_idx", F.col("pair_idx").alias("good_idx"), F.pmod(F.col("pair_idx") + 1, F.lit(n)).alias("bad_idx"))
+
+
+def bm25(spark, sf_dir) -> DataFrame:
+    return scoring.bm25(train(spark, sf_dir), passages(spark, sf_dir))
+
+
+def delta(spark, sf_dir) -> DataFrame:
+    """The pairs and rows of which either text scores, written once."""
+    return materialize(scoring.contrast(bm25(spark, sf_dir), pairs(spark, sf_dir)))
+
+
+def membership(spark, sf_dir) -> DataFrame:
+    """Rows (train_idx, fact_key): documents that hold a passage whole.
+
+    Documents meet passages by a run of ANCHOR words that lies within the passage (its
+    second word on, as the first may be the end of a longer word of the document); each
+    meeting is then held against the whole passage. Short passages are looked for one by one.
+    """
+    anchor = 8
+    docs, items = train(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fact_key"), F.col("text").alias("passage"))
+    # words between white space, as far as the passage has white space on both sides
+    w = F.split("passage", r"\s+")
+    items = items.withColumn("_w", w).withColumn("_long", F.size("_w") >= anchor + 2)
+    long = items.where("_long").withColumn("_run", F.slice("_w", 2, anchor)).withColumn("_first", F.get("_run", F.lit(0)))
+    rows = docs.select("train_idx", "text", F.split("text", r"\s+").alias("_d")).select("train_idx", "text", "_d", F.posexplode("_d").alias("_p", "_first"))
+    met = rows.join(F.broadcast(long.select("fact_key", "_run", "_first")), "_first").where(F.slice("_d", F.col("_p") + 1, anchor) == F.col("_run"))
+    met = met.select("train_idx", "fact_key").distinct()
+    found = met.join(docs, "train_idx").join(items, "fact_key").where(F.contains("text", "passage"))
+    short = docs.crossJoin(F.broadcast(items.where("not _long"))).where(F.contains("text", "passage"))
+    return found.select("train_idx", "fact_key").unionByName(short.select("train_idx", "fact_key"))
+
+
+def top(spark, sf_dir, k: int = 20, side: str = "contrast", sparse: DataFrame | None = None) -> DataFrame:
+    sparse = delta(spark, sf_dir) if sparse is None else sparse
+    return rank.top_k_padded(sparse, train(spark, sf_dir), pairs(spark, sf_dir), k, side)
+
+
+@query("bm25_scores", f"WITH {BM25_SQL} SELECT * FROM bm25")
+def bm25_scores(spark, sf_dir):
+    return bm25(spark, sf_dir)
+
+
+@query("bm25_unit_norm", f"""WITH {BM25_SQL}, n AS (SELECT query_idx, sqrt(sum(score * score)) AS norm FROM bm25 GROUP BY 1)
+SELECT train_idx, query_idx, CASE WHEN norm > 0 THEN round(score / norm, 6) ELSE 0.0 END AS score FROM bm25 JOIN n USING (query_idx)""")
+def bm25_unit_norm(spark, sf_dir):
+    return scoring.unit_norm(materialize(bm25(spark, sf_dir)))
+
+
+@query("delta_i", f"WITH {DELTA_SQL} SELECT * FROM delta WHERE score_good <> 0 OR score_bad <> 0")
+def delta_i(spark, sf_dir):
+    return scoring.contrast(bm25(spark, sf_dir), pairs(spark, sf_dir))
+
+
+for _side, _order in {"contrast": "delta_i DESC", "good": "score_good DESC", "bad": "score_bad"}.items():
+    query(f"topk_{_side}", f"""WITH {DELTA_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY pair_idx ORDER BY {_order}, train_idx) - 1 AS rank FROM delta)
+SELECT train_idx, pair_idx, score_good, score_bad, delta_i, CAST(rank AS INTEGER) AS rank FROM t WHERE rank < 10""")(lambda spark, sf_dir, side=_side: top(spark, sf_dir, 10, side))
+
+
+def relevant_top(spark, sf_dir) -> DataFrame:
+    """The first 20 rows of each pair, marked as D_X and as rows of the pair's own fact."""
+    member = membership(spark, sf_dir)
+    dx = member.select("train_idx").distinct().withColumn("_x", F.lit(True))
+    own = member.withColumnRenamed("fact_key", "pair_idx").withColumn("_own", F.lit(True))
+    rows = top(spark, sf_dir).join(dx, "train_idx", "left").join(own, ["train_idx", "pair_idx"], "left")
+    return rows.withColumn("is_dx", F.coalesce("_x", F.lit(False))).withColumn("is_own", F.coalesce("_own", F.lit(False))).drop("_x", "_own")
+
+
+def _prec_sql(hit: str) -> str:
+    return f"""WITH {TOP_SQL}, k AS (SELECT unnest([5, 10, 20]) AS k), p AS (
+  SELECT pair_idx, k, sum(CASE WHEN {hit} THEN 1 ELSE 0 END) / least(k, (SELECT count(*) FROM documents)) AS prec FROM top, k WHERE rank < k GROUP BY 1, 2)
+SELECT k, round(avg(prec), 6) AS prec_at_k, count(*) AS n_pairs FROM p GROUP BY 1"""
+
+
+IS_DX = "train_idx IN (SELECT train_idx FROM dx)"
+IS_OWN = "EXISTS (SELECT 1 FROM member WHERE member.train_idx = top.train_idx AND fact_key = pair_idx)"
+
+
+@query("prec_at_k", _prec_sql(IS_DX))
+def prec_at_k(spark, sf_dir):
+    n = train(spark, sf_dir).count()
+    return rank.macro_precision(rank.precision_at(relevant_top(spark, sf_dir), "is_dx", KS, n))
+
+
+@query("prec_at_k_exact", _prec_sql(IS_OWN))
+def prec_at_k_exact(spark, sf_dir):
+    n = train(spark, sf_dir).count()
+    return rank.macro_precision(rank.precision_at(relevant_top(spark, sf_dir), "is_own", KS, n))
+
+
+@query("lift_at_k", f"""SELECT q.*, round(prec_at_k / ((SELECT count(DISTINCT doc_id) FROM documents d, benchmark b WHERE contains(d.text, b.text)) / (SELECT count(*) FROM documents)), 6) AS lift_at_k
+FROM ({_prec_sql(IS_DX)}) q""")
+def lift_at_k(spark, sf_dir):
+    member = materialize(membership(spark, sf_dir))
+    n_dx = member.select("train_idx").distinct().count()
+    return rank.lift(prec_at_k(spark, sf_dir), n_dx, train(spark, sf_dir).count())
+
+
+@query("cumulative_hits", f"""WITH {TOP_SQL}, c AS (SELECT pair_idx, rank, CAST(sum(CASE WHEN {IS_DX} THEN 1 ELSE 0 END) OVER (PARTITION BY pair_idx ORDER BY rank) AS BIGINT) AS cum_hits FROM top)
+SELECT pair_idx, CAST(rank AS INTEGER) AS rank, cum_hits FROM c""")
+def cumulative_hits(spark, sf_dir):
+    return rank.cumulative_hits(relevant_top(spark, sf_dir), "is_dx").select("pair_idx", "rank", "cum_hits")
+
+
+@query("train_build_labels", """SELECT d.doc_id AS train_idx, count(b.item_id) AS n_facts, CASE WHEN count(b.item_id) > 0 THEN 'X' ELSE 'base' END AS category, array_to_string(list_sort(list(CAST(b.item_id AS VARCHAR)) FILTER (b.item_id IS NOT NULL)), ',') AS fact_ids
+FROM documents d LEFT JOIN benchmark b ON contains(d.text, b.text) GROUP BY 1""")
+def train_build_labels(spark, sf_dir):
+    per = membership(spark, sf_dir).groupBy("train_idx").agg(F.array_sort(F.collect_set(F.col("fact_key").cast("string"))).alias("ids"))
+    rows = train(spark, sf_dir).select("train_idx").join(per, "train_idx", "left")
+    return rows.select(
+        "train_idx", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_facts"), F.when(F.col("ids").isNull(), "base").otherwise("X").alias("category"),
+        F.array_join("ids", ",").alias("fact_ids"),
+    )
+
+
+@query("merge_sources", """WITH r AS (SELECT d.text, CAST(b.item_id AS VARCHAR) AS fact_id, d.source FROM documents d JOIN benchmark b ON contains(d.text, b.text))
+SELECT md5(text) AS text_key, array_to_string(list_sort(list(DISTINCT fact_id)), ',') AS fact_ids, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM r GROUP BY text""")
+def merge_sources(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("train_idx"), "text", "source")
+    rows = membership(spark, sf_dir).join(docs, "train_idx").select("text", F.col("fact_key").cast("string").alias("fact_id"), "source")
+    return fact_ops.merge_sources(rows).select(F.md5(F.col("text").cast("binary")).alias("text_key"), F.array_join("fact_ids", ",").alias("fact_ids"), F.array_join("sources", ",").alias("sources"))
+
+
+def dx_values(spark, sf_dir, sparse: DataFrame) -> DataFrame:
+    """Contrasts of all D_X rows under all pairs, zero where nothing scores."""
+    dx = membership(spark, sf_dir).select("train_idx").distinct()
+    return rank_dense(dx, spark, sf_dir, sparse)
+
+
+def base_values(spark, sf_dir, sparse: DataFrame, n: int = 100, seed: int = 0) -> DataFrame:
+    base = train(spark, sf_dir).select("train_idx").join(membership(spark, sf_dir), "train_idx", "left_anti")
+    return rank_dense(sampling.sample_n(base, n, seed, "train_idx"), spark, sf_dir, sparse)
+
+
+def rank_dense(rows: DataFrame, spark, sf_dir, sparse: DataFrame) -> DataFrame:
+    return scoring.dense(rows, pairs(spark, sf_dir), sparse)
+
+
+PARTS_SQL = DELTA_SQL + DX_SQL + """, base AS (SELECT doc_id AS train_idx FROM documents WHERE doc_id NOT IN (SELECT train_idx FROM dx) ORDER BY md5('0:' || doc_id), doc_id LIMIT 100),
+parts AS (SELECT 'dx' AS part, delta.* FROM delta WHERE train_idx IN (SELECT train_idx FROM dx) UNION ALL SELECT 'base', delta.* FROM delta WHERE train_idx IN (SELECT train_idx FROM base))"""
+
+
+def parts(spark, sf_dir) -> DataFrame:
+    sparse = delta(spark, sf_dir)
+    return materialize(dx_values(spark, sf_dir, sparse).withColumn("part", F.lit("dx")).unionByName(base_values(spark, sf_dir, sparse).withColumn("part", F.lit("base"))))
+
+
+@query("delta_summary", f"""WITH {PARTS_SQL}, s AS (SELECT part, count(*) AS n, avg(delta_i) AS m, median(delta_i) AS med, stddev_samp(delta_i) AS sd FROM parts GROUP BY 1)
+SELECT part, n, round(m, 6) AS mean, round(med, 6) AS median, round(sd, 6) AS std, round(m - 1.96 * sd / sqrt(n), 6) AS ci_low, round(m + 1.96 * sd / sqrt(n), 6) AS ci_high FROM s""")
+def delta_summary(spark, sf_dir):
+    return stats.summary(parts(spark, sf_dir), "delta_i", ["part"])
+
+
+@query("norm_summary", f"""WITH {PARTS_SQL}, r AS (SELECT score_good AS s FROM parts UNION ALL SELECT score_bad FROM parts), d AS (SELECT stddev_samp(s) AS sd FROM r)
+SELECT part, round(avg(delta_i) / any_value(sd), 6) AS norm_mean, round(median(delta_i) / any_value(sd), 6) AS norm_median FROM parts, d GROUP BY 1""")
+def norm_summary(spark, sf_dir):
+    rows = parts(spark, sf_dir)
+    raw = rows.select(F.explode(F.array("score_good", "score_bad")).alias("s"))
+    return stats.normalized_summary(rows, "delta_i", raw, "s", ["part"])
+
+
+@query("raw_score_moments", f"""WITH {PARTS_SQL}, r AS (SELECT score_good AS s FROM parts UNION ALL SELECT score_bad FROM parts)
+SELECT count(*) AS n, round(avg(s), 6) AS mean, round(var_pop(s) * count(*), 4) AS m2 FROM r""")
+def raw_score_moments(spark, sf_dir):
+    raw = parts(spark, sf_dir).select("part", F.explode(F.array("score_good", "score_bad")).alias("s"))
+    by_part = raw.groupBy("part").agg(F.count("s").alias("n"), F.avg("s").alias("mean"), (F.var_pop("s") * F.count("s")).alias("m2"))
+    return stats.combine_moments(by_part).select("n", F.round("mean", 6).alias("mean"), F.round("m2", 4).alias("m2"))
+
+
+@query("ratio_base_dx", f"""WITH {PARTS_SQL}, g AS (SELECT pair_idx, avg(delta_i) FILTER (part = 'dx') AS d, avg(delta_i) FILTER (part = 'base') AS b FROM parts GROUP BY 1)
+SELECT pair_idx, CASE WHEN d <> 0 THEN round(abs(b / d), 6) END AS ratio FROM g""")
+def ratio_base_dx(spark, sf_dir):
+    rows = parts(spark, sf_dir)
+    return stats.base_over_dx(rows.where("part = 'dx'"), rows.where("part = 'base'"), "delta_i", ["pair_idx"])
+
+
+@query("wilcoxon_statistic", f"""WITH {PARTS_SQL}, v AS (SELECT pair_idx, delta_i, abs(delta_i) AS a FROM parts WHERE part = 'dx' AND delta_i <> 0), r AS (
+  SELECT *, rank() OVER (PARTITION BY pair_idx ORDER BY a) + (count(*) OVER (PARTITION BY pair_idx, a) - 1) / 2.0 AS r FROM v), t AS (SELECT pair_idx, a, count(*) AS t FROM v GROUP BY 1, 2),
+  u AS (SELECT pair_idx, CAST(sum(t * t * t - t) AS BIGINT) AS ties FROM t GROUP BY 1)
+SELECT pair_idx, count(*) AS n, CAST(sum(CASE WHEN delta_i > 0 THEN r ELSE 0 END) AS DOUBLE) AS w_plus, any_value(ties) AS ties FROM r JOIN u USING (pair_idx) GROUP BY 1""")
+def wilcoxon_statistic(spark, sf_dir):
+    return stats.signed_rank(parts(spark, sf_dir).where("part = 'dx'"), "delta_i", ["pair_idx"])
+
+
+@query("verdict", f"""WITH {PARTS_SQL}, g AS (SELECT avg(delta_i) FILTER (part = 'dx') AS d, avg(delta_i) FILTER (part = 'base') AS b FROM parts WHERE pair_idx % 2 = 0),
+v AS (SELECT delta_i, abs(delta_i) AS a FROM parts WHERE part = 'dx' AND delta_i <> 0 AND pair_idx % 2 = 0), r AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS r FROM v),
+t AS (SELECT a, count(*) AS t FROM v GROUP BY 1), w AS (SELECT count(*) AS n, sum(CASE WHEN delta_i > 0 THEN r ELSE 0 END) AS w FROM r), u AS (SELECT sum(t * t * t - t) AS ties FROM t)
+SELECT round(abs(b / d), 6) AS ratio, (w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) > 1.6448536269514722 AS significant,
+  CASE WHEN ((w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) > 1.6448536269514722) AND abs(b / d) < 0.1 THEN 'PASS'
+       WHEN ((w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) > 1.6448536269514722) OR abs(b / d) < 0.1 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM g, w, u""")
+def verdict(spark, sf_dir):
+    """Every other pair: over all of them each passage is once good and once bad, so the sum is zero."""
+    rows = parts(spark, sf_dir).where("pair_idx % 2 = 0")
+    w = stats.signed_rank(rows.where("part = 'dx'"), "delta_i", []).first()
+    p = stats.signed_rank_p(w["w_plus"], w["n"], w["ties"], exact_up_to=50) if w["n"] else float("nan")
+    ratio = stats.base_over_dx(rows.where("part = 'dx'"), rows.where("part = 'base'"), "delta_i", [])
+    return ratio.select("ratio", F.lit(p < 0.05).alias("significant"), metrics.final_verdict(F.lit(p), F.col("ratio")).alias("verdict"))
+
+
+SOURCES_SQL = DELTA_SQL + """, tags AS (SELECT b.item_id AS fact, d.doc_id AS train_idx, unnest(list_filter([CASE WHEN contains(d.text, b.text) THEN 'cooccur' END,
+  CASE WHEN contains(d.text, b.text) AND d.doc_id % 2 = 0 THEN 'subj_occur' END, CASE WHEN contains(d.text, b.text) AND d.doc_id % 3 = 0 THEN 'obj_occur' END], lambda x: x IS NOT NULL)) AS source
+  FROM documents d, benchmark b WHERE contains(d.text, b.text)), rows1 AS (SELECT fact, source, delta_i FROM tags JOIN delta USING (train_idx) WHERE pair_idx = fact),
+  rows2 AS (SELECT * FROM rows1 UNION ALL SELECT fact, 'all_x', delta_i FROM rows1)"""
+
+
+def source_rows(spark, sf_dir) -> DataFrame:
+    """D_X rows under their own facts' pairs, once for each source tag (stand-ins by parity of the id)."""
+    i = F.col("train_idx")
+    tags = F.array_compact(F.array(F.lit("cooccur"), F.when(i % 2 == 0, "subj_occur"), F.when(i % 3 == 0, "obj_occur")))
+    member = membership(spark, sf_dir).select("train_idx", F.col("fact_key").alias("fact"), F.explode(tags).alias("source"))
+    joined = member.join(delta(spark, sf_dir).withColumnRenamed("pair_idx", "fact"), ["train_idx", "fact"], "left")
+    return joined.select("fact", "source", F.coalesce("delta_i", F.lit(0.0)).alias("delta_i"))
+
+
+@query("per_source_delta", f"WITH {SOURCES_SQL} SELECT fact, source, count(*) AS n, round(avg(delta_i), 6) AS mean, round(median(delta_i), 6) AS median FROM rows2 GROUP BY 1, 2")
+def per_source_delta(spark, sf_dir):
+    return stats.per_source(source_rows(spark, sf_dir), pooled=False)
+
+
+@query("pooled_sources", f"WITH {SOURCES_SQL} SELECT source, count(*) AS n, round(avg(delta_i), 6) AS mean, round(median(delta_i), 6) AS median FROM rows2 GROUP BY 1")
+def pooled_sources(spark, sf_dir):
+    return stats.per_source(source_rows(spark, sf_dir), pooled=True)
+
+
+@query("micro_precision", f"""WITH {TOP_SQL}, k AS (SELECT unnest([5, 10, 20]) AS k), r AS (SELECT pair_idx % 3 AS category, k, {IS_DX} AS x FROM top, k WHERE rank < k)
+SELECT category, k, count(*) FILTER (x) AS hits, count(*) AS places, round(count(*) FILTER (x) / count(*), 6) AS precision FROM r GROUP BY 1, 2""")
+def micro_precision(spark, sf_dir):
+    rows = relevant_top(spark, sf_dir).withColumn("category", F.col("pair_idx") % 3)
+    return rank.micro_precision(rows, "category", "is_dx", KS)
+
+
+@query("mean_then_rank", f"""WITH {TOP_SQL}, g AS (SELECT pair_idx % 4 AS fact, train_idx, round(avg(delta_i), 6) AS mean_score FROM top GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY fact ORDER BY mean_score DESC, train_idx) - 1 AS rank FROM g) SELECT fact, train_idx, mean_score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank < 10""")
+def mean_then_rank(spark, sf_dir):
+    return rank.mean_then_rank(top(spark, sf_dir).withColumn("fact", F.col("pair_idx") % 4), "fact", 10)
+
+
+@query("seed_aggregate", f"""WITH {DELTA_SQL}, s AS (SELECT unnest([42, 43, 44]) AS seed), o AS (SELECT seed, doc_id AS train_idx, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || doc_id), doc_id) AS r FROM documents, s),
+sm AS (SELECT seed, pair_idx, avg(delta_i) AS v FROM delta JOIN o USING (train_idx) WHERE r <= 50 GROUP BY 1, 2)
+SELECT pair_idx, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std FROM sm GROUP BY 1""")
+def seed_aggregate(spark, sf_dir):
+    sparse, rows = delta(spark, sf_dir), train(spark, sf_dir).select("train_idx")
+    per = None
+    for seed in (42, 43, 44):
+        one = rank_dense(sampling.sample_n(rows, 50, seed, "train_idx"), spark, sf_dir, sparse).groupBy("pair_idx").agg(F.avg("delta_i").alias("v")).withColumn("seed", F.lit(seed))
+        per = one if per is None else per.unionByName(one)
+    return stats.seed_aggregate(per, ["pair_idx"], "v").drop("values")
+
+
+CATEGORY_SQL = r"""WITH w AS (SELECT item_id, string_split_regex(trim(text), '\s+') AS w FROM benchmark), i AS (SELECT item_id, lower(w[1]) AS s, lower(w[-1]) AS o FROM w WHERE item_id < 10),
+d AS (SELECT doc_id, ' ' || lower(text) || ' ' AS t FROM documents), x AS (
+  SELECT doc_id AS train_idx, item_id AS pair_idx, regexp_matches(t, '[^\p{L}\p{N}_]' || regexp_escape(s) || '[^\p{L}\p{N}_]') AS a, regexp_matches(t, '[^\p{L}\p{N}_]' || regexp_escape(o) || '[^\p{L}\p{N}_]') AS b FROM d, i)
+SELECT train_idx, pair_idx, CASE WHEN a AND b THEN 'X-not-filtered' WHEN a THEN 'subj_not_filtered' WHEN b THEN 'obj_not_filtered' ELSE 'base' END AS category FROM x"""
+
+
+@query("fact_category", CATEGORY_SQL)
+def fact_category(spark, sf_dir):
+    """Category of rows under pairs whose fact they don't carry, by whole words of subject and object."""
+    w = F.split(F.trim("text"), r"\s+")
+    items = table(spark, sf_dir, "benchmark").where("item_id < 10").select(
+        F.col("item_id").alias("pair_idx"), F.lower(F.get(w, F.lit(0))).alias("s"), F.lower(F.element_at(w, -1)).alias("o")
+    )
+    rows = train(spark, sf_dir).select("train_idx", F.lower("text").alias("t")).crossJoin(F.broadcast(items))  # ten pairs
+    a, b = text.word_bounded(F.col("t"), F.col("s")), text.word_bounded(F.col("t"), F.col("o"))
+    return rows.select("train_idx", "pair_idx", F.when(a & b, "X-not-filtered").when(a, "subj_not_filtered").when(b, "obj_not_filtered").otherwise("base").alias("category"))

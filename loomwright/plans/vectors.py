@@ -1 +1,118 @@
+"""Vector attribution over `embeddings`, which stand in for projected gradients.
 
+Vectors 0..19 are the texts of ten pairs (2j good, 2j + 1 bad), the others training rows;
+rows of label 0 or 5 are D_X.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomwright.operators import rank, scoring, stats
+from loomwright.plans.registry import query, table
+from loomwright.plans.runtime import materialize
+
+PAIRS = 10
+
+SCORES_SQL = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v),
+scores AS (SELECT t.vec_id AS train_idx, q.vec_id AS query_idx, round(list_inner_product(t.e, q.e), 6) AS score FROM u t, u q WHERE t.vec_id >= 20 AND q.vec_id < 20),
+raw AS (SELECT t.vec_id AS train_idx, q.vec_id AS query_idx, round(list_inner_product(t.e[1:32], q.e[1:32]), 6) AS score FROM v t, v q WHERE t.vec_id >= 20 AND q.vec_id < 20),
+delta AS (SELECT g.train_idx, g.query_idx // 2 AS pair_idx, g.score AS score_good, b.score AS score_bad, round(g.score - b.score, 6) AS delta_i FROM scores g JOIN scores b ON g.train_idx = b.train_idx AND b.query_idx = g.query_idx + 1 WHERE g.query_idx % 2 = 0),
+delta2 AS (SELECT g.train_idx, g.query_idx // 2 AS pair_idx, round(g.score - b.score, 6) AS delta_i FROM raw g JOIN raw b ON g.train_idx = b.train_idx AND b.query_idx = g.query_idx + 1 WHERE g.query_idx % 2 = 0)"""
+
+
+def vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training rows, queries and pairs."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    train = rows.where(F.col("vec_id") >= 2 * PAIRS).select(F.col("vec_id").alias("train_idx"), F.col("embedding").alias("vec"), "label")
+    queries = rows.where(F.col("vec_id") < 2 * PAIRS).select(F.col("vec_id").alias("query_idx"), F.col("embedding").alias("vec"))
+    pairs = queries.where("query_idx % 2 = 0").select(F.expr("query_idx div 2").alias("pair_idx"), F.col("query_idx").alias("good_idx"), (F.col("query_idx") + 1).alias("bad_idx"))
+    return train, queries, pairs
+
+
+def gradsim(spark, sf_dir) -> DataFrame:
+    train, queries, _ = vectors(spark, sf_dir)
+    return scoring.vector_scores(train, queries)
+
+
+def half(spark, sf_dir) -> DataFrame:
+    """A second method: products of the first 32 components, not normalised."""
+    train, queries, _ = vectors(spark, sf_dir)
+    cut = lambda df: df.withColumn("vec", F.slice("vec", 1, 32))
+    return scoring.vector_scores(cut(train), cut(queries), unit=False)
+
+
+def contrast(spark, sf_dir, method) -> DataFrame:
+    return materialize(scoring.contrast(method(spark, sf_dir), vectors(spark, sf_dir)[2]))
+
+
+@query("gradsim_scores", f"WITH {SCORES_SQL} SELECT * FROM scores")
+def gradsim_scores(spark, sf_dir):
+    return gradsim(spark, sf_dir)
+
+
+@query("gradsim_topk", f"""WITH {SCORES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY pair_idx ORDER BY delta_i DESC, train_idx) - 1 AS rank FROM delta)
+SELECT pair_idx, train_idx, delta_i, CAST(rank AS INTEGER) AS rank FROM r WHERE rank < 10""")
+def gradsim_topk(spark, sf_dir):
+    return rank.top_k(contrast(spark, sf_dir, gradsim), 10).select("pair_idx", "train_idx", "delta_i", "rank")
+
+
+@query("global_delta", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), c AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v WHERE vec_id < 20),
+m AS (SELECT vec_id % 2 AS q, i, avg(x) AS x FROM c GROUP BY 1, 2), q AS (SELECT q, list(x ORDER BY i) AS e FROM m GROUP BY 1),
+s AS (SELECT vec_id AS train_idx, q, round(list_inner_product(v.e, q.e) / sqrt(list_inner_product(v.e, v.e)) / sqrt(list_inner_product(q.e, q.e)), 6) AS s FROM v, q WHERE vec_id >= 20)
+SELECT g.train_idx, round(g.s - b.s, 6) AS delta_i FROM s g JOIN s b USING (train_idx) WHERE g.q = 0 AND b.q = 1 ORDER BY delta_i DESC, train_idx LIMIT 20""")
+def global_delta(spark, sf_dir):
+    train, queries, _ = vectors(spark, sf_dir)
+    mean = scoring.aggregate_queries(queries.select("vec", (F.col("query_idx") % 2 == 0).alias("is_good")))
+    one = spark.createDataFrame([(0, 0, 1)], "pair_idx long, good_idx long, bad_idx long")
+    rows = scoring.contrast(scoring.vector_scores(train, mean.select(F.col("query_idx").cast("long").alias("query_idx"), "vec")), one)
+    return rank.global_top_k(rows.select("train_idx", "delta_i"), 20)
+
+
+@query("spearman_pearson", f"""WITH {SCORES_SQL}, j AS (SELECT d.pair_idx, d.delta_i AS a, e.delta_i AS b FROM delta d JOIN delta2 e USING (train_idx, pair_idx)), r AS (SELECT *,
+  rank() OVER (PARTITION BY pair_idx ORDER BY a) + (count(*) OVER (PARTITION BY pair_idx, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY pair_idx ORDER BY b) + (count(*) OVER (PARTITION BY pair_idx, b) - 1) / 2.0 AS rb FROM j)
+SELECT pair_idx, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman FROM r GROUP BY 1""")
+def spearman_pearson(spark, sf_dir):
+    a, b = contrast(spark, sf_dir, gradsim), contrast(spark, sf_dir, half)
+    rows = a.select("train_idx", "pair_idx", F.col("delta_i").alias("a")).join(b.select("train_idx", "pair_idx", F.col("delta_i").alias("b")), ["train_idx", "pair_idx"])
+    return stats.correlations(rows, "a", "b", ["pair_idx"])
+
+
+@query("jaccard_topk", f"""WITH {SCORES_SQL}, a AS (SELECT pair_idx, train_idx FROM delta QUALIFY row_number() OVER (PARTITION BY pair_idx ORDER BY delta_i DESC, train_idx) <= 20),
+b AS (SELECT pair_idx, train_idx FROM delta2 QUALIFY row_number() OVER (PARTITION BY pair_idx ORDER BY delta_i DESC, train_idx) <= 20)
+SELECT pair_idx, round(count(*) FILTER (a.train_idx IS NOT NULL AND b.train_idx IS NOT NULL) / count(*), 6) AS jaccard FROM a FULL JOIN b USING (pair_idx, train_idx) GROUP BY 1""")
+def jaccard_topk(spark, sf_dir):
+    a, b = (rank.top_k(contrast(spark, sf_dir, m), 20) for m in (gradsim, half))
+    return stats.jaccard(a, b, "pair_idx", "train_idx")
+
+
+@query("di_distribution", f"""WITH {SCORES_SQL}, m AS (SELECT train_idx, avg(delta_i) AS v, vec.label % 5 = 0 AS is_dx FROM delta JOIN embeddings vec ON vec_id = train_idx GROUP BY 1, 3)
+SELECT is_dx, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.05), 6) AS p5, round(quantile_cont(v, 0.95), 6) AS p95 FROM m GROUP BY 1""")
+def di_distribution(spark, sf_dir):
+    labels = vectors(spark, sf_dir)[0].select("train_idx", (F.col("label") % 5 == 0).alias("is_dx"))
+    mean = contrast(spark, sf_dir, gradsim).groupBy("train_idx").agg(F.avg("delta_i").alias("v")).join(labels, "train_idx")
+    return stats.spread(mean, "v", ["is_dx"])
+
+
+@query("gradsim_prec_at_k", f"""WITH {SCORES_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY pair_idx ORDER BY delta_i DESC, train_idx) - 1 AS rank FROM delta QUALIFY rank < 20), k AS (SELECT unnest([5, 10, 20]) AS k),
+p AS (SELECT pair_idx, k, sum(CASE WHEN label % 5 = 0 THEN 1 ELSE 0 END) / k AS prec FROM t JOIN embeddings ON vec_id = train_idx, k WHERE rank < k GROUP BY 1, 2)
+SELECT k, round(avg(prec), 6) AS prec_at_k, count(*) AS n_pairs FROM p GROUP BY 1""")
+def gradsim_prec_at_k(spark, sf_dir):
+    train, _, _ = vectors(spark, sf_dir)
+    top = rank.top_k(contrast(spark, sf_dir, gradsim), 20).join(train.select("train_idx", (F.col("label") % 5 == 0).alias("is_dx")), "train_idx")
+    return rank.macro_precision(rank.precision_at(top, "is_dx", (5, 10, 20), train.count()))
+
+
+@query("trackstar_scores")
+def trackstar_scores(spark, sf_dir):
+    """Unit products after the preconditioner of both sides' second moments."""
+    train, queries, _ = vectors(spark, sf_dir)
+    return scoring.vector_scores(train, queries, transform=scoring.trackstar_transform(train, queries, 64))
+
+
+@query("kfac_scores")
+def kfac_scores(spark, sf_dir):
+    """Unit products of 8 x 8 gradients whitened on both sides."""
+    train, queries, _ = vectors(spark, sf_dir)
+    return scoring.vector_scores(train, queries, transform=scoring.kfac_transform(train, 8, 8))
