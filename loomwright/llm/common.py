@@ -150,8 +150,13 @@ def union_pairs(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             return
         i, j, a, b = i[apart], j[apart], a[apart], b[apart]
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent[:] = up
+        compress(parent)
+
+
+def compress(parent: np.ndarray) -> None:
+    """Let each node of a forest point at its root."""
+    while True:
+        up = parent[parent]
+        if (up == parent).all():
+            return
+        parent[:] = up

@@ -25,20 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import (
-    cut, group_values, run_bounds, run_pairs, salted, split_hot, union_pairs, whole_runs,
+    compress, cut, discard, group_values, run_bounds, run_pairs, salted, split_hot, whole_runs,
 )
 from loomwright.llm.components import connected_components
 
 #: Rows of one bucket that one task compares at once; larger buckets are dealt out in pairs of blocks.
 BLOCK = 4096
 SEED = 42
+#: Expected number of common buckets of a pair at the similarity that is asked for: all but 2 % meet, nearer ones surely.
+MEETINGS = 4.0
 
 
-def text_fingerprint(text: str | None, shingle: int, words64: int = 1) -> bytes:
-    """Little-endian fingerprint of 64 * words64 bits; no words: all bits zero."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of the text, repeats included; none for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower folds A-Z only, bytes.split cuts at 20, 09-0D
     if not words:
-        return bytes(8 * words64)
+        return np.zeros(0, dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
         hashes = [digest(b" ".join(words), SEED)]
@@ -47,7 +49,14 @@ def text_fingerprint(text: str | None, shingle: int, words64: int = 1) -> bytes:
         ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
         starts = [0, *(ends[:-1] + 1).tolist()]
         hashes = [digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
-    base = np.array(hashes, dtype=np.uint64)
+    return np.array(hashes, dtype=np.uint64)
+
+
+def text_fingerprint(text: str | None, shingle: int, words64: int = 1) -> bytes:
+    """Little-endian fingerprint of 64 * words64 bits; no words: all bits zero."""
+    base = shingle_hashes(text, shingle)
+    if not len(base):
+        return bytes(8 * words64)
     out = []
     for w in range(words64):
         h = base if w == 0 else _mix(base + np.uint64((w * 0x9E3779B97F4A7C15) & (2**64 - 1)))
@@ -94,21 +103,47 @@ def ring_passes(x: np.ndarray, widths: list[int], radius: int, chain: int = 3) -
     return ok
 
 
+def closest_forest(parent: np.ndarray, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> list[int]:
+    """Positions of pairs that join the trees of `parent`, nearest pairs first; merges them there."""
+    picked: list[int] = []
+    for level in np.unique(distance):
+        at = np.flatnonzero(distance == level)
+        while True:
+            a, b = parent[i[at]], parent[j[at]]
+            apart = a != b
+            if not apart.any():
+                break
+            at, high, low = at[apart], np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+            roots, first = np.unique(high, return_index=True)
+            picked += at[first].tolist()
+            parent[roots] = low[first]
+            compress(parent)
+    return picked
+
+
 def _edges(radius: int, words64: int, widths: list[int] | None):
-    """mapInPandas step over rows sorted by (key, _b1, _b2): a spanning forest of each chunk's links."""
+    """mapInPandas step over rows sorted by (key, _b1, _b2): a spanning forest of each chunk's links, nearest first."""
 
     def run(batches):
         for pdf in whole_runs(batches, ["key", "_b1", "_b2"]):
-            key, b1, b2, blk = (pdf[c].to_numpy() for c in ("key", "_b1", "_b2", "_blk"))
+            key, b1, b2 = (pdf[c].to_numpy() for c in ("key", "_b1", "_b2"))
             starts, ends = run_bounds([key, b1, b2])
             keep = np.repeat(ends - starts > 1, ends - starts)
             if not keep.any():
                 continue
-            pdf, key, b1, b2, blk = pdf[keep], key[keep], b1[keep], b2[keep], blk[keep]
+            pdf, key, b1, b2 = pdf[keep], key[keep], b1[keep], b2[keep]
+            blk, rep = pdf["_blk"].to_numpy(), pdf["rep"].to_numpy()
             starts, ends = run_bounds([key, b1, b2])
             fp = np.frombuffer(b"".join(pdf["fp"]), dtype="<u8").reshape(-1, words64)
-            rep = pdf["rep"].to_numpy()
             parent = np.arange(len(rep))
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+            def forest():
+                i, j, d = (np.concatenate([h[c] for h in held]) for c in range(3))
+                held.clear()
+                picked = closest_forest(parent, i, j, d)
+                return pd.DataFrame({"a": rep[i[picked]], "b": rep[j[picked]]})
+
             for i, j in run_pairs(starts, ends):
                 across = b1[i] != b2[i]
                 if across.any():
@@ -118,15 +153,55 @@ def _edges(radius: int, words64: int, widths: list[int] | None):
                 if widths is not None:
                     ring = ring_passes(x[:, 0], widths, radius)
                     i, j, x = i[ring], j[ring], x[ring]
-                near = np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= radius
-                union_pairs(parent, i[near], j[near])
-            child = np.flatnonzero(parent != np.arange(len(parent)))
-            if len(child):
-                yield pd.DataFrame({"a": rep[child], "b": rep[parent[child]]})
+                d = np.bitwise_count(x).sum(axis=1, dtype=np.int16)
+                near = d <= radius
+                if near.any():
+                    held.append((i[near], j[near], d[near]))
+                if sum(len(h[0]) for h in held) > 1_000_000:
+                    yield forest()
+            if held:
+                yield forest()
 
     return run
 
 
+def verified(links: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose texts' sets of shingles have a Jaccard similarity of `similarity` or more.
+
+    Each linked text is read once and sent to its links; both ends of a link meet in one
+    row group of two.
+    """
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), "a", "b"), F.struct(F.col("b").alias("id"), "a", "b"))).alias("e")).select("e.*")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def sets(batches):
+        for batch in batches:
+            found, last, packed = [], None, b""
+            for text in batch.column(3).to_pylist():
+                if text != last:
+                    last, packed = text, np.unique(shingle_hashes(text, shingle)).tobytes()
+                found.append(packed)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(0), pa.array(found, pa.binary())], ["a", "b", "id", "hashes"])
+
+    def compare(batches):
+        for pdf in whole_runs(batches, ["a", "b"]):
+            a, b, ids, hashes = (pdf[c].to_numpy() for c in ("a", "b", "id", "hashes"))
+            good = []
+            for s, e in zip(*run_bounds([a, b]), strict=True):
+                x = next((hashes[n] for n in range(s, e) if ids[n] == a[s]), b"")
+                y = next((hashes[n] for n in range(s, e) if ids[n] == b[s]), b"")
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                    good.append(s)
+            if good:
+                yield pd.DataFrame({"a": a[good], "b": b[good]})
+
+    joined = texts.join(ends, "id").select("id", "a", "b", "text")
+    packed = joined.mapInArrow(sets, "a long, b long, id long, hashes binary")
+    return packed.repartition("a", "b").sortWithinPartitions("a", "b").mapInPandas(compare, "a long, b long")
+
+
 def ring_keys(classes: DataFrame, radius: int) -> tuple[DataFrame, list[int]]:
     """64-bit fingerprints under each pair of segments: rows (key, rep, fp)."""
     m = radius + 2
@@ -147,11 +222,17 @@ def big_endian(col: str):
     return F.concat(*[F.substring(col, k, 1) for k in range(8, 0, -1)])
 
 
-def sampled_keys(classes: DataFrame, radius: int, words64: int, distinct: int) -> DataFrame:
-    """Long fingerprints under fixed bit subsets: rows (key, rep, fp)."""
+def flip_rate(similarity: float) -> float:
+    """Share of fingerprint bits that differ, on average, between sets of equal size at a Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sampled_keys(classes: DataFrame, flips: float, words64: int, distinct: int) -> DataFrame:
+    """Long fingerprints under fixed bit subsets: rows (key, rep, fp). Pairs that differ in a share `flips`
+    of the bits agree in MEETINGS of the subsets on average."""
     bits = 64 * words64
     width = min(48, max(14, math.ceil(math.log2(max(distinct, 2)))))
-    tables = math.ceil(3.5 / (1 - radius / bits) ** width)
+    tables = math.ceil(MEETINGS / (1 - flips) ** width)
     picks = np.random.default_rng(SEED).random((tables, bits)).argsort(axis=1)[:, :width]
     weights = (1 << np.arange(width, dtype=np.int64))
 
@@ -171,10 +252,12 @@ def sampled_keys(classes: DataFrame, radius: int, words64: int, distinct: int) -
 
 
 def simhash_components(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words64: int = 1, radius: int = 4
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words64: int = 1, radius: int = 4, similarity: float | None = None
 ) -> DataFrame:
     """Rows (id, fp, component): component is the smallest id reachable over links, which
-    join fingerprints at `radius` or fewer differing bits.
+    join fingerprints at `radius` or fewer differing bits; with `similarity`, only if the
+    shingle sets' Jaccard similarity reaches it as well (pairs nearest by fingerprint are
+    tried, as a spanning forest of each bucket).
 
     Defined cases: a null or empty text, or one of white space only, has the zero
     fingerprint, linked like any other; a text of fewer words than `shingle` is one
@@ -188,10 +271,16 @@ def simhash_components(
     if words64 == 1 and radius <= 6:
         keyed, widths = ring_keys(classes, radius)
     else:
-        keyed, widths = sampled_keys(classes, radius, words64, classes.count()), None
-    dealt = split_hot(cut(keyed, "keys"), "key", "rep", BLOCK).repartition("key", "_b1", "_b2")
+        flips = flip_rate(similarity) if similarity else radius / (64 * words64)
+        keyed, widths = sampled_keys(classes, flips, words64, classes.count()), None
+    keyed = cut(keyed, "keys")
+    dealt = split_hot(keyed, "key", "rep", BLOCK).repartition("key", "_b1", "_b2")
     dealt = dealt.sortWithinPartitions("key", "_b1", "_b2")
     links = dealt.mapInPandas(_edges(radius, words64, widths), "a long, b long")
+    if similarity is not None:
+        links = cut(links.distinct(), "links")
+        discard(keyed)
+        links = verified(links, df, id_col, text_col, shingle, similarity)
     found = connected_components(links).withColumnRenamed("node", "rep")
     labelled = reps.join(found, "rep", "left").select(
         "fp", "_salt", F.coalesce("component", "rep").alias("component")
@@ -200,16 +289,16 @@ def simhash_components(
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words64: int = 4, radius: int = 42
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words64: int = 4, radius: int = 48, similarity: float = 0.8
 ) -> DataFrame:
     """The documents that stay when one of each near-duplicate group is kept (smallest id),
     with the columns of docs.
 
-    With 256 bits, shingle sets at Jaccard 0.8 differ in 38 bits on average; the radius
-    adds two thirds of a standard deviation. Rows without id stay as they are. Rows
-    that repeat an id are one document.
+    Near-duplicates have a Jaccard similarity of `similarity` or more between their sets of
+    `shingle`-word shingles. With 256 bits, texts at 0.8 differ in 38 bits on average with
+    a deviation of 6: the radius takes in nearly all, the exact similarity decides. Rows
+    without id stay as they are. Rows that repeat an id are one document.
     """
-    marks = simhash_components(docs, id_col, text_col, shingle, words64, radius)
+    marks = simhash_components(docs, id_col, text_col, shingle, words64, radius, similarity)
     gone = marks.where("id <> component").select(F.col("id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
-    return kept
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")

@@ -105,7 +105,7 @@ class Words:
         return np.unique(least[valid] & np.uint64((1 << 26) - 1)).astype(np.int64), seed
 
 
-def _chunks(sizes: list[int], limit: int = 3_000_000):
+def _chunks(sizes: list[int], limit: int = 1_000_000):
     lo, total = 0, 0
     for n, size in enumerate(sizes):
         total += size
