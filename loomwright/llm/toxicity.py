@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 18
-LENGTHS = (3, 4, 5, 6)
+LENGTHS = (3, 4, 5)
 #: Most labelled rows that a model is fitted on, lowest hash of the id first.
 FIT_ROWS = 4000
 #: Added to each count of the log-count ratio.
@@ -49,7 +49,7 @@ def _features(texts: list[str | None]):
         yield found
 
 
-def _batched(texts: list[str | None], limit: int = 4_000_000):
+def _batched(texts: list[str | None], limit: int = 500_000):
     """Slices of the texts of some `limit` characters."""
     lo, size = 0, 0
     for n, t in enumerate(texts):
@@ -154,7 +154,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["y", "found"])
 
     got = rows.mapInArrow(run, "y int, found binary").toArrow()
-    return fit([np.frombuffer(b, dtype="<i4") for b in got.column(1).to_pylist()], np.array(got.column(0).to_pylist()))
+    found = []
+    for chunk in got.column(1).chunks:  # views of the received memory
+        ends = np.frombuffer(chunk.buffers()[1], dtype=np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        flat = np.frombuffer(chunk.buffers()[2], dtype="<i4") if chunk.buffers()[2] is not None else np.zeros(0, np.int32)
+        found += [flat[a // 4 : b // 4] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return fit(found, np.array(got.column(0).to_pylist()))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
