@@ -142,7 +142,7 @@ def sample_lines(spark, sf_dir):
 
 
 @query("oversample_fill", """WITH x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents WHERE lang = 'fr'),
-r AS (SELECT doc_id, pos, n, unnest(range(0, 8)) AS round FROM x)
+r AS (SELECT doc_id, pos, n, unnest(range(0, 700)) AS round FROM x)
 SELECT doc_id, pos, CAST(round AS INTEGER) AS round FROM r WHERE round * n + pos < 700""")
 def oversample_fill(spark, sf_dir):
     x = table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id")
