@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +83,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _hash_rows(tables: int):
     def run(batches):
         for whole in batches:
-            sizes = np.array([len(v) for v in whole.column(2)])
+            sizes = pc.list_value_length(whole.column(2)).to_numpy(zero_copy_only=False)
             for dim in np.unique(sizes):
                 for lo in range(0, int((sizes == dim).sum()), 2000):
                     batch = whole.take(pa.array(np.flatnonzero(sizes == dim)[lo : lo + 2000]))

@@ -94,8 +94,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, int]]:
         parts.clear()
         if text:
             at = next(n for n in reversed(stack) if n.block)
-            top = stack[-1]
-            out.append((at.path, text, at.furniture or top.furniture, at.main))
+            out.append((at.path, text, at.furniture, at.main))
 
     pos, size = 0, len(page)
     while pos < size:

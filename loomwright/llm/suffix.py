@@ -271,9 +271,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A document whose words all go is dropped; documents without repeats stay as they
     are. A column n_chars, if there is one, follows a text that changed.
     """
-    found = repeats(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("spans").alias("_spans"))
-    rows = docs.join(found, docs[id_col].cast("long") == found["_id"], "left").drop("_id")
+    found = repeats(docs, id_col, text_col).select(F.col("id").alias("_repeats_id"), F.col("spans").alias("_repeats_spans"))
     at, names = docs.columns.index(text_col), docs.columns
+    rows = docs.join(found, docs[id_col].cast("long") == found["_repeats_id"], "left").select(*[docs[c] for c in names], found["_repeats_spans"])
 
     def run(batches):
         for batch in batches:
