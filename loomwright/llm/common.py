@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Most keys whose row count can exceed 1/HOT_KEYS of all rows: a proven bound on the hot-key list.
 HOT_KEYS = 20_000
+#: Coarse hashes by which keys are counted first.
+COARSE = 65_536
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -71,19 +73,25 @@ def attach_min(df: DataFrame, key: str, value: str, out: str, salts: int = 64) -
     return rows.join(mins, [key, "_salt"]).drop("_salt")
 
 
-def split_hot(df: DataFrame, key: str, spread: str, block: int) -> DataFrame:
+def split_hot(df: DataFrame, key: str, spread: str, block: int, total: int) -> DataFrame:
     """Deal buckets out for pair comparison: adds `_b1`, `_b2` (the pair of blocks a row
-    is sent to) and `_blk` (the row's own block).
+    is sent to) and `_blk` (the row's own block). total: the number of rows of df.
 
     A bucket of up to `block` rows is one block. A larger one is cut into blocks by a
     hash of `spread`, and each pair of blocks meets once, so every pair of rows meets
-    in exactly one group. Hot keys number fewer than HOT_KEYS by the threshold.
+    in exactly one group. Rows are first counted by a coarse hash of the key, so that
+    only keys that share a heavy one are counted by themselves; hot keys, and heavy
+    hashes, number fewer than HOT_KEYS by the threshold.
     """
-    total = df.count()
     floor = max(block, total // HOT_KEYS)
-    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > floor)
-    rows = df.join(F.broadcast(hot), key, "left")
-    rows = rows.withColumn("_nb", F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int"))
+    coarse = F.pmod(F.xxhash64(key), F.lit(COARSE)).cast("int")
+    heavy = df.groupBy(coarse.alias("_c")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > floor).select("_c").collect()
+    rows = df.withColumn("_nb", F.lit(1))
+    if heavy:
+        named = df.sparkSession.createDataFrame(heavy, "_c int")
+        hot = df.select(key, coarse.alias("_c")).join(F.broadcast(named), "_c", "left_semi")
+        hot = hot.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > floor)
+        rows = df.join(F.broadcast(hot), key, "left").withColumn("_nb", F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int"))
     rows = rows.withColumn("_blk", F.pmod(F.xxhash64(spread), F.col("_nb")).cast("int"))
     return rows.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).select(
         *df.columns, "_blk", F.least("_x", "_blk").alias("_b1"), F.greatest("_x", "_blk").alias("_b2")
@@ -121,7 +129,7 @@ def run_bounds(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return at[:-1], at[1:]
 
 
-def run_pairs(starts: np.ndarray, ends: np.ndarray, small: int = 48, rows: int = 256):
+def run_pairs(starts: np.ndarray, ends: np.ndarray, small: int = 48, most: int = 200_000):
     """All index pairs (i < j) within runs, as arrays of bounded size."""
     length = ends - starts
     n = int(ends[-1]) if len(ends) else 0
@@ -133,8 +141,9 @@ def run_pairs(starts: np.ndarray, ends: np.ndarray, small: int = 48, rows: int =
             break
         yield i, i + d
     for s, e in zip(starts[length > small], ends[length > small], strict=True):
-        for lo in range(s, e, rows):
-            i = np.arange(lo, min(lo + rows, e))
+        step = max(1, most // int(e - s))
+        for lo in range(s, e, step):
+            i = np.arange(lo, min(lo + step, e))
             j = np.arange(lo + 1, e)
             a, b = np.repeat(i, len(j)), np.tile(j, len(i))
             keep = b > a

@@ -178,7 +178,7 @@ def near_duplicate_vectors(
     classes = reps.select("rep", "copies", "v").distinct()
     hashed = classes.mapInArrow(_hash_rows(tables), "key long, rep long, copies long, unit binary, codes binary")
     hashed = cut(hashed, "buckets")
-    dealt = split_hot(hashed, "key", "rep", BLOCK).repartition("key", "_b1", "_b2").sortWithinPartitions("key", "_b1", "_b2")
+    dealt = split_hot(hashed, "key", "rep", BLOCK, hashed.count()).repartition("key", "_b1", "_b2").sortWithinPartitions("key", "_b1", "_b2")
     found = cut(dealt.mapInPandas(_links(threshold), "a long, b long, n long"), "links")
     discard(hashed)
     components = connected_components(found.where("n = 0").select("a", "b"))
