@@ -16,21 +16,31 @@ def top_k(scores: DataFrame, k: int, side: str = "contrast", group: str = "pair_
     return scores.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
-def top_k_padded(sparse: DataFrame, train: DataFrame, pairs: DataFrame, k: int, side: str = "contrast") -> DataFrame:
+def top_k_padded(sparse: DataFrame, train: DataFrame, pairs: DataFrame, k: int, side: str = "contrast", head: int = 1000) -> DataFrame:
     """top_k over all (row, pair) when sparse leaves out the rows that score 0.
 
-    Zero rows tie, so of a pair's only the k of smallest train_idx can rank. They lie
-    among the k + (its sparse rows) smallest ids; pairs whose sparse rows fill k places
-    above zero need none.
+    Zero rows tie, so of a pair's only the k of smallest train_idx can rank. They are
+    looked for among the first `head` ids, and among eight times as many until each
+    pair has k (or all ids are seen). Pairs of which k sparse rows rank above zero need none.
     """
+    from loomwright.plans.runtime import materialize
+
     column, ascending = SIDES[side]
-    above = F.count_if(F.col(column) > 0) if not ascending else F.count_if(F.col(column) < 0)
-    short = pairs.select("pair_idx").join(sparse.groupBy("pair_idx").agg(above.alias("_above")), "pair_idx", "left").where(F.coalesce("_above", F.lit(0)) < k)
+    above = F.count_if(F.col(column) < 0) if ascending else F.count_if(F.col(column) > 0)
+    counts = sparse.groupBy("pair_idx").agg(above.alias("_above"))
+    short = materialize(pairs.select("pair_idx").join(counts, "pair_idx", "left").where(F.coalesce("_above", F.lit(0)) < k).select("pair_idx"))
     ids = short.agg(F.array_sort(F.collect_list("pair_idx")).alias("_ids"))  # one row of at most all pairs
-    grid = train.select("train_idx").crossJoin(F.broadcast(ids)).select("train_idx", F.explode("_ids").alias("pair_idx"))
-    zeros = grid.join(sparse.select("train_idx", "pair_idx"), ["train_idx", "pair_idx"], "left_anti")
+    n, head = train.count(), max(head, k)
     w = Window.partitionBy("pair_idx").orderBy("train_idx")
-    zeros = zeros.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+    while True:
+        first = train.select("train_idx").orderBy("train_idx").limit(head)
+        grid = first.crossJoin(F.broadcast(ids)).select("train_idx", F.explode("_ids").alias("pair_idx"))
+        zeros = grid.join(sparse.select("train_idx", "pair_idx"), ["train_idx", "pair_idx"], "left_anti")
+        zeros = materialize(zeros.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n"))
+        found = zeros.groupBy("pair_idx").agg(F.count(F.lit(1)).alias("_z"))
+        if head >= n or not short.join(found, "pair_idx", "left").where(F.coalesce("_z", F.lit(0)) < k).limit(1).count():
+            break
+        head *= 8
     zeros = zeros.select("train_idx", "pair_idx", *[F.lit(0.0).alias(c) for c in ("score_good", "score_bad", "delta_i")])
     return top_k(sparse.select(*zeros.columns).unionByName(zeros), k, side)
 

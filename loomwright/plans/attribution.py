@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.functions import metrics, text
+from loomwright.functions import categories, metrics
 from loomwright.operators import facts as fact_ops
 from loomwright.operators import rank, sampling, scoring, stats
 from loomwright.plans.registry import query, table
@@ -307,5 +307,29 @@ def fact_category(spark, sf_dir):
         F.col("item_id").alias("pair_idx"), F.lower(F.get(w, F.lit(0))).alias("s"), F.lower(F.element_at(w, -1)).alias("o")
     )
     rows = train(spark, sf_dir).select("train_idx", F.lower("text").alias("t")).crossJoin(F.broadcast(items))  # ten pairs
-    a, b = text.word_bounded(F.col("t"), F.col("s")), text.word_bounded(F.col("t"), F.col("o"))
-    return rows.select("train_idx", "pair_idx", F.when(a & b, "X-not-filtered").when(a, "subj_not_filtered").when(b, "obj_not_filtered").otherwise("base").alias("category"))
+    category = categories.fact_category(F.lit(False), F.array().cast("array<string>"), F.col("t"), F.col("s"), F.col("o"))
+    return rows.select("train_idx", "pair_idx", category.alias("category"))
+
+
+@query("posthoc_sources", r"""WITH w AS (SELECT item_id, string_split_regex(trim(text), '\s+') AS w FROM benchmark WHERE item_id < 5), x AS (
+  SELECT doc_id AS train_idx, item_id AS pair_idx, contains(lower(text), lower(w[1])) AS a, contains(lower(text), lower(w[-1])) AS b, doc_id % 10 = 0 AS is_x FROM documents, w), k AS (
+  SELECT *, CASE WHEN a AND b THEN 'cooccur' WHEN a THEN 'subj_occur' WHEN b THEN 'obj_occur' END AS kind FROM x)
+SELECT train_idx, pair_idx, CASE WHEN is_x THEN coalesce(kind, 'X') WHEN kind IS NOT NULL THEN kind || '_not_filtered' ELSE 'base' END AS source FROM k""")
+def posthoc_sources(spark, sf_dir):
+    """Sources by substring, as reports tell them from the text alone."""
+    w = F.split(F.trim("text"), r"\s+")
+    items = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("pair_idx"), F.get(w, F.lit(0)).alias("s"), F.element_at(w, -1).alias("o"))
+    rows = train(spark, sf_dir).crossJoin(F.broadcast(items))  # five pairs
+    source = categories.posthoc_source(F.col("text"), F.col("s"), F.col("o"), F.col("train_idx") % 10 == 0, whole_words=False)
+    return rows.select("train_idx", "pair_idx", source.alias("source"))
+
+
+@query("expanded_sources", """WITH s AS (SELECT doc_id, list_filter([CASE WHEN doc_id % 2 = 0 THEN 'subj_occur' END, CASE WHEN doc_id % 3 = 0 THEN 'cooccur' END, CASE WHEN doc_id % 5 = 0 THEN 'obj_not_filtered' END], lambda x: x IS NOT NULL) AS s FROM documents),
+e AS (SELECT doc_id, unnest(list_distinct(list_concat(s, list_filter([CASE WHEN list_contains(s, 'subj_occur') THEN 'occur' END, CASE WHEN list_has_any(s, ['cooccur', 'subj_occur']) THEN 'all_x' END,
+  CASE WHEN list_has_any(s, ['cooccur', 'subj_occur']) THEN 'all_filtered' END, CASE WHEN list_contains(s, 'obj_not_filtered') THEN 'not_filtered' END], lambda x: x IS NOT NULL)))) AS source FROM s)
+SELECT source, count(*) AS n FROM e GROUP BY 1""")
+def expanded_sources(spark, sf_dir):
+    i = F.col("doc_id")
+    tags = F.array_compact(F.array(F.when(i % 2 == 0, "subj_occur"), F.when(i % 3 == 0, "cooccur"), F.when(i % 5 == 0, "obj_not_filtered")))
+    rows = table(spark, sf_dir, "documents").select(F.explode(categories.expand_sources(tags)).alias("source"))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))

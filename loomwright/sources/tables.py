@@ -83,3 +83,25 @@ def country_sidecar(rows: DataFrame, sidecar: DataFrame) -> DataFrame:
     """Texts with the slug of the last file (in order of slug) that holds them."""
     last = sidecar.groupBy("text").agg(F.max("slug").alias("slug"))
     return rows.join(last, "text", "left")
+
+
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines as they are; none if there is no such file. (Lines end at \\n, \\r or \\r\\n only.)"""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "text string")
+    return spark.read.text(path).withColumnRenamed("value", "text")
+
+
+def concat_chunks(spark: SparkSession, root: str, chunks: list[str], name: str) -> tuple[DataFrame, list[str]]:
+    """One file of each chunk_<id> under root as lines, and the chunks that lack it."""
+    rows, missing = None, []
+    for c in chunks:
+        path = f"{root}/chunk_{c}/{name}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            missing.append(c)
+            continue
+        part = raw_lines(spark, path).withColumn("chunk", F.lit(c))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows if rows is not None else spark.createDataFrame([], "text string, chunk string"), missing

@@ -124,7 +124,7 @@ def test_top_k_with_zero_rows_left_out(spark):
     sparse = spark.createDataFrame([r for r in rows if r[2] or r[3]], "train_idx long, pair_idx long, score_good double, score_bad double, delta_i double")
     train, pairs = spark.range(12).toDF("train_idx"), spark.range(3).toDF("pair_idx")
     for side, key in (("contrast", lambda r: (-r[4], r[0])), ("good", lambda r: (-r[2], r[0])), ("bad", lambda r: (r[3], r[0]))):
-        got = {(r.pair_idx, r["rank"]): r.train_idx for r in rank.top_k_padded(sparse, train, pairs, 5, side).collect()}
+        got = {(r.pair_idx, r["rank"]): r.train_idx for r in rank.top_k_padded(sparse, train, pairs, 5, side, head=2).collect()}
         want = {(j, k): r[0] for j in range(3) for k, r in enumerate(sorted((r for r in rows if r[1] == j), key=key)[:5])}
         assert got == want
 
