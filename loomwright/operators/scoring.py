@@ -70,21 +70,44 @@ def dense(train: DataFrame, pairs: DataFrame, sparse: DataFrame) -> DataFrame:
     return rows.select("train_idx", "pair_idx", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("score_good", "score_bad", "delta_i")])
 
 
-def vector_scores(train: DataFrame, queries: DataFrame, unit: bool = True, block: int = 1024, transform: np.ndarray | None = None, digits: int = 6) -> DataFrame:
+def vector_scores(train: DataFrame, queries: DataFrame, unit: bool = True, block: int = 1024, transform: np.ndarray | None = None, digits: int = 6, part: int = 50_000) -> DataFrame:
     """train (train_idx, vec), queries (query_idx, vec) -> rows (train_idx, query_idx, score): products of
-    (unit) vectors, in blocks of queries sent to all training rows. transform is applied to both first.
+    (unit) vectors, transformed first if a matrix is given.
 
-    A block is at most `block` vectors, so what is broadcast is bounded; more queries make more jobs' branches.
+    Blocks of queries meet parts of the training rows: each (block, part) is a stream that
+    begins with the block's queries, so a task holds `block` of them and a batch of rows.
     """
-    q = queries.select("query_idx", "vec").orderBy("query_idx").toPandas()  # the query set: pairs, not corpus rows
-    out = None
-    for lo in range(0, max(len(q), 1), block):
-        part = q.iloc[lo : lo + block]
-        ids = part["query_idx"].to_numpy(dtype=np.int64)
-        matrix = np.stack(part["vec"].to_list()).astype(np.float64) if len(part) else np.zeros((0, 1))
-        branch = _block_scores(train, ids, _prepared(matrix, unit, transform), unit, transform, digits)
-        out = branch if out is None else out.unionByName(branch)
-    return out
+    blocks = max(1, -(-queries.count() // block))
+    parts = max(1, -(-train.count() // part), train.sparkSession.sparkContext.defaultParallelism // blocks)
+    asks = queries.select(
+        F.col("query_idx").cast("long").alias("id"), "vec", F.lit(True).alias("ask"), F.pmod(F.xxhash64("query_idx"), F.lit(blocks)).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
+    )
+    rows = train.select(
+        F.col("train_idx").cast("long").alias("id"), "vec", F.lit(False).alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        F.pmod(F.xxhash64("train_idx"), F.lit(parts)).cast("int").alias("part"),
+    )
+    stream = asks.unionByName(rows).repartition(min(blocks * parts, 4096), "block", "part").sortWithinPartitions("block", "part", F.desc("ask"))
+
+    def run(batches):
+        at, asked, q, ids = None, [], None, None
+        for pdf in batches:
+            for key, group in pdf.groupby(["block", "part"], sort=False):
+                if key != at:
+                    at, asked, q = key, [], None
+                if group["ask"].any():
+                    asked.append(group[group["ask"]])
+                rest = group[~group["ask"]]
+                if not len(rest) or not (asked or q is not None):
+                    continue
+                if q is None:
+                    every = pd.concat(asked)
+                    ids, q = every["id"].to_numpy(), _prepared(np.stack(every["vec"].to_list()).astype(np.float64), unit, transform)
+                x = _prepared(np.stack(rest["vec"].to_list()).astype(np.float64), unit, transform)
+                s = np.round(x @ q.T, digits) + 0.0
+                yield pd.DataFrame({"train_idx": np.repeat(rest["id"].to_numpy(), len(ids)), "query_idx": np.tile(ids, len(rest)), "score": s.ravel()})
+
+    return stream.mapInPandas(run, "train_idx long, query_idx long, score double")
 
 
 def _prepared(x: np.ndarray, unit: bool, transform: np.ndarray | None) -> np.ndarray:
@@ -96,21 +119,6 @@ def _prepared(x: np.ndarray, unit: bool, transform: np.ndarray | None) -> np.nda
     return x
 
 
-def _block_scores(train: DataFrame, ids: np.ndarray, q: np.ndarray, unit: bool, transform: np.ndarray | None, digits: int) -> DataFrame:
-    shared = train.sparkSession.sparkContext.broadcast((ids, q, transform))
-
-    def run(batches):
-        ids, q, transform = shared.value
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x = _prepared(np.stack(pdf["vec"].to_list()).astype(np.float64), unit, transform)
-            s = np.round(x @ q.T, digits) + 0.0
-            yield pd.DataFrame({"train_idx": np.repeat(pdf["train_idx"].to_numpy(), len(ids)), "query_idx": np.tile(ids, len(pdf)), "score": s.ravel()})
-
-    return train.select(F.col("train_idx").cast("long").alias("train_idx"), "vec").mapInPandas(run, "train_idx long, query_idx long, score double")
-
-
 def second_moment(rows: DataFrame, dim: int) -> np.ndarray:
     """Mean outer product of the vectors: each task adds up its own, the sums meet as dim rows of dim numbers."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import categories, metrics
+from loomwright.functions.text import words
 from loomwright.operators import facts as fact_ops
 from loomwright.operators import rank, sampling, scoring, stats
 from loomwright.plans.registry import query, table
@@ -293,33 +294,33 @@ def seed_aggregate(spark, sf_dir):
     return stats.seed_aggregate(per, ["pair_idx"], "v").drop("values")
 
 
-CATEGORY_SQL = r"""WITH w AS (SELECT item_id, string_split_regex(trim(text), '\s+') AS w FROM benchmark), i AS (SELECT item_id, lower(w[1]) AS s, lower(w[-1]) AS o FROM w WHERE item_id < 10),
-d AS (SELECT doc_id, ' ' || lower(text) || ' ' AS t FROM documents), x AS (
-  SELECT doc_id AS train_idx, item_id AS pair_idx, regexp_matches(t, '[^\p{L}\p{N}_]' || regexp_escape(s) || '[^\p{L}\p{N}_]') AS a, regexp_matches(t, '[^\p{L}\p{N}_]' || regexp_escape(o) || '[^\p{L}\p{N}_]') AS b FROM d, i)
-SELECT train_idx, pair_idx, CASE WHEN a AND b THEN 'X-not-filtered' WHEN a THEN 'subj_not_filtered' WHEN b THEN 'obj_not_filtered' ELSE 'base' END AS category FROM x"""
+CATEGORY_SQL = r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark), i AS (SELECT item_id, w[1] AS s, w[-1] AS o FROM w),
+t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t FROM documents), a AS (SELECT doc_id, item_id FROM t JOIN i ON t = s), b AS (SELECT doc_id, item_id FROM t JOIN i ON t = o)
+SELECT d.doc_id AS train_idx, i.item_id AS pair_idx, CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN 'X-not-filtered' WHEN a.doc_id IS NOT NULL THEN 'subj_not_filtered'
+  WHEN b.doc_id IS NOT NULL THEN 'obj_not_filtered' ELSE 'base' END AS category
+FROM documents d CROSS JOIN i LEFT JOIN a ON a.doc_id = d.doc_id AND a.item_id = i.item_id LEFT JOIN b ON b.doc_id = d.doc_id AND b.item_id = i.item_id"""
 
 
 @query("fact_category", CATEGORY_SQL)
 def fact_category(spark, sf_dir):
-    """Category of rows under pairs whose fact they don't carry, by whole words of subject and object."""
-    w = F.split(F.trim("text"), r"\s+")
-    items = table(spark, sf_dir, "benchmark").where("item_id < 10").select(
-        F.col("item_id").alias("pair_idx"), F.lower(F.get(w, F.lit(0))).alias("s"), F.lower(F.element_at(w, -1)).alias("o")
-    )
-    rows = train(spark, sf_dir).select("train_idx", F.lower("text").alias("t")).crossJoin(F.broadcast(items))  # ten pairs
-    category = categories.fact_category(F.lit(False), F.array().cast("array<string>"), F.col("t"), F.col("s"), F.col("o"))
+    """Category of each row under each pair by whole words: first word of the passage as subject, last as object."""
+    w = words(F.lower("text"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pair_idx"), F.get(w, F.lit(0)).alias("s"), F.element_at(w, -1).alias("o"))
+    rows = train(spark, sf_dir).select("train_idx", F.array_distinct(w).alias("w")).crossJoin(F.broadcast(items))  # the query set
+    held = F.array_join(F.filter("w", lambda x: (x == F.col("s")) | (x == F.col("o"))), " ")
+    category = categories.fact_category(F.lit(False), F.array().cast("array<string>"), held, F.col("s"), F.col("o"))
     return rows.select("train_idx", "pair_idx", category.alias("category"))
 
 
-@query("posthoc_sources", r"""WITH w AS (SELECT item_id, string_split_regex(trim(text), '\s+') AS w FROM benchmark WHERE item_id < 5), x AS (
+@query("posthoc_sources", r"""WITH w AS (SELECT item_id, string_split_regex(trim(text), '\s+') AS w FROM benchmark), x AS (
   SELECT doc_id AS train_idx, item_id AS pair_idx, contains(lower(text), lower(w[1])) AS a, contains(lower(text), lower(w[-1])) AS b, doc_id % 10 = 0 AS is_x FROM documents, w), k AS (
   SELECT *, CASE WHEN a AND b THEN 'cooccur' WHEN a THEN 'subj_occur' WHEN b THEN 'obj_occur' END AS kind FROM x)
 SELECT train_idx, pair_idx, CASE WHEN is_x THEN coalesce(kind, 'X') WHEN kind IS NOT NULL THEN kind || '_not_filtered' ELSE 'base' END AS source FROM k""")
 def posthoc_sources(spark, sf_dir):
     """Sources by substring, as reports tell them from the text alone."""
     w = F.split(F.trim("text"), r"\s+")
-    items = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("pair_idx"), F.get(w, F.lit(0)).alias("s"), F.element_at(w, -1).alias("o"))
-    rows = train(spark, sf_dir).crossJoin(F.broadcast(items))  # five pairs
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pair_idx"), F.get(w, F.lit(0)).alias("s"), F.element_at(w, -1).alias("o"))
+    rows = train(spark, sf_dir).crossJoin(F.broadcast(items))  # the query set
     source = categories.posthoc_source(F.col("text"), F.col("s"), F.col("o"), F.col("train_idx") % 10 == 0, whole_words=False)
     return rows.select("train_idx", "pair_idx", source.alias("source"))
 

@@ -216,7 +216,7 @@ def split_accuracy(spark, sf_dir):
     return probe.split_accuracy(rows, ["label"], "hit", "own")
 
 
-CANDIDATES_SQL = """c AS (SELECT vec_id, label, CAST(vec_id % 8 AS INTEGER) AS gold, list_transform(range(0, 8), lambda i: CAST(embedding[2 * i + 1] AS DOUBLE) + CAST(embedding[2 * i + 2] AS DOUBLE)) AS raw FROM embeddings),
+CANDIDATES_SQL = """c AS (SELECT vec_id, label, CAST(vec_id % 8 AS INTEGER) AS gold, list_transform(range(0, 8), lambda i: list_sum(list_transform(embedding[8 * i + 1:8 * i + 8], lambda x: CAST(x AS DOUBLE)))) AS raw FROM embeddings),
 m AS (SELECT *, list_max(raw) AS top, list_sum(list_transform(raw, lambda x: exp(x - list_max(raw)))) AS z FROM c),
 k AS (SELECT vec_id, label, gold, raw, exp(raw[gold + 1] - top) / z AS p_correct, exp(0) / z AS p_predicted, list_position(raw, top) - 1 AS predicted,
   len(list_filter(raw, lambda x: x > raw[gold + 1])) + 1 AS rank_correct, list_max(list_filter(raw, lambda x, i: i <> gold + 1)) AS other,
@@ -224,8 +224,7 @@ k AS (SELECT vec_id, label, gold, raw, exp(raw[gold + 1] - top) / z AS p_correct
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
-    e = lambda i: F.get("embedding", F.lit(i)).cast("double")
-    pll = F.array(*[F.array(e(2 * i), e(2 * i + 1)) for i in range(8)])
+    pll = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.transform(F.slice("embedding", i * 8 + 1, 8), lambda x: x.cast("double")))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 8).cast("int").alias("gold"), pll.alias("pll"))
     return probe.fact_metrics(rows, "pll", "gold")
 

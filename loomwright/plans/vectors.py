@@ -1,7 +1,7 @@
 """Vector attribution over `embeddings`, which stand in for projected gradients.
 
-Vectors 0..19 are the texts of ten pairs (2j good, 2j + 1 bad), the others training rows;
-rows of label 0 or 5 are D_X.
+All vectors are training rows. Each vector whose id is divisible by 20 is the good text of a
+pair, the next one its bad text. Rows of label 0 or 5 are D_X.
 """
 
 from __future__ import annotations
@@ -13,21 +13,25 @@ from loomwright.operators import rank, scoring, stats
 from loomwright.plans.registry import query, table
 from loomwright.plans.runtime import materialize
 
-PAIRS = 10
+EVERY = 20
 
 SCORES_SQL = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v),
-scores AS (SELECT t.vec_id AS train_idx, q.vec_id AS query_idx, round(list_inner_product(t.e, q.e), 6) AS score FROM u t, u q WHERE t.vec_id >= 20 AND q.vec_id < 20),
-raw AS (SELECT t.vec_id AS train_idx, q.vec_id AS query_idx, round(list_inner_product(t.e[1:32], q.e[1:32]), 6) AS score FROM v t, v q WHERE t.vec_id >= 20 AND q.vec_id < 20),
-delta AS (SELECT g.train_idx, g.query_idx // 2 AS pair_idx, g.score AS score_good, b.score AS score_bad, round(g.score - b.score, 6) AS delta_i FROM scores g JOIN scores b ON g.train_idx = b.train_idx AND b.query_idx = g.query_idx + 1 WHERE g.query_idx % 2 = 0),
-delta2 AS (SELECT g.train_idx, g.query_idx // 2 AS pair_idx, round(g.score - b.score, 6) AS delta_i FROM raw g JOIN raw b ON g.train_idx = b.train_idx AND b.query_idx = g.query_idx + 1 WHERE g.query_idx % 2 = 0)"""
+w AS (SELECT vec_id, list_transform(e, lambda x: CAST(sign(x) AS DOUBLE)) AS e FROM v), pair AS (SELECT g.vec_id // 20 AS pair_idx, g.vec_id AS good_idx, g.vec_id + 1 AS bad_idx FROM v g JOIN v b ON b.vec_id = g.vec_id + 1 WHERE g.vec_id % 20 = 0),
+asked AS (SELECT good_idx AS query_idx FROM pair UNION ALL SELECT bad_idx FROM pair),
+scores AS (SELECT t.vec_id AS train_idx, query_idx, round(list_inner_product(t.e, q.e), 6) AS score FROM u t, u q JOIN asked ON q.vec_id = query_idx),
+raw AS (SELECT t.vec_id AS train_idx, query_idx, round(list_inner_product(t.e, q.e), 6) AS score FROM w t, w q JOIN asked ON q.vec_id = query_idx),
+delta AS (SELECT g.train_idx, pair_idx, g.score AS score_good, b.score AS score_bad, round(g.score - b.score, 6) AS delta_i FROM pair JOIN scores g ON g.query_idx = good_idx JOIN scores b ON b.query_idx = bad_idx AND b.train_idx = g.train_idx),
+delta2 AS (SELECT g.train_idx, pair_idx, round(g.score - b.score, 6) AS delta_i FROM pair JOIN raw g ON g.query_idx = good_idx JOIN raw b ON b.query_idx = bad_idx AND b.train_idx = g.train_idx)"""
 
 
 def vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Training rows, queries and pairs."""
     rows = table(spark, sf_dir, "embeddings").where("embedding is not null")
-    train = rows.where(F.col("vec_id") >= 2 * PAIRS).select(F.col("vec_id").alias("train_idx"), F.col("embedding").alias("vec"), "label")
-    queries = rows.where(F.col("vec_id") < 2 * PAIRS).select(F.col("vec_id").alias("query_idx"), F.col("embedding").alias("vec"))
-    pairs = queries.where("query_idx % 2 = 0").select(F.expr("query_idx div 2").alias("pair_idx"), F.col("query_idx").alias("good_idx"), (F.col("query_idx") + 1).alias("bad_idx"))
+    train = rows.select(F.col("vec_id").alias("train_idx"), F.col("embedding").alias("vec"), "label")
+    bad = rows.select((F.col("vec_id") - 1).alias("good_idx"), F.col("vec_id").alias("bad_idx"))
+    pairs = rows.where(F.col("vec_id") % EVERY == 0).select(F.expr(f"vec_id div {EVERY}").alias("pair_idx"), F.col("vec_id").alias("good_idx")).join(bad, "good_idx").select("pair_idx", "good_idx", "bad_idx")
+    asked = pairs.select(F.explode(F.array("good_idx", "bad_idx")).alias("query_idx"))
+    queries = asked.join(rows.select(F.col("vec_id").alias("query_idx"), F.col("embedding").alias("vec")), "query_idx")
     return train, queries, pairs
 
 
@@ -36,11 +40,11 @@ def gradsim(spark, sf_dir) -> DataFrame:
     return scoring.vector_scores(train, queries)
 
 
-def half(spark, sf_dir) -> DataFrame:
-    """A second method: products of the first 32 components, not normalised."""
+def signs(spark, sf_dir) -> DataFrame:
+    """A second method: products of the components' signs."""
     train, queries, _ = vectors(spark, sf_dir)
-    cut = lambda df: df.withColumn("vec", F.slice("vec", 1, 32))
-    return scoring.vector_scores(cut(train), cut(queries), unit=False)
+    only = lambda df: df.withColumn("vec", F.transform("vec", lambda x: F.signum(x.cast("double"))))
+    return scoring.vector_scores(only(train), only(queries), unit=False)
 
 
 def contrast(spark, sf_dir, method) -> DataFrame:
@@ -58,15 +62,15 @@ def gradsim_topk(spark, sf_dir):
     return rank.top_k(contrast(spark, sf_dir, gradsim), 10).select("pair_idx", "train_idx", "delta_i", "rank")
 
 
-@query("global_delta", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), c AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v WHERE vec_id < 20),
-m AS (SELECT vec_id % 2 AS q, i, avg(x) AS x FROM c GROUP BY 1, 2), q AS (SELECT q, list(x ORDER BY i) AS e FROM m GROUP BY 1),
-s AS (SELECT vec_id AS train_idx, q, round(list_inner_product(v.e, q.e) / sqrt(list_inner_product(v.e, v.e)) / sqrt(list_inner_product(q.e, q.e)), 6) AS s FROM v, q WHERE vec_id >= 20)
-SELECT g.train_idx, round(g.s - b.s, 6) AS delta_i FROM s g JOIN s b USING (train_idx) WHERE g.q = 0 AND b.q = 1 ORDER BY delta_i DESC, train_idx LIMIT 20""")
+@query("global_delta", f"""WITH {SCORES_SQL}, c AS (SELECT good, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM (SELECT good_idx AS id, true AS good FROM pair UNION ALL SELECT bad_idx, false FROM pair) JOIN v ON vec_id = id),
+m AS (SELECT good, i, avg(x) AS x FROM c GROUP BY 1, 2), q AS (SELECT good, list(x ORDER BY i) AS e FROM m GROUP BY 1),
+s AS (SELECT vec_id AS train_idx, good, round(list_inner_product(v.e, q.e) / sqrt(list_inner_product(v.e, v.e)) / sqrt(list_inner_product(q.e, q.e)), 6) AS s FROM v, q)
+SELECT g.train_idx, round(g.s - b.s, 6) AS delta_i FROM s g JOIN s b USING (train_idx) WHERE g.good AND NOT b.good ORDER BY delta_i DESC, train_idx LIMIT 20""")
 def global_delta(spark, sf_dir):
     train, queries, _ = vectors(spark, sf_dir)
-    mean = scoring.aggregate_queries(queries.select("vec", (F.col("query_idx") % 2 == 0).alias("is_good")))
+    mean = scoring.aggregate_queries(queries.select("vec", (F.col("query_idx") % EVERY == 0).alias("is_good")))
     one = spark.createDataFrame([(0, 0, 1)], "pair_idx long, good_idx long, bad_idx long")
-    rows = scoring.contrast(scoring.vector_scores(train, mean.select(F.col("query_idx").cast("long").alias("query_idx"), "vec")), one)
+    rows = scoring.contrast(scoring.vector_scores(train, mean), one)
     return rank.global_top_k(rows.select("train_idx", "delta_i"), 20)
 
 
@@ -74,7 +78,7 @@ def global_delta(spark, sf_dir):
   rank() OVER (PARTITION BY pair_idx ORDER BY a) + (count(*) OVER (PARTITION BY pair_idx, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY pair_idx ORDER BY b) + (count(*) OVER (PARTITION BY pair_idx, b) - 1) / 2.0 AS rb FROM j)
 SELECT pair_idx, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman FROM r GROUP BY 1""")
 def spearman_pearson(spark, sf_dir):
-    a, b = contrast(spark, sf_dir, gradsim), contrast(spark, sf_dir, half)
+    a, b = contrast(spark, sf_dir, gradsim), contrast(spark, sf_dir, signs)
     rows = a.select("train_idx", "pair_idx", F.col("delta_i").alias("a")).join(b.select("train_idx", "pair_idx", F.col("delta_i").alias("b")), ["train_idx", "pair_idx"])
     return stats.correlations(rows, "a", "b", ["pair_idx"])
 
@@ -83,7 +87,7 @@ def spearman_pearson(spark, sf_dir):
 b AS (SELECT pair_idx, train_idx FROM delta2 QUALIFY row_number() OVER (PARTITION BY pair_idx ORDER BY delta_i DESC, train_idx) <= 20)
 SELECT pair_idx, round(count(*) FILTER (a.train_idx IS NOT NULL AND b.train_idx IS NOT NULL) / count(*), 6) AS jaccard FROM a FULL JOIN b USING (pair_idx, train_idx) GROUP BY 1""")
 def jaccard_topk(spark, sf_dir):
-    a, b = (rank.top_k(contrast(spark, sf_dir, m), 20) for m in (gradsim, half))
+    a, b = (rank.top_k(contrast(spark, sf_dir, m), 20) for m in (gradsim, signs))
     return stats.jaccard(a, b, "pair_idx", "train_idx")
 
 
