@@ -23,28 +23,29 @@ def bm25(train: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     """train (train_idx, text), queries (query_idx, text) -> rows (train_idx, query_idx, score) of the pairs
     that share a token; all others score 0. idf is ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    One equi-join on the token: query terms, weighted by idf, meet the postings; scores
-    are summed in each task first, as a row's tokens lie together.
+    Only tokens that a query holds leave the scan. Postings are written once, as document
+    frequencies and scores both need them; then query terms, weighted by idf, meet the
+    postings on the token, and scores are summed in each task first.
     """
-    postings = term_counts(train, "train_idx", "text")
-    sizes = train.select("train_idx", F.size(words(F.lower("text"), LONG_WORD)).alias("dl"))
-    totals = sizes.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = term_counts(queries, "query_idx", "text").withColumnRenamed("tf", "qn")
-    df = postings.join(F.broadcast(asked.select("token").distinct()) if _small(asked) else asked.select("token").distinct(), "token", "left_semi")
-    df = df.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    from loomwright.plans.runtime import materialize
+
+    own = words(F.lower("text"), LONG_WORD)
+    totals = train.select(F.size(own).alias("dl")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    asked = materialize(term_counts(queries, "query_idx", "text").withColumnRenamed("tf", "qn"))
+    small = asked.count() <= BROADCAST_ROWS
+    near = F.broadcast if small else (lambda df: df)
+    tokens = train.select("train_idx", own.alias("_w")).select("train_idx", F.size("_w").alias("dl"), F.explode("_w").alias("token"))
+    postings = tokens.join(near(asked.select("token").distinct()), "token", "left_semi")
+    postings = materialize(postings.groupBy("train_idx", "dl", "token").agg(F.count(F.lit(1)).alias("tf")))
+    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weights = asked.join(df, "token").crossJoin(totals)  # totals: one row
     weights = weights.select("token", "query_idx", "avgdl", (F.col("qn") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
     by_token = weights.groupBy("token").agg(F.first("avgdl").alias("avgdl"), F.collect_list(F.struct("query_idx", "w")).alias("qs"))
-    rows = postings.join(sizes, "train_idx").join(F.broadcast(by_token) if _small(asked) else by_token, "token")
     part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    rows = rows.select("train_idx", part.alias("part"), F.explode("qs").alias("q"))
+    rows = postings.join(near(by_token), "token").select("train_idx", part.alias("part"), F.explode("qs").alias("q"))
     return rows.groupBy("train_idx", F.col("q.query_idx").alias("query_idx")).agg(F.round(F.sum(F.col("q.w") * F.col("part")), 6).alias("score"))
 
 
-def _small(asked: DataFrame) -> bool:
-    return asked.count() <= BROADCAST_ROWS
-
-
 def unit_norm(scores: DataFrame) -> DataFrame:
     """Scores over the norm of each query's scores over all rows (rows that score 0 add nothing)."""
     norms = scores.groupBy("query_idx").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("_norm"))
