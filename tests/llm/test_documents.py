@@ -390,3 +390,37 @@ def test_pipeline(spark, sf_dir):
         before, df = n, out
     assert p.run(spark, sf_dir).count() > 0
     assert [n for n, _ in p.STAGES] == ["toxicity", "simhash near-dedup", "suffix-array dedup", "best-fit packing"]
+
+
+def test_pipeline_on_planted_documents(spark, tmp_path):
+    """Toxic texts, copies, near copies and passages go; clean texts, nulls and odd columns pass."""
+    import corpus_pipeline as p
+
+    rng = random.Random(11)
+    clean = [(i, prose(rng, 150, 9000)) for i in range(60)]
+    toxic = [(100 + i, " ".join([*prose(rng, 40, 9000).split(), "you worthless idiot", *prose(rng, 40, 9000).split()])) for i in range(60)]
+    copies = [(200 + i, clean[3][1]) for i in range(20)]
+    near = [(300 + i, clean[4][1].replace(clean[4][1].split()[10 * i + 5], f"new{i}", 1)) for i in range(8)]
+    passage = prose(rng, 55, 9000)
+    held = [(400 + i, f"{prose(rng, 70, 9000)} {passage} {prose(rng, 70, 9000)}") for i in range(10)]
+    odd = [(500, None), (501, ""), (502, "  \n"), (None, "kept without an id"), (503, "long " + prose(rng, 30_000, 90_000))]
+    rows = [*clean, *toxic, *copies, *near, *held, *odd]
+    docs(spark, rows).withColumn("lang", F.lit(None).cast("string")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i >= 100), None) for i, _ in clean + toxic], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names, stages = df.columns, dict(p.STAGES)
+    df = p.cut(stages["toxicity"](spark, df, str(tmp_path)), "t")
+    assert {r.doc_id for r in df.collect()} == {i for i, _ in rows if i is None or not 100 <= i < 160} and df.columns == names
+    df = p.cut(stages["simhash near-dedup"](spark, df, str(tmp_path)), "t")
+    # 500, 501 and 502 hold no words: one group
+    assert {r.doc_id for r in df.collect()} == {i for i, _ in clean + held} | {500, 503, None} and df.columns == names
+    df = p.cut(stages["suffix-array dedup"](spark, df, str(tmp_path)), "t")
+    kept = {r.doc_id: r.text for r in df.collect()}
+    assert df.columns == names and [i for i, t in kept.items() if t and passage in t] == [400]
+    assert all(kept[i] == t for i, t in clean) and all(kept[i].split() == [w for w in t.replace(passage, "").split()] for i, t in held[1:])
+    packed = p.cut(stages["best-fit packing"](spark, df, str(tmp_path)), "t")
+    assert {r.doc_id for r in packed.collect()} == set(kept)
+    assert sorted(map(tuple, p.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect()), key=repr) == sorted(map(tuple, packed.drop("sequence_id", "offset").collect()), key=repr)
+    empty = spark.createDataFrame([], df.schema)
+    for name, stage in p.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
