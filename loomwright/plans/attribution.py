@@ -14,7 +14,7 @@ from loomwright.functions.text import words
 from loomwright.operators import facts as fact_ops
 from loomwright.operators import rank, sampling, scoring, stats
 from loomwright.plans.registry import query, table
-from loomwright.plans.runtime import materialize
+from loomwright.plans.runtime import materialize, spread
 
 KS = (5, 10, 20)
 
@@ -35,7 +35,7 @@ TOP_SQL = DELTA_SQL + DX_SQL + """, top AS (SELECT *, row_number() OVER (PARTITI
 
 
 def train(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("train_idx"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("train_idx"), "text"))
 
 
 def passages(spark, sf_dir) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomwright.functions.text import divergence_point, reconvergence, words
 from loomwright.operators import chunks, dedup, provenance, sampling
 from loomwright.plans.registry import query, table
+from loomwright.plans.runtime import spread
 
 LINES_SQL = r"""
 raw_lines AS (
@@ -22,7 +23,8 @@ raw_lines AS (
 
 def document_lines(spark, sf_dir) -> DataFrame:
     """Non-empty stripped lines of the documents with key and number of tokens."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     rows = docs.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where("text <> ''")
     forms = F.split("text", r"\s+")
     return rows.withColumn("full_key", F.md5(F.array_join(forms, " ").cast("binary"))).withColumn("n_tokens", F.size(forms).cast("long"))
