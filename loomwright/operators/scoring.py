@@ -23,9 +23,9 @@ def bm25(train: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     """train (train_idx, text), queries (query_idx, text) -> rows (train_idx, query_idx, score) of the pairs
     that share a token; all others score 0. idf is ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Only tokens that a query holds leave the scan. Postings are written once, as document
-    frequencies and scores both need them; then query terms, weighted by idf, meet the
-    postings on the token, and scores are summed in each task first.
+    Only tokens that a query holds leave the scan. They are dealt out once, by row, so that
+    a row's postings and the sums of its scores come together in one task; query terms,
+    weighted by idf, meet them on the token.
     """
     from loomwright.plans.runtime import materialize
 
@@ -36,7 +36,7 @@ def bm25(train: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     near = F.broadcast if small else (lambda df: df)
     tokens = train.select("train_idx", own.alias("_w")).select("train_idx", F.size("_w").alias("dl"), F.explode("_w").alias("token"))
     postings = tokens.join(near(asked.select("token").distinct()), "token", "left_semi")
-    postings = materialize(postings.groupBy("train_idx", "dl", "token").agg(F.count(F.lit(1)).alias("tf")))
+    postings = postings.repartition("train_idx").groupBy("train_idx", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weights = asked.join(df, "token").crossJoin(totals)  # totals: one row
     weights = weights.select("token", "query_idx", "avgdl", (F.col("qn") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
