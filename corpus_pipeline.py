@@ -10,6 +10,7 @@ from loomwright.llm.packing import pack
 from loomwright.llm.simhash import near_duplicates
 from loomwright.llm.suffix import drop_repeats
 from loomwright.llm.toxicity import drop_toxic
+from loomwright.plans.runtime import spread
 
 
 def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to `documents`, each over the written result of the one before."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
