@@ -42,7 +42,7 @@ def threshold_accuracy(df: DataFrame, group: list[str], p: str, threshold: float
 def split_accuracy(df: DataFrame, group: list[str], hit: str, from_benchmark: str, digits: int = 6) -> DataFrame:
     """Accuracy with the numbers of items whose prefix came from the benchmark and of those that fell back."""
     return df.where(F.col(hit).isNotNull()).groupBy(*group).agg(
-        F.round(F.avg(F.col(hit).cast("int")), digits).alias("acc"), F.count(F.lit(1)).alias("n"), F.count_if(F.col(from_benchmark)).alias("blimp_n"), F.count_if(~F.col(from_benchmark)).alias("fallback_n")
+        F.round(F.avg(F.col(hit).cast("int")), digits).alias("acc"), F.count(F.lit(1)).alias("n"), F.count_if(F.col(from_benchmark)).alias("benchmark_n"), F.count_if(~F.col(from_benchmark)).alias("fallback_n")
     )
 
 

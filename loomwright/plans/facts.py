@@ -209,7 +209,7 @@ def threshold_accuracy(spark, sf_dir):
     return probe.threshold_accuracy(rows, ["label"], "p")
 
 
-@query("split_accuracy", f"""WITH {VECTOR_PAIRS_SQL} SELECT label, round(avg(CASE WHEN g > b THEN 1 ELSE 0 END), 6) AS acc, count(*) AS n, count(*) FILTER (vec_id % 3 = 0) AS blimp_n,
+@query("split_accuracy", f"""WITH {VECTOR_PAIRS_SQL} SELECT label, round(avg(CASE WHEN g > b THEN 1 ELSE 0 END), 6) AS acc, count(*) AS n, count(*) FILTER (vec_id % 3 = 0) AS benchmark_n,
   count(*) FILTER (vec_id % 3 <> 0) AS fallback_n FROM p GROUP BY 1""")
 def split_accuracy(spark, sf_dir):
     rows = _vector_pairs(spark, sf_dir).withColumn("hit", F.col("g") > F.col("b")).withColumn("own", F.col("vec_id") % 3 == 0)

@@ -20,16 +20,23 @@ def session(app: str = "loomwright", cores: int | None = None, shuffle: int | No
     )
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
+_roots: dict[str, str] = {}
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); only where none is set, one of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="loomwright-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        root = _roots.get(app) or _roots.setdefault(app, "file://" + tempfile.mkdtemp(prefix="loomwright-"))
+    return root.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back."""
+    path = f"{scratch_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -204,8 +204,8 @@ def test_streams(spark, tmp_path):
 
 
 def test_config():
-    e = Experiment("/x", "bear", attribution=Attribution(method="bm25"))
-    assert e.output(42, "prec_at_k", "learned").endswith("/prec_at_k_learned") and e.method_dir(42) != Experiment("/x", "bear").method_dir(42)
+    e = Experiment("/x", "demo", attribution=Attribution(method="bm25"))
+    assert e.output(42, "prec_at_k", "learned").endswith("/prec_at_k_learned") and e.method_dir(42) != Experiment("/x", "demo").method_dir(42)
     with pytest.raises(ValueError):
         e.output(42, "prec_at_k", "x")
     with pytest.raises(ValueError):
