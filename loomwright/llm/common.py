@@ -3,7 +3,6 @@ group values, hot-bucket splitting and streaming over sorted runs."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,21 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.plans.runtime import scratch_root
+
 #: Most keys whose row count can exceed 1/HOT_KEYS of all rows: a proven bound on the hot-key list.
 HOT_KEYS = 20_000
 #: Coarse hashes by which keys are counted first.
 COARSE = 65_536
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where none is configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="loomwright-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
