@@ -84,6 +84,12 @@ def clean_sentence(s: Column, least: int = 20) -> Column:
     return F.when((F.length(t) >= least) & ~t.rlike(r"^=+.*=+$"), t)
 
 
+def sentences(text: Column, least: int = 20) -> Column:
+    """Cleaned sentences of a text: runs up to . ! ? or the line's end (a plain rule, no abbreviations)."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0)), lambda x: clean_sentence(x, least))
+    return F.array_compact(parts)
+
+
 def divergence_point(a: Column, b: Column) -> Column:
     """Index of the first token that differs, else the shorter length."""
     first = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), F.lit(True)).cast("int") - 1

@@ -26,11 +26,10 @@ def surface_terms(instances: DataFrame, aliases: DataFrame | None = None) -> Dat
     ).distinct()
 
 
-def count_support(lines: DataFrame, terms: DataFrame, line_id: list[str], text: str) -> DataFrame:
-    """Rows (instance_idx, subject, object, cooccur): lines that hold a form of either side, or of both.
+def line_hits(lines: DataFrame, terms: DataFrame, line_id: list[str], text: str) -> DataFrame:
+    """Rows (line_id, instance_idx, s, o): whether a line holds a form of an instance's subject, of its object.
 
     A line's words meet the terms by the term's first word; the rest is compared in place.
-    A line and instance count once.
     """
     asked = terms.withColumn("_t", F.split("term", " ")).withColumn("_first", F.get("_t", F.lit(0)))
     hits = None
@@ -42,14 +41,27 @@ def count_support(lines: DataFrame, terms: DataFrame, line_id: list[str], text:
         found = rows.join(asked.where(F.col("cs") == cs), "_first").where(F.slice("_w", F.col("_p") + 1, F.col("n_words")) == F.col("_t"))
         found = found.select(*line_id, "instance_idx", "side")
         hits = found if hits is None else hits.unionByName(found)
-    by_line = hits.groupBy(*line_id, "instance_idx").agg(
+    return hits.groupBy(*line_id, "instance_idx").agg(
         F.max((F.col("side") == "subject").cast("int")).alias("s"), F.max((F.col("side") == "object").cast("int")).alias("o")
     )
-    return by_line.groupBy("instance_idx").agg(
+
+
+def count_support(lines: DataFrame, terms: DataFrame, line_id: list[str], text: str) -> DataFrame:
+    """Rows (instance_idx, subject, object, cooccur): lines that hold a form of either side, or of both.
+    A line and instance count once."""
+    return line_hits(lines, terms, line_id, text).groupBy("instance_idx").agg(
         F.sum("s").alias("subject"), F.sum("o").alias("object"), F.sum(F.col("s") * F.col("o")).alias("cooccur")
     )
 
 
+def split_by_fact(lines: DataFrame, terms: DataFrame, line_id: list[str], text: str) -> tuple[DataFrame, DataFrame]:
+    """Lines by fact and source (cooccur, subj_occur, obj_occur), and the lines of no fact."""
+    hits = line_hits(lines, terms, line_id, text)
+    source = F.when(F.col("s") + F.col("o") == 2, "cooccur").when(F.col("s") == 1, "subj_occur").otherwise("obj_occur")
+    found = hits.select(*line_id, "instance_idx", source.alias("source"))
+    return found, lines.join(found.select(*line_id).distinct(), line_id, "left_anti")
+
+
 def support_filter(facts: DataFrame, counts: DataFrame | None, on: list[str], subject: int = 10, obj: int = 10, cooccur: int = 10) -> DataFrame:
     """Facts whose counts reach the thresholds; missing counts are 0, and without any table all pass."""
     if counts is None:

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.functions.metrics import candidate_metrics, total
+from loomwright.functions.metrics import binary_entropy, candidate_metrics, softmax_pair, total
+from loomwright.functions.text import divergence_point, reconvergence
 
 
 def score_texts(texts: DataFrame, scorer: Callable[[], Callable[[list[str]], list[float]]], text: str = "text", out: str = "logp") -> DataFrame:
@@ -23,6 +24,31 @@ def score_texts(texts: DataFrame, scorer: Callable[[], Callable[[list[str]], lis
     return texts.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` double")
 
 
+def pair_probe(df: DataFrame) -> DataFrame:
+    """Metrics of pairs by per-token log scores: columns tokens_good/_bad and scores_good/_bad (arrays).
+
+    Sums and means over all tokens; one_prefix compares the first tokens that differ, after
+    one prefix; two_prefix the first tokens that agree again, after two. Null where a pair
+    has no such token. A hit is strict: equal scores miss.
+    """
+    g, b = F.col("tokens_good"), F.col("tokens_bad")
+    rows = df.withColumn("_k", divergence_point(g, b)).withColumn("_r", reconvergence(g, b, F.col("_k")))
+    at = lambda c, i: F.get(c, F.col(i))
+    shared = (F.col("_k") < F.size("tokens_good")) & (F.col("_k") < F.size("tokens_bad"))
+    sides = {}
+    for side in ("good", "bad"):
+        s = f"scores_{side}"
+        sides[f"logp_{side}"] = total(F.col(s))
+        sides[f"lennorm_{side}"] = total(F.col(s)) / F.greatest(F.size(s), F.lit(1))
+        sides[f"one_prefix_{side}"] = F.when(shared, at(s, "_k"))
+        sides[f"two_prefix_{side}"] = F.when(F.col("_r").isNotNull(), at(s, "_r"))
+    rows = rows.withColumns(sides)
+    hits = {f"{n}_correct": F.col(f"{m}_good") > F.col(f"{m}_bad") for n, m in (("full_sentence", "logp"), ("length_norm", "lennorm"), ("one_prefix", "one_prefix"), ("two_prefix", "two_prefix"))}
+    p = softmax_pair(F.col("logp_good"), F.col("logp_bad"))
+    more = {"softmax_prob_good": p, "learned_x": p > 0.5, "entropy_full_sentence": binary_entropy(F.col("logp_good"), F.col("logp_bad"))}
+    return rows.withColumns(hits | more).drop("_k", "_r")
+
+
 def accuracy(df: DataFrame, group: list[str], good: str, bad: str, entropy: str, digits: int = 6) -> DataFrame:
     """acc, n, mean_good, mean_bad, mean_entropy; a hit is good > bad, null metrics are left out. By rollup: a
     null in the last group column is the total."""

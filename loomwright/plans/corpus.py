@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.functions.text import divergence_point, reconvergence, words
+from loomwright.functions.text import divergence_point, reconvergence, sentences, words
 from loomwright.operators import chunks, dedup, provenance, sampling
 from loomwright.plans.registry import query, table
 from loomwright.plans.runtime import spread
@@ -179,3 +179,10 @@ def divergence(spark, sf_dir):
     other = items.select((F.col("item_id") + 1 - F.col("item_id") % 2 * 2).alias("item_id"), F.col("a").alias("b"))
     rows = items.join(other, "item_id").withColumn("diverges", divergence_point(F.col("a"), F.col("b")))
     return rows.select("item_id", "diverges", reconvergence(F.col("a"), F.col("b"), F.col("diverges")).alias("reconverges"))
+
+
+@query("clean_sentences", r"""WITH s AS (SELECT doc_id, trim(regexp_replace(unnest(regexp_extract_all(text, '[^.!?\n]+[.!?]*')), '\s+', ' ', 'g')) AS s FROM documents)
+SELECT doc_id, count(*) AS n_sentences, CAST(sum(length(s)) AS BIGINT) AS n_chars FROM s WHERE length(s) >= 20 AND NOT regexp_matches(s, '^=+.*=+$') GROUP BY 1""")
+def clean_sentences(spark, sf_dir):
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(sentences(F.col("text"))).alias("s"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.length("s")).alias("n_chars"))

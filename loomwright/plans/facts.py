@@ -51,6 +51,17 @@ def surface_form_counts(spark, sf_dir):
     return cooccur.count_support(lines, terms, ["doc_id", "line_no"], "text")
 
 
+@query("fact_corpus_split", f"""WITH {INSTANCES_SQL}, k AS (SELECT CASE WHEN s + o = 2 THEN 'cooccur' WHEN s = 1 THEN 'subj_occur' ELSE 'obj_occur' END AS source FROM hits)
+SELECT source, count(*) AS n FROM k GROUP BY 1 UNION ALL SELECT 'clean', count(*) FROM (
+  SELECT doc_id, line_no FROM ls WHERE regexp_replace(t, '^\\s+|\\s+$', '', 'g') <> '' EXCEPT SELECT doc_id, line_no FROM hits)""")
+def fact_corpus_split(spark, sf_dir):
+    """Lines by how they hold a fact, and lines of none."""
+    lines = document_lines(spark, sf_dir).select("doc_id", "line_no", "text")
+    found, clean = cooccur.split_by_fact(lines, cooccur.surface_terms(instances(spark, sf_dir)), ["doc_id", "line_no"], "text")
+    counts = found.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(clean.agg(F.lit("clean").alias("source"), F.count(F.lit(1)).alias("n")))
+
+
 @query("corpus_support_filter", f"""WITH {INSTANCES_SQL} SELECT instance_idx FROM inst LEFT JOIN counts USING (instance_idx)
 WHERE coalesce(counts.subject, 0) >= 2 AND coalesce(counts.object, 0) >= 2 AND coalesce(counts.cooccur, 0) >= 1""")
 def corpus_support_filter(spark, sf_dir):

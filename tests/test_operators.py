@@ -49,6 +49,17 @@ def test_pair_metrics(spark):
     assert r.p == 0.5 and not r.learned and abs(r.h - math.log(2)) < 1e-12 and r.n is None and r.z == [0.0, 0.0]
 
 
+def test_pair_probe(spark):
+    schema = "tokens_good array<string>, tokens_bad array<string>, scores_good array<double>, scores_bad array<double>"
+    rows = spark.createDataFrame(
+        [(["a", "b", "c"], ["a", "x", "c"], [-1.0, -1.0, -3.0], [-1.0, -2.0, -2.0]), (["a"], ["a"], [-1.0], [-1.0]), (["a"], ["a", "b"], [-1.0], [-1.0, -1.0])], schema
+    )
+    a, b, c = probe.pair_probe(rows).collect()
+    assert (a.full_sentence_correct, a.one_prefix_correct, a.two_prefix_correct, a.learned_x) == (False, True, False, False)
+    assert b.full_sentence_correct is False and b.one_prefix_correct is None and b.two_prefix_correct is None and b.softmax_prob_good == 0.5
+    assert c.full_sentence_correct and c.length_norm_correct is False and c.one_prefix_correct is None
+
+
 def test_chunk_packing_is_greedy(spark):
     rng = random.Random(3)
     sizes = [rng.randint(1, 30) for _ in range(300)]
