@@ -94,3 +94,18 @@ WITH RECURSIVE v AS (
 SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.c AS component_id, e.vec_id = c.c AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id JOIN c ON c.x = e.vec_id
 """
+
+ORACLES["op5_suffix"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, unnest(range(0, len(w) - 49)) AS k, unnest(list_transform(range(0, len(w) - 49), lambda i: hash(w[i + 1:i + 50]))) AS h FROM w WHERE len(w) >= 50
+), f AS (
+  SELECT doc_id, k, min(doc_id) OVER (PARTITION BY h) AS first_doc FROM g
+), d AS (
+  SELECT *, k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS gap FROM f WHERE first_doc < doc_id
+), i AS (
+  SELECT *, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM d
+)
+SELECT doc_id, min(k) AS first_word, max(k) + 50 - min(k) AS n_words, min(first_doc) AS kept_in_doc_id FROM i GROUP BY doc_id, island
+"""

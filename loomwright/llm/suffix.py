@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import HOT_KEYS, cut, run_bounds, whole_runs
+from loomwright.llm.common import HOT_KEYS, attach_min, cut, run_bounds, whole_runs
 
 SEED_WORDS = 25
 WINDOW = 26
@@ -171,13 +171,37 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(axis=1)
 
 
+def _windows(h: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (n, REACH + 1) of the MIN_WORDS words that hold each suffix's seed at offset 0, 1, ..., and
+    whether the text reaches that far."""
+    n = len(h)
+    sides = []
+    for words in (left, right):
+        own = np.zeros((n, REACH + 1), dtype=np.uint64)
+        for k in range(REACH):
+            own[:, k + 1] = _mix(own[:, k] * np.uint64(_BASE) + words[:, k].astype(np.uint64) + np.uint64(k + 1))
+        there = np.ones((n, REACH + 1), dtype=bool)
+        there[:, 1:] = np.logical_and.accumulate(words != 0, axis=1)
+        sides.append((own, there))
+    (lh, lt), (rh, rt) = sides
+    rh, rt = rh[:, ::-1], rt[:, ::-1]
+    offset = np.arange(REACH + 1, dtype=np.uint64)
+    return _mix(h.view(np.uint64)[:, None] + lh * np.uint64(3) + _mix(rh + offset)), lt & rt
+
+
 def _compare(batches):
-    """Rows sorted by (h, sub, first occurrence, suffix) -> spans (id, start, stop, other)."""
+    """Rows sorted by (h, sub, first occurrence, suffix) -> spans (id, start, stop, other), w null.
+
+    Each suffix is held against the first occurrence of its seed and its neighbours, and
+    extended. What an earlier document shares with neither is found by the words around
+    the seed: all MIN_WORDS words that hold it. Where a seed's suffixes lie in several
+    groups, each group's first holder of such words is passed on with their hash w.
+    """
     for pdf in whole_runs(batches, ["h", "sub"]):
-        ids, pos = pdf["id"].to_numpy(), pdf["pos"].to_numpy().astype(np.int64)
+        h, ids, pos = pdf["h"].to_numpy(), pdf["id"].to_numpy(), pdf["pos"].to_numpy().astype(np.int64)
         left = np.frombuffer(b"".join(pdf["left"]), dtype=">u4").reshape(-1, REACH)
         right = np.frombuffer(b"".join(pdf["right"]), dtype=">u4").reshape(-1, REACH)
-        starts, ends = run_bounds([pdf["h"].to_numpy(), pdf["sub"].to_numpy()])
+        starts, ends = run_bounds([h, pdf["sub"].to_numpy()])
         head = np.repeat(starts, ends - starts)
         n = np.arange(len(ids))
         out = []
@@ -189,9 +213,28 @@ def _compare(batches):
             a, b, l, r = a[long], b[long], l[long], r[long]
             late, early = np.where(ids[a] > ids[b], a, b), np.minimum(ids[a], ids[b])
             out.append(pd.DataFrame({"id": ids[late], "start": pos[late] - l, "stop": pos[late] + SEED_WORDS + r, "other": early}))
-        found = pd.concat(out).drop_duplicates()
-        if len(found):
-            yield found
+        keys, there = _windows(h, left, right)
+        row, offset = np.nonzero(there)
+        key, own = keys[row, offset], ids[row]
+        order = np.lexsort((own, key, head[row]))
+        row, offset, key, own = row[order], offset[order], key[order], own[order]
+        if len(row):
+            s, e = run_bounds([head[row], key])
+            least = np.repeat(own[s], e - s)
+            again = np.flatnonzero(own > least)
+            if len(again):
+                found = pd.DataFrame({"n": row[again], "o": offset[again], "other": least[again]}).groupby("n").agg(low=("o", "min"), high=("o", "max"), other=("other", "min"))
+                at = found.index.to_numpy()
+                out.append(pd.DataFrame({"id": ids[at], "start": pos[at] - found["high"].to_numpy(), "stop": pos[at] - found["low"].to_numpy() + MIN_WORDS, "other": found["other"].to_numpy()}))
+            hot = s[pdf["nsub"].to_numpy()[row[s]] > 1]
+            first = pd.DataFrame({"id": own[hot], "start": pos[row[hot]] - offset[hot], "stop": pos[row[hot]] - offset[hot] + MIN_WORDS, "other": own[hot], "w": key[hot].view(np.int64)})
+        else:
+            first = None
+        spans = pd.concat(out).drop_duplicates()
+        if first is not None and len(first):
+            spans = pd.concat([spans, first])
+        if len(spans):
+            yield spans.assign(w=spans["w"].astype("Int64") if "w" in spans else pd.array([None] * len(spans), dtype="Int64"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,9 +268,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     suffixes = suffixes.withColumn(
         "sub", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), F.col("nsub") - 1)).otherwise(F.array("sub")))
-    ).drop("nsub")
+    )
     ordered = suffixes.repartition("h", "sub").sortWithinPartitions("h", "sub", F.desc("first"), "right", "id", "pos")
-    spans = ordered.drop("first").mapInPandas(_compare, "id long, start long, stop long, other long")
+    found = cut(ordered.drop("first").mapInPandas(_compare, "id long, start long, stop long, other long, w long"), "spans")
+    across = attach_min(found.where("w is not null").select("id", "start", "stop", "w"), "w", "id", "other").where("other < id")
+    spans = found.where("w is null").drop("w").unionByName(across.drop("w"))
     merged = spans.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "other"))).alias("spans"))
     return merged.select("id", _union("spans").alias("spans"))
 
