@@ -8,6 +8,7 @@ workers. Words outside it are merged exactly, pair of least rank first.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import gc
 import json
@@ -257,10 +258,19 @@ class _Encoder(dict):
         return ids.count(" ") + 1, ids, " ".join([f[1] for f in found])
 
 
+@contextlib.contextmanager
+def _uncollected():
+    """Nothing within makes reference cycles, and millions of small objects slow the collector."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str, name: str) -> _Encoder:
     """Kept by a Python worker from task to task."""
-    gc.disable()  # nothing here makes reference cycles, and millions of small tuples slow the collector
     return _Encoder(WordBpe(path), Lexicon(SparkFiles.get(name)))
 
 
@@ -275,16 +285,16 @@ def word_counts(df: DataFrame, text_col: str, path: str) -> DataFrame:
 
     def run(batches):
         bpe, counts = WordBpe(path), Counter()
-        gc.disable()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for special, words in bpe.parts(text or ""):
-                    if not special:
-                        counts.update(words)
-                if len(counts) > REMEMBERED:
-                    yield _rows(counts)
-                    counts = Counter()
-        yield _rows(counts)
+        with _uncollected():
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    for special, words in bpe.parts(text or ""):
+                        if not special:
+                            counts.update(words)
+                    if len(counts) > REMEMBERED:
+                        yield _rows(counts)
+                        counts = Counter()
+            yield _rows(counts)
 
     def _rows(counts):
         kept = [(w, n) for w, n in counts.items() if len(w) <= LONGEST]
@@ -327,14 +337,15 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def run(batches):
         encoder = _encoder(path, name)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                rows = [encoder.text(t or "") for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *[pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.string(), pa.string()))]],
-                    ["id", "n_tokens", "ids", "decoded"],
-                )
+        with _uncollected():
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 500):
+                    batch = whole.slice(lo, 500)
+                    rows = [encoder.text(t or "") for t in batch.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), *[pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.string(), pa.string()))]],
+                        ["id", "n_tokens", "ids", "decoded"],
+                    )
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, n_tokens long, ids string, decoded string")
