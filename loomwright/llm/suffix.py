@@ -5,8 +5,9 @@ consecutive seeds of SEED_WORDS words the one of least hash. Any passage of
 SEED_WORDS + WINDOW - 1 = 50 words holds one, at the same place in every copy. Suffixes
 whose seed occurs once are dropped, the others sorted; a suffix is compared with the
 first occurrence of its seed and with its neighbours, extended left and right word by
-word, and a match of MIN_WORDS words or more is a repeat. Words are compared by 32-bit
-hashes beyond the 64-bit hash of the seed.
+word, and a match of MIN_WORDS words or more is a repeat; runs of MIN_WORDS words around a
+seed are compared within its group as well. Words are compared by 32-bit hashes beyond
+the 64-bit hash of the seed.
 """
 
 from __future__ import annotations
@@ -17,15 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import HOT_KEYS, attach_min, cut, run_bounds, whole_runs
+from loomwright.llm.common import HOT_KEYS, cut, run_bounds, whole_runs
 
 SEED_WORDS = 25
 WINDOW = 26
 MIN_WORDS = SEED_WORDS + WINDOW - 1
 #: Words of context kept on each side of a seed; longer repeats are chained from their seeds.
 REACH = WINDOW - 1
-#: Suffixes of one seed that are sorted together; a more frequent seed is cut into such groups.
-GROUP = 1000
+#: Suffixes of one seed that are sorted together. A more frequent seed is cut into such groups, each with
+#: the seed's first occurrence: of a passage that this one doesn't share, each group may keep one copy.
+GROUP = 4000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -190,12 +192,11 @@ def _windows(h: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nda
 
 
 def _compare(batches):
-    """Rows sorted by (h, sub, first occurrence, suffix) -> spans (id, start, stop, other), w null.
+    """Rows sorted by (h, sub, first occurrence, suffix) -> spans (id, start, stop, other).
 
     Each suffix is held against the first occurrence of its seed and its neighbours, and
     extended. What an earlier document shares with neither is found by the words around
-    the seed: all MIN_WORDS words that hold it. Where a seed's suffixes lie in several
-    groups, each group's first holder of such words is passed on with their hash w.
+    the seed: all runs of MIN_WORDS words that hold it, against those of the group.
     """
     for pdf in whole_runs(batches, ["h", "sub"]):
         h, ids, pos = pdf["h"].to_numpy(), pdf["id"].to_numpy(), pdf["pos"].to_numpy().astype(np.int64)
@@ -226,15 +227,9 @@ def _compare(batches):
                 found = pd.DataFrame({"n": row[again], "o": offset[again], "other": least[again]}).groupby("n").agg(low=("o", "min"), high=("o", "max"), other=("other", "min"))
                 at = found.index.to_numpy()
                 out.append(pd.DataFrame({"id": ids[at], "start": pos[at] - found["high"].to_numpy(), "stop": pos[at] - found["low"].to_numpy() + MIN_WORDS, "other": found["other"].to_numpy()}))
-            hot = s[pdf["nsub"].to_numpy()[row[s]] > 1]
-            first = pd.DataFrame({"id": own[hot], "start": pos[row[hot]] - offset[hot], "stop": pos[row[hot]] - offset[hot] + MIN_WORDS, "other": own[hot], "w": key[hot].view(np.int64)})
-        else:
-            first = None
         spans = pd.concat(out).drop_duplicates()
-        if first is not None and len(first):
-            spans = pd.concat([spans, first])
         if len(spans):
-            yield spans.assign(w=spans["w"].astype("Int64") if "w" in spans else pd.array([None] * len(spans), dtype="Int64"))
+            yield spans
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,9 +265,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "sub", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), F.col("nsub") - 1)).otherwise(F.array("sub")))
     )
     ordered = suffixes.repartition("h", "sub").sortWithinPartitions("h", "sub", F.desc("first"), "right", "id", "pos")
-    found = cut(ordered.drop("first").mapInPandas(_compare, "id long, start long, stop long, other long, w long"), "spans")
-    across = attach_min(found.where("w is not null").select("id", "start", "stop", "w"), "w", "id", "other").where("other < id")
-    spans = found.where("w is null").drop("w").unionByName(across.drop("w"))
+    spans = ordered.drop("first", "nsub").mapInPandas(_compare, "id long, start long, stop long, other long")
     merged = spans.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "other"))).alias("spans"))
     return merged.select("id", _union("spans").alias("spans"))
 
