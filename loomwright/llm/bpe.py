@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import cut
+from loomwright.llm.common import cut, lean
 
 #: Words in the lexicon: the most frequent ones of the corpus, ties to the smaller word.
 LEXICON_WORDS = 40_000
@@ -300,7 +300,7 @@ def word_counts(df: DataFrame, text_col: str, path: str) -> DataFrame:
         kept = [(w, n) for w, n in counts.items() if len(w) <= LONGEST]
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
-    rows = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long")
+    rows = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -348,5 +348,5 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                     )
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids string, decoded string")
+    return rows.mapInArrow(lean(run), "id long, n_tokens long, ids string, decoded string")
 

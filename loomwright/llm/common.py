@@ -3,10 +3,13 @@ group values, hot-bucket splitting and streaming over sorted runs."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +68,31 @@ def attach_min(df: DataFrame, key: str, value: str, out: str, salts: int = 64) -
     return rows.join(mins, [key, "_salt"]).drop("_salt")
 
 
+@functools.cache
+def _libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # arrays of 1 MiB and more go back to the system when freed
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def lean(step):
+    """A mapInArrow or mapInPandas step after which the Python worker, kept for later tasks, gives back its memory."""
+
+    def run(batches):
+        libc = _libc()
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return run
+
+
 def split_hot(df: DataFrame, key: str, spread: str, block: int, total: int) -> DataFrame:
     """Deal buckets out for pair comparison: adds `_b1`, `_b2` (the pair of blocks a row
     is sent to) and `_blk` (the row's own block). total: the number of rows of df.

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import cut, discard, group_values, run_bounds, run_pairs, salted, split_hot, union_pairs, whole_runs
+from loomwright.llm.common import cut, discard, group_values, lean, run_bounds, run_pairs, salted, split_hot, union_pairs, whole_runs
 from loomwright.llm.components import connected_components
 
 TABLES = 6
@@ -176,10 +176,10 @@ def near_duplicate_vectors(
         group_values(good, ["v"], {"rep": F.min("id"), "copies": F.count(F.lit(1))}, {"rep": F.min("rep"), "copies": F.sum("copies")}), "vectors"
     )
     classes = reps.select("rep", "copies", "v").distinct()
-    hashed = classes.mapInArrow(_hash_rows(tables), "key long, rep long, copies long, unit binary, codes binary")
+    hashed = classes.mapInArrow(lean(_hash_rows(tables)), "key long, rep long, copies long, unit binary, codes binary")
     hashed = cut(hashed, "buckets")
     dealt = split_hot(hashed, "key", "rep", BLOCK, hashed.count()).repartition("key", "_b1", "_b2").sortWithinPartitions("key", "_b1", "_b2")
-    found = cut(dealt.mapInPandas(_links(threshold), "a long, b long, n long"), "links")
+    found = cut(dealt.mapInPandas(lean(_links(threshold)), "a long, b long, n long"), "links")
     discard(hashed)
     components = connected_components(found.where("n = 0").select("a", "b"))
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))

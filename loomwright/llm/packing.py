@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import cut
+from loomwright.llm.common import cut, lean
 
 SIZE = 1024
 END = 2
@@ -69,7 +69,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, encoder=default_enco
             )
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(lean(run), PIECES)
 
 
 def plan_patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -202,5 +202,5 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", encoder=
             )
 
     return ranked.select("id", "piece", "start", "length", "crc", "rank").mapInPandas(
-        place, "id long, piece int, start long, length long, crc long, sequence_id long, offset long"
+        lean(place), "id long, piece int, start long, length long, crc long, sequence_id long, offset long"
     )

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import (
-    compress, cut, group_values, run_bounds, run_pairs, salted, split_hot, union_pairs, whole_runs,
+    compress, cut, group_values, lean, run_bounds, run_pairs, salted, split_hot, union_pairs, whole_runs,
 )
 from loomwright.llm.components import connected_components
 
@@ -85,7 +85,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, words6
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["id", "fp"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return rows.mapInArrow(run, "id long, fp binary")
+    return rows.mapInArrow(lean(run), "id long, fp binary")
 
 
 def ring_passes(x: np.ndarray, widths: list[int], radius: int, chain: int = 3) -> np.ndarray:
@@ -206,8 +206,8 @@ def verified(links: DataFrame, df: DataFrame, id_col: str, text_col: str, shingl
                 yield pd.DataFrame({"a": a[good], "b": b[good]})
 
     joined = texts.hint("merge").join(ends, "id").select("id", "a", "b", "text")
-    packed = joined.mapInArrow(sets, "a long, b long, id long, hashes binary")
-    return packed.repartition("a", "b").sortWithinPartitions("a", "b").mapInPandas(compare, "a long, b long")
+    packed = joined.mapInArrow(lean(sets), "a long, b long, id long, hashes binary")
+    return packed.repartition("a", "b").sortWithinPartitions("a", "b").mapInPandas(lean(compare), "a long, b long")
 
 
 def ring_keys(classes: DataFrame, radius: int) -> tuple[DataFrame, list[int]]:
@@ -255,7 +255,7 @@ def sampled_keys(classes: DataFrame, flips: float, words64: int, distinct: int)
                 heads = pa.array([f[: 8 * CHECKED] for f in batch.column(1).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(take), heads.take(take)], ["key", "rep", "fp"])
 
-    return classes.select("rep", "fp").mapInArrow(run, "key long, rep long, fp binary"), tables
+    return classes.select("rep", "fp").mapInArrow(lean(run), "key long, rep long, fp binary"), tables
 
 
 def simhash_components(
@@ -285,7 +285,7 @@ def simhash_components(
         (keyed, tables), widths, compared = sampled_keys(classes, flips, words64, distinct), None, CHECKED
     dealt = split_hot(keyed, "key", "rep", BLOCK, distinct * tables).repartition("key", "_b1", "_b2")
     dealt = dealt.sortWithinPartitions("key", "_b1", "_b2")
-    links = dealt.mapInPandas(_edges(radius, compared, widths, similarity is not None), "a long, b long")
+    links = dealt.mapInPandas(lean(_edges(radius, compared, widths, similarity is not None)), "a long, b long")
     if similarity is not None:
         links = cut(links.distinct(), "links")
         links = verified(links, df, id_col, text_col, shingle, similarity)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import HOT_KEYS, cut, run_bounds, whole_runs
+from loomwright.llm.common import HOT_KEYS, cut, lean, run_bounds, whole_runs
 
 SEED_WORDS = 25
 WINDOW = 26
@@ -243,7 +243,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     without id are left out; an empty table gives no rows; further columns are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    seeds = cut(texts.mapInArrow(_seed_rows, "h long, id long, pos int"), "seeds")
+    seeds = cut(texts.mapInArrow(lean(_seed_rows), "h long, id long, pos int"), "seeds")
     # two documents at least: the seed's least and greatest ids differ
     classes = seeds.groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "pos")).alias("rep"), F.max("id").alias("_last")
@@ -259,13 +259,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # one text for an id: a repeated id is one document
     joined = texts.join(by_doc, "id").select("id", "text", "seeds")
     suffixes = joined.mapInArrow(
-        _suffix_batches, "h long, sub int, nsub int, first boolean, id long, pos int, left binary, right binary"
+        lean(_suffix_batches), "h long, sub int, nsub int, first boolean, id long, pos int, left binary, right binary"
     )
     suffixes = suffixes.withColumn(
         "sub", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), F.col("nsub") - 1)).otherwise(F.array("sub")))
     )
     ordered = suffixes.repartition("h", "sub").sortWithinPartitions("h", "sub", F.desc("first"), "right", "id", "pos")
-    spans = ordered.drop("first", "nsub").mapInPandas(_compare, "id long, start long, stop long, other long")
+    spans = ordered.drop("first", "nsub").mapInPandas(lean(_compare), "id long, start long, stop long, other long")
     merged = spans.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "other"))).alias("spans"))
     return merged.select("id", _union("spans").alias("spans"))
 
@@ -327,4 +327,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 cols[c] = pa.array([len(t) if s else o for t, s, o in zip(cuts, spans, old, strict=True)], cols[c].type)
             yield pa.RecordBatch.from_arrays(cols, names).filter(keep)
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(lean(run), docs.schema)

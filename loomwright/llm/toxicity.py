@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.common import lean
+
 BITS = 18
 LENGTHS = (3, 4, 5)
 #: Most labelled rows that a model is fitted on, lowest hash of the id first.
@@ -153,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [f.astype("<i4").tobytes() for f in features(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["y", "found"])
 
-    got = rows.mapInArrow(run, "y int, found binary").toArrow()
+    got = rows.mapInArrow(lean(run), "y int, found binary").toArrow()
     found = []
     for chunk in got.column(1).chunks:  # views of the received memory
         ends = np.frombuffer(chunk.buffers()[1], dtype=np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
@@ -175,7 +177,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], ["id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, score double")
+    return rows.mapInArrow(lean(run), "id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -204,4 +206,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             z = np.array([float(m.weight[f].sum(dtype=np.float64)) for f in features(batch.column(at).to_pylist())]) + m.bias
             yield batch.filter(pa.array(z < 0))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.select(*names).mapInArrow(lean(run), docs.schema)
