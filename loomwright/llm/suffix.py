@@ -27,7 +27,7 @@ MIN_WORDS = SEED_WORDS + WINDOW - 1
 REACH = WINDOW - 1
 #: Suffixes of one seed that are sorted together. A more frequent seed is cut into such groups, each with
 #: the seed's first occurrence: of a passage that this one doesn't share, each group may keep one copy.
-GROUP = 4000
+GROUP = 2000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
