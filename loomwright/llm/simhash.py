@@ -124,8 +124,8 @@ def closest_forest(parent: np.ndarray, i: np.ndarray, j: np.ndarray, distance: n
 
 
 def _edges(radius: int, words64: int, widths: list[int] | None, nearest: bool):
-    """mapInPandas step over rows sorted by (key, _b1, _b2): a spanning forest of each chunk's links,
-    nearest first if the links are to be tried further."""
+    """mapInPandas step over rows sorted by (key, _b1, _b2): a spanning forest of each chunk's links (a, b, tree);
+    nearest first if the links are to be tried further, `tree` then names the tree that holds the link."""
 
     def run(batches):
         for pdf in whole_runs(batches, ["key", "_b1", "_b2"]):
@@ -140,12 +140,13 @@ def _edges(radius: int, words64: int, widths: list[int] | None, nearest: bool):
             fp = np.frombuffer(b"".join(pdf["fp"]), dtype="<u8").reshape(-1, words64)
             parent = np.arange(len(rep))
             held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            edges: list[tuple[np.ndarray, np.ndarray]] = []
 
             def forest():
                 i, j, d = (np.concatenate([h[c] for h in held]) for c in range(3))
                 held.clear()
                 picked = closest_forest(parent, i, j, d)
-                return pd.DataFrame({"a": rep[i[picked]], "b": rep[j[picked]]})
+                edges.append((i[picked], j[picked]))
 
             for i, j in run_pairs(starts, ends):
                 across = b1[i] != b2[i]
@@ -163,12 +164,17 @@ def _edges(radius: int, words64: int, widths: list[int] | None, nearest: bool):
                 elif near.any():
                     held.append((i[near], j[near], d[near]))
                     if sum(len(h[0]) for h in held) > 400_000:
-                        yield forest()
-            if held:
-                yield forest()
-            elif not nearest:
+                        forest()
+            if not nearest:
                 child = np.flatnonzero(parent != np.arange(len(parent)))
-                yield pd.DataFrame({"a": rep[child], "b": rep[parent[child]]})
+                edges.append((child, parent[child]))
+            elif held:
+                forest()
+            if edges:
+                i, j = (np.concatenate([e[c] for e in edges]) for c in range(2))
+                root = parent[i]
+                tree = _mix(_mix(key[root].view(np.uint64)) + (b1[root].astype(np.uint64) << np.uint64(32)) + b2[root].astype(np.uint64))
+                yield pd.DataFrame({"a": rep[i], "b": rep[j], "tree": _mix(tree + rep[root].view(np.uint64)).view(np.int64)})
 
     return run
 
@@ -210,6 +216,84 @@ def verified(links: DataFrame, df: DataFrame, id_col: str, text_col: str, shingl
     return packed.repartition("a", "b").sortWithinPartitions("a", "b").mapInPandas(lean(compare), "a long, b long")
 
 
+def _untried(radius: int, similarity: float):
+    """mapInPandas step over rows sorted by tree: of all pairs of a tree within the radius whose components differ,
+    those that reach the similarity, without such as join what the ones before have joined."""
+
+    def run(batches):
+        for pdf in whole_runs(batches, ["tree"]):
+            tree, rep, component = (pdf[c].to_numpy() for c in ("tree", "rep", "component"))
+            a, b = [], []
+            for s, e in zip(*run_bounds([tree]), strict=True):
+                fp = np.frombuffer(b"".join(pdf["fp"].iloc[s:e]), dtype="<u8").reshape(-1, CHECKED)
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["hashes"].iloc[s:e]]
+                for i, j in similar_forest(component[s:e], fp, sets, radius, similarity):
+                    a.append(rep[s + i])
+                    b.append(rep[s + j])
+            if a:
+                yield pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
+def similar_forest(component: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs that join the components, by trying all pairs within the radius whose components are still separate."""
+    n, found = len(sets), []
+    label = np.unique(component, return_inverse=True)[1]
+    size = np.array([len(x) for x in sets])
+    at = np.concatenate([[0], np.cumsum(size)])
+    feature = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holder = np.repeat(np.arange(n), size)[np.argsort(feature, kind="stable")]  # the sets that hold a feature, by feature
+    first = np.concatenate([[0], np.cumsum(np.bincount(feature))]).astype(np.int64)
+    for i in range(n - 1):
+        least, most = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
+        near = (label[i + 1 :] != label[i]) & (least >= similarity * most - 1e-9)
+        near &= np.bitwise_count(fp[i + 1 :] ^ fp[i]).sum(axis=1, dtype=np.int16) <= radius
+        if not near.any():
+            continue
+        own = feature[at[i] : at[i + 1]]
+        length = first[own + 1] - first[own]
+        step = np.arange(length.sum()) + np.repeat(first[own] - np.cumsum(length) + length, length)
+        both = np.bincount(holder[step], minlength=n)[i + 1 :]
+        good = i + 1 + np.flatnonzero(near & (both >= similarity * (size[i] + size[i + 1 :] - both) - 1e-9))
+        joined, one = np.unique(label[good], return_index=True)
+        found += [(i, int(j)) for j in good[one]]
+        label[np.isin(label, joined)] = label[i]
+    return found
+
+
+def untried(links: DataFrame, found: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, similarity: float) -> DataFrame | None:
+    """Further links (a, b) between the components `found` of the links that passed.
+
+    A bucket's pairs within the radius all lie within trees of its forest. Where a tree is still more than
+    one component, a link of it failed: all its pairs that are still separate are tried. What a task
+    holds are the sets of one tree, what it puts out are no more links than the tree has rows.
+    """
+    nodes = links.select("tree", F.explode(F.array("a", "b")).alias("rep")).distinct()
+    nodes = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("tree", "rep", F.coalesce("component", "rep").alias("component"))
+    trees = nodes.groupBy("tree").agg(
+        F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(SEED))).alias("y"),
+    )
+    # a tree of two rows is one link, tried already; trees of the same rows, from several buckets, are tried once
+    trees = trees.where("n > 2 and lo < hi").groupBy("n", "x", "y").agg(F.min("tree").alias("tree")).select("tree")
+    nodes = cut(nodes.join(trees, "tree", "left_semi"), "untried")
+    if nodes.isEmpty():
+        return None
+    texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(nodes.select("rep").distinct(), "rep", "left_semi")
+
+    def sets(batches):
+        for batch in batches:
+            packed = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["rep", "hashes"])
+
+    marks = classes.select("rep", F.substring("fp", 1, 8 * CHECKED).alias("fp")).dropDuplicates(["rep"])
+    hashes = texts.mapInArrow(lean(sets), "rep long, hashes binary").dropDuplicates(["rep"])
+    rows = nodes.join(marks, "rep").join(hashes, "rep").repartition("tree").sortWithinPartitions("tree", "rep")
+    return rows.mapInPandas(lean(_untried(radius, similarity)), "a long, b long")
+
+
 def ring_keys(classes: DataFrame, radius: int) -> tuple[DataFrame, list[int]]:
     """64-bit fingerprints under each pair of segments: rows (key, rep, fp)."""
     m = radius + 2
@@ -264,8 +348,9 @@ def simhash_components(
     """Rows (id, fp, component): component is the smallest id reachable over links, which
     join fingerprints at `radius` or fewer differing bits (of the first 64 * CHECKED, if
     there are more); with `similarity`, only if the
-    shingle sets' Jaccard similarity reaches it as well (pairs nearest by fingerprint are
-    tried, as a spanning forest of each bucket).
+    shingle sets' Jaccard similarity reaches it as well (the nearest pairs by fingerprint are
+    tried first, as a spanning forest of each bucket; then, where links of a tree failed, all
+    its pairs that passed links haven't joined).
 
     Defined cases: a null or empty text, or one of white space only, has the zero
     fingerprint, linked like any other; a text of fewer words than `shingle` is one
@@ -285,11 +370,16 @@ def simhash_components(
         (keyed, tables), widths, compared = sampled_keys(classes, flips, words64, distinct), None, CHECKED
     dealt = split_hot(keyed, "key", "rep", BLOCK, distinct * tables).repartition("key", "_b1", "_b2")
     dealt = dealt.sortWithinPartitions("key", "_b1", "_b2")
-    links = dealt.mapInPandas(lean(_edges(radius, compared, widths, similarity is not None)), "a long, b long")
-    if similarity is not None:
-        links = cut(links.distinct(), "links")
-        links = verified(links, df, id_col, text_col, shingle, similarity)
-    found = connected_components(links).withColumnRenamed("node", "rep")
+    links = dealt.mapInPandas(lean(_edges(radius, compared, widths, similarity is not None)), "a long, b long, tree long")
+    if similarity is None:
+        found = connected_components(links)
+    else:
+        links = cut(links, "links")
+        found = connected_components(verified(links.select("a", "b").distinct(), df, id_col, text_col, shingle, similarity))
+        more = untried(links, found, classes, df, id_col, text_col, shingle, radius, similarity)
+        if more is not None:
+            found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    found = found.withColumnRenamed("node", "rep")
     labelled = reps.join(found, "rep", "left").select(
         "fp", "_salt", F.coalesce("component", "rep").alias("component")
     )

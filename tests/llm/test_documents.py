@@ -145,6 +145,48 @@ def test_near_duplicates_at_similarity(spark):
 # -- suffix arrays --------------------------------------------------------------
 
 
+def template_family(rng, n, twin=0):
+    """Texts on one template, shuffled: 100 words of each are its own, so that two agree in their first 400 words
+    (similarity 0.66 by shingles); text 2k + 1 is text 2k with `twin` words changed."""
+    template = prose(rng, 400, 10**6)
+    texts = []
+    for g in range(n // 2):
+        own = prose(rng, 100, 10**6).split()
+        other = list(own)
+        for p in range(twin):
+            other[10 * p + 3] = f"t{g}x{p}"
+        texts += [f"{template} {' '.join(own)}", f"{template} {' '.join(other)}"]
+    return list(enumerate(texts))
+
+
+def test_near_duplicates_in_a_template_family(spark):
+    """Noisier, nearer fingerprints between families must not hide true pairs."""
+    texts = template_family(random.Random(21), 300, twin=9)
+    assert jaccard(texts[0][1], texts[1][1]) >= 0.8 and jaccard(texts[0][1], texts[2][1]) < 0.75
+    out = simhash.near_duplicates(docs(spark, texts))
+    kept = {r.doc_id for r in out.collect()}
+    assert {i for i, _ in texts if i % 2 == 0} <= kept
+    gone = 150 - len({i for i in kept if i % 2})
+    assert gone >= 145  # 2 % of the pairs at 0.8 do not meet in a bucket
+
+
+def test_similar_forest_by_brute_force():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(pool[rng.random(60) < rng.choice([0.5, 0.95])]) for _ in range(60)]
+    sets[7] = sets[8] = np.zeros(0, np.uint64)
+    fp = rng.integers(0, 4, (60, simhash.CHECKED)).astype(np.uint64)
+    component = rng.integers(0, 40, 60)
+    got = simhash.similar_forest(component, fp, sets, 2, 0.8)
+    joins = [(int(i), int(np.flatnonzero(component == component[i])[0])) for i in range(60)]
+    good = [
+        (i, j) for i in range(60) for j in range(i)
+        if np.bitwise_count(fp[i] ^ fp[j]).sum() <= 2 and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    ]
+    assert set(got) <= {(j, i) for i, j in good}
+    assert brute_components(range(60), joins + got) == brute_components(range(60), joins + good)
+
+
 def brute_repeats(texts, least=50):
     first = {}
     words = [(i, (t or "").encode().split()) for i, t in texts]
