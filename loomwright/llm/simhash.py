@@ -31,6 +31,8 @@ from loomwright.llm.components import connected_components
 
 #: Rows of one bucket that one task compares at once; larger buckets are dealt out in pairs of blocks.
 BLOCK = 4096
+#: Near pairs that a task holds before it keeps their nearest-first forest only.
+FLUSH = 400_000
 SEED = 42
 #: 64-bit words of a long fingerprint that pairs are compared by.
 CHECKED = 2
@@ -140,13 +142,14 @@ def _edges(radius: int, words64: int, widths: list[int] | None, nearest: bool):
             fp = np.frombuffer(b"".join(pdf["fp"]), dtype="<u8").reshape(-1, words64)
             parent = np.arange(len(rep))
             held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            edges: list[tuple[np.ndarray, np.ndarray]] = []
+            fresh = 0
 
             def forest():
+                """Of the pairs held so far, keep the edges of their nearest-first forest: the others are in none of more pairs."""
                 i, j, d = (np.concatenate([h[c] for h in held]) for c in range(3))
-                held.clear()
+                parent[:] = np.arange(len(parent))
                 picked = closest_forest(parent, i, j, d)
-                edges.append((i[picked], j[picked]))
+                held[:] = [(i[picked], j[picked], d[picked])]
 
             for i, j in run_pairs(starts, ends):
                 across = b1[i] != b2[i]
@@ -163,15 +166,17 @@ def _edges(radius: int, words64: int, widths: list[int] | None, nearest: bool):
                     union_pairs(parent, i[near], j[near])
                 elif near.any():
                     held.append((i[near], j[near], d[near]))
-                    if sum(len(h[0]) for h in held) > 400_000:
+                    fresh += len(held[-1][0])
+                    if fresh > FLUSH:
                         forest()
+                        fresh = 0
             if not nearest:
                 child = np.flatnonzero(parent != np.arange(len(parent)))
-                edges.append((child, parent[child]))
+                held.append((child, parent[child], child))
             elif held:
                 forest()
-            if edges:
-                i, j = (np.concatenate([e[c] for e in edges]) for c in range(2))
+            if held:
+                i, j, _ = held[0]
                 root = parent[i]
                 tree = _mix(_mix(key[root].view(np.uint64)) + (b1[root].astype(np.uint64) << np.uint64(32)) + b2[root].astype(np.uint64))
                 yield pd.DataFrame({"a": rep[i], "b": rep[j], "tree": _mix(tree + rep[root].view(np.uint64)).view(np.int64)})

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -170,6 +171,26 @@ def test_near_duplicates_in_a_template_family(spark):
     assert gone >= 145  # 2 % of the pairs at 0.8 do not meet in a bucket
 
 
+def forest_weights(monkeypatch, fps, flush):
+    monkeypatch.setattr(simhash, "FLUSH", flush, raising=False)
+    n = len(fps)
+    pdf = pd.DataFrame({"key": np.zeros(n, np.int64), "_b1": 0, "_b2": 0, "_blk": 0, "rep": np.arange(n), "fp": [f.tobytes() for f in fps]})
+    links = pd.concat(simhash._edges(30, simhash.CHECKED, None, True)([pdf]))
+    return sorted(int(np.bitwise_count(fps[a] ^ fps[b]).sum()) for a, b in zip(links["a"], links["b"], strict=True))
+
+
+def test_forest_is_nearest_first_across_flushes(monkeypatch):
+    """1300 mutually near rows are more than 400,000 near pairs; half of them have a nearer twin."""
+    bits = np.random.default_rng(8).random((1300, 128)) < 0.09
+    bits[650:] = bits[:650]
+    bits[650:, :2] ^= True
+    fps = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    n = sum(int(np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(axis=1).__le__(30).sum()) for i in range(1300))
+    want = forest_weights(monkeypatch, fps, 10**9)
+    assert n > 400_000 and len(want) == 1299 and want.count(2) >= 650
+    assert forest_weights(monkeypatch, fps, 400_000) == want == forest_weights(monkeypatch, fps, 1000)
+
+
 def test_similar_forest_by_brute_force():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**63, 60).astype(np.uint64)
