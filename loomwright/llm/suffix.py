@@ -6,7 +6,8 @@ SEED_WORDS + WINDOW - 1 = 50 words holds one, at the same place in every copy. S
 whose seed occurs once are dropped, the others sorted; a suffix is compared with the
 first occurrence of its seed and with its neighbours, extended left and right word by
 word, and a match of MIN_WORDS words or more is a repeat; runs of MIN_WORDS words around a
-seed are compared within its group as well. Words are compared by 32-bit hashes beyond
+seed are compared within its group and, by their hashes, across the groups of a frequent
+seed as well. Words are compared by 32-bit hashes beyond
 the 64-bit hash of the seed.
 """
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import HOT_KEYS, cut, lean, run_bounds, whole_runs
+from loomwright.llm.common import HOT_KEYS, attach_min, cut, lean, run_bounds, whole_runs
 
 SEED_WORDS = 25
 WINDOW = 26
@@ -26,7 +27,7 @@ MIN_WORDS = SEED_WORDS + WINDOW - 1
 #: Words of context kept on each side of a seed; longer repeats are chained from their seeds.
 REACH = WINDOW - 1
 #: Suffixes of one seed that are sorted together. A more frequent seed is cut into such groups, each with
-#: the seed's first occurrence: of a passage that this one doesn't share, each group may keep one copy.
+#: the seed's first occurrence; of the words that this one doesn't share, the groups' first holders meet.
 GROUP = 2000
 
 _BASE = 0x9E3779B97F4A7C15
@@ -192,11 +193,13 @@ def _windows(h: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nda
 
 
 def _compare(batches):
-    """Rows sorted by (h, sub, first occurrence, suffix) -> spans (id, start, stop, other).
+    """Rows sorted by (h, sub, first occurrence, suffix) -> spans (id, start, stop, other), w null.
 
     Each suffix is held against the first occurrence of its seed and its neighbours, and
     extended. What an earlier document shares with neither is found by the words around
-    the seed: all runs of MIN_WORDS words that hold it, against those of the group.
+    the seed: all runs of MIN_WORDS words that hold it, against those of the group. Where a
+    seed's suffixes lie in several groups, each group's first holder of such words is passed
+    on with their hash w, unless that is the seed's first occurrence itself: all groups have it.
     """
     for pdf in whole_runs(batches, ["h", "sub"]):
         h, ids, pos = pdf["h"].to_numpy(), pdf["id"].to_numpy(), pdf["pos"].to_numpy().astype(np.int64)
@@ -222,6 +225,10 @@ def _compare(batches):
         if len(row):
             s, e = run_bounds([head[row], key])
             least = np.repeat(own[s], e - s)
+            hot = s[(pdf["nsub"].to_numpy()[row[s]] > 1) & (row[s] != head[row[s]])]
+            if len(hot):
+                start = pos[row[hot]] - offset[hot]
+                yield pd.DataFrame({"id": own[hot], "start": start, "stop": start + MIN_WORDS, "other": own[hot], "w": pd.array(key[hot].view(np.int64), "Int64")})
             again = np.flatnonzero(own > least)
             if len(again):
                 found = pd.DataFrame({"n": row[again], "o": offset[again], "other": least[again]}).groupby("n").agg(low=("o", "min"), high=("o", "max"), other=("other", "min"))
@@ -229,7 +236,7 @@ def _compare(batches):
                 out.append(pd.DataFrame({"id": ids[at], "start": pos[at] - found["high"].to_numpy(), "stop": pos[at] - found["low"].to_numpy() + MIN_WORDS, "other": found["other"].to_numpy()}))
         spans = pd.concat(out).drop_duplicates()
         if len(spans):
-            yield spans
+            yield spans.assign(w=pd.array([pd.NA] * len(spans), "Int64"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,7 +272,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "sub", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), F.col("nsub") - 1)).otherwise(F.array("sub")))
     )
     ordered = suffixes.repartition("h", "sub").sortWithinPartitions("h", "sub", F.desc("first"), "right", "id", "pos")
-    spans = ordered.drop("first", "nsub").mapInPandas(lean(_compare), "id long, start long, stop long, other long")
+    found = cut(ordered.drop("first").mapInPandas(lean(_compare), "id long, start long, stop long, other long, w long"), "spans")
+    across = attach_min(found.where("w is not null").select("id", "start", "stop", "w"), "w", "id", "other").where("other < id")
+    spans = found.where("w is null").drop("w").unionByName(across.drop("w"))
     merged = spans.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "other"))).alias("spans"))
     return merged.select("id", _union("spans").alias("spans"))
 

@@ -245,6 +245,20 @@ def test_repeats_by_brute_force(spark, monkeypatch):
     assert again == 0  # a repeated id is one document
 
 
+def test_repeats_across_the_groups_of_a_frequent_seed(spark, monkeypatch):
+    """Passages behind a frequent line, which the seed's first document does not share."""
+    monkeypatch.setattr(suffix, "GROUP", 8)
+    rng = random.Random(13)
+    line = prose(rng, 47)
+    tails = [prose(rng, 4, 10**6) for _ in range(40)]
+    texts = [(1, f"{prose(rng, 30)} {line} {prose(rng, 30)} {line} {tails[0]}")]
+    for g, tail in enumerate(tails):
+        texts += [(10 + 3 * g + c, f"{prose(rng, 30, 10**6)} {line} {tail} {prose(rng, 30, 10**6)}") for c in range(3)]
+    got = covered(suffix.repeats(docs(spark, texts)).collect())
+    want = brute_repeats(texts)
+    assert got == want and len(want) == 81
+
+
 def test_repeats_go(spark):
     rng = random.Random(6)
     p, own = prose(rng, 60), prose(rng, 30)
