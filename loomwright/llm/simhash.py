@@ -58,7 +58,16 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def text_fingerprint(text: str | None, shingle: int, words64: int = 1) -> bytes:
     """Little-endian fingerprint of 64 * words64 bits; no words: all bits zero."""
-    base = shingle_hashes(text, shingle)
+    return _bits(shingle_hashes(text, shingle), words64)
+
+
+def set_fingerprint(text: str | None, shingle: int, words64: int) -> bytes:
+    """The fingerprint of the text's distinct shingles, then 16 bytes that are equal for equal sets only."""
+    base = np.unique(shingle_hashes(text, shingle))
+    return _bits(base, words64) + xxhash.xxh3_128_digest(base.tobytes())
+
+
+def _bits(base: np.ndarray, words64: int) -> bytes:
     if not len(base):
         return bytes(8 * words64)
     out = []
@@ -78,12 +87,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, words64: int = 1) -> DataFrame:
-    """Rows (id, fp binary); a null text counts as empty, a row without id is left out."""
+def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, words64: int = 1, sets: bool = False) -> DataFrame:
+    """Rows (id, fp binary), of `set_fingerprint` if `sets`; a null text counts as empty, a row without id is left out."""
+    mark = set_fingerprint if sets else text_fingerprint
 
     def run(batches):
         for batch in batches:
-            fps = [text_fingerprint(t, shingle, words64) for t in batch.column(1).to_pylist()]
+            fps = [mark(t, shingle, words64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["id", "fp"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
@@ -221,7 +231,7 @@ def verified(links: DataFrame, df: DataFrame, id_col: str, text_col: str, shingl
     return packed.repartition("a", "b").sortWithinPartitions("a", "b").mapInPandas(lean(compare), "a long, b long")
 
 
-def _untried(radius: int, similarity: float):
+def _untried(radius: int, words64: int, similarity: float):
     """mapInPandas step over rows sorted by tree: of all pairs of a tree within the radius whose components differ,
     those that reach the similarity, without such as join what the ones before have joined."""
 
@@ -230,7 +240,7 @@ def _untried(radius: int, similarity: float):
             tree, rep, component = (pdf[c].to_numpy() for c in ("tree", "rep", "component"))
             a, b = [], []
             for s, e in zip(*run_bounds([tree]), strict=True):
-                fp = np.frombuffer(b"".join(pdf["fp"].iloc[s:e]), dtype="<u8").reshape(-1, CHECKED)
+                fp = np.frombuffer(b"".join(pdf["fp"].iloc[s:e]), dtype="<u8").reshape(-1, words64)
                 sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["hashes"].iloc[s:e]]
                 for i, j in similar_forest(component[s:e], fp, sets, radius, similarity):
                     a.append(rep[s + i])
@@ -267,7 +277,7 @@ def similar_forest(component: np.ndarray, fp: np.ndarray, sets: list[np.ndarray]
     return found
 
 
-def untried(links: DataFrame, found: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, similarity: float) -> DataFrame | None:
+def untried(links: DataFrame, found: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, words64: int, radius: int, similarity: float) -> DataFrame | None:
     """Further links (a, b) between the components `found` of the links that passed.
 
     A bucket's pairs within the radius all lie within trees of its forest. Where a tree is still more than
@@ -293,10 +303,10 @@ def untried(links: DataFrame, found: DataFrame, classes: DataFrame, df: DataFram
             packed = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["rep", "hashes"])
 
-    marks = classes.select("rep", F.substring("fp", 1, 8 * CHECKED).alias("fp")).dropDuplicates(["rep"])
+    marks = classes.select("rep", F.substring("fp", 1, 8 * words64).alias("fp")).dropDuplicates(["rep"])
     hashes = texts.mapInArrow(lean(sets), "rep long, hashes binary").dropDuplicates(["rep"])
     rows = nodes.join(marks, "rep").join(hashes, "rep").repartition("tree").sortWithinPartitions("tree", "rep")
-    return rows.mapInPandas(lean(_untried(radius, similarity)), "a long, b long")
+    return rows.mapInPandas(lean(_untried(radius, words64, similarity)), "a long, b long")
 
 
 def ring_keys(classes: DataFrame, radius: int) -> tuple[DataFrame, list[int]]:
@@ -311,7 +321,7 @@ def ring_keys(classes: DataFrame, radius: int) -> tuple[DataFrame, list[int]]:
     ]
     bits = F.conv(F.hex(big_endian("fp")), 16, -10).cast("long")
     rows = classes.withColumn("bits", bits)
-    return rows.select(F.explode(F.array(*keys)).alias("key"), "rep", "fp"), widths
+    return rows.select(F.explode(F.array(*keys)).alias("key"), "rep", F.substring("fp", 1, 8).alias("fp")), widths
 
 
 def big_endian(col: str):
@@ -337,7 +347,7 @@ def sampled_keys(classes: DataFrame, flips: float, words64: int, distinct: int)
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 batch = whole.slice(lo, 2048)
-                fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, bits // 8)
+                fp = np.frombuffer(b"".join(f[: bits // 8] for f in batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, bits // 8)
                 bit = np.unpackbits(fp, axis=1, bitorder="little").astype(np.int64)
                 keys = np.stack([(bit[:, p] @ weights) | (np.int64(t) << np.int64(48)) for t, p in enumerate(picks)], axis=1)
                 take = pa.array(np.repeat(np.arange(batch.num_rows), tables))
@@ -355,15 +365,16 @@ def simhash_components(
     there are more); with `similarity`, only if the
     shingle sets' Jaccard similarity reaches it as well (the nearest pairs by fingerprint are
     tried first, as a spanning forest of each bucket; then, where links of a tree failed, all
-    its pairs that passed links haven't joined).
+    its pairs that passed links haven't joined). Fingerprints are then those of the sets, and
+    only equal sets are one class.
 
     Defined cases: a null or empty text, or one of white space only, has the zero
     fingerprint, linked like any other; a text of fewer words than `shingle` is one
-    shingle; equal fingerprints are one class and cost one row each; rows that repeat
+    shingle; equal fingerprints (or sets) are one class and cost one row each; rows that repeat
     an id are each returned with that id's component; rows whose id is null are left
     out; an empty table gives no rows; further columns of df are not read.
     """
-    rows = salted(cut(fingerprints(df, id_col, text_col, shingle, words64), "fp"), "id")
+    rows = salted(cut(fingerprints(df, id_col, text_col, shingle, words64, similarity is not None), "fp"), "id")
     reps = cut(group_values(rows, ["fp"], {"rep": F.min("id")}, {"rep": F.min("rep")}), "reps")
     classes = cut(reps.select("fp", "rep").distinct(), "classes")
     distinct = classes.count()
@@ -381,14 +392,14 @@ def simhash_components(
     else:
         links = cut(links, "links")
         found = connected_components(verified(links.select("a", "b").distinct(), df, id_col, text_col, shingle, similarity))
-        more = untried(links, found, classes, df, id_col, text_col, shingle, radius, similarity)
+        more = untried(links, found, classes, df, id_col, text_col, shingle, compared, radius, similarity)
         if more is not None:
             found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     found = found.withColumnRenamed("node", "rep")
     labelled = reps.join(found, "rep", "left").select(
         "fp", "_salt", F.coalesce("component", "rep").alias("component")
     )
-    return rows.join(labelled, ["fp", "_salt"]).select("id", "fp", "component")
+    return rows.join(labelled, ["fp", "_salt"]).select("id", F.substring("fp", 1, 8 * words64).alias("fp"), "component")
 
 
 def near_duplicates(

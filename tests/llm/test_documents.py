@@ -171,6 +171,17 @@ def test_near_duplicates_in_a_template_family(spark):
     assert gone >= 145  # 2 % of the pairs at 0.8 do not meet in a bucket
 
 
+def test_repeated_lines_do_not_decide_near_duplicates(spark):
+    rng = random.Random(17)
+    line = " ".join([prose(rng, 11)] * 400)
+    a, b, c = (prose(rng, 300, 10**6) for _ in range(3))
+    texts = [(1, f"{line} {a}"), (2, f"{line} {b}"), (3, c), (4, f"{c} {line}")]
+    assert simhash.text_fingerprint(texts[0][1], 5, 4) == simhash.text_fingerprint(texts[1][1], 5, 4)
+    assert jaccard(texts[0][1], texts[1][1]) < 0.1 and jaccard(texts[2][1], texts[3][1]) > 0.9
+    kept = {r.doc_id for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert kept == {1, 2, 3}
+
+
 def forest_weights(monkeypatch, fps, flush):
     monkeypatch.setattr(simhash, "FLUSH", flush, raising=False)
     n = len(fps)
