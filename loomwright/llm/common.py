@@ -45,6 +45,16 @@ def discard(df: DataFrame) -> None:
         hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write one small file on any file system."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hpath.getFileSystem(spark._jsc.hadoopConfiguration()).create(hpath)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def salted(df: DataFrame, *by: str, salts: int = 64) -> DataFrame:
     """Add `_salt`, a hash of `by`, that spreads the rows of one key over `salts` groups."""
     return df.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
