@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import base64
 import bisect
+import functools
+import math
+import re
 import zlib
 from collections import defaultdict
 
@@ -21,18 +24,33 @@ from loomwright.llm.common import cut, lean
 
 SIZE = 1024
 END = 2
+#: Pieces of one part, about, when ranks are given out.
+PART_ROWS = 50_000
 PIECES = "id long, piece int, start long, length int, crc long"
 
 
-def byte_bpe(path: str, pattern: str, specials: dict[str, int]):
-    """An encoder over a rank file, equal in ids to the byte-level BPE of the same vocabulary."""
+#: White-space characters in a row that only the contract's own library is given: the rank file's
+#: library matches by backtracking, whose stack such runs exhaust.
+LONG_SPACE = 10_000
+
+
+def byte_bpe(path: str, pattern: str, specials: dict[str, int], library_path: str):
+    """An encoder over a rank file, equal in ids to the byte-level BPE of the same vocabulary in library_path,
+    which encodes texts with very long runs of white space itself."""
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     enc = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
+    long_space = re.compile(r"\s{%d}" % LONG_SPACE).search
+    library: list = []
 
     def ids(text: str) -> np.ndarray:
+        if len(text) >= LONG_SPACE and long_space(text):
+            if not library:
+                library.append(Tokenizer.from_file(library_path))
+            return np.array(library[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         if any(s in text for s in specials):
             return np.array(enc.encode(text, allowed_special="all"), dtype=np.uint32)
         return enc.encode_to_numpy(text)
@@ -40,10 +58,12 @@ def byte_bpe(path: str, pattern: str, specials: dict[str, int]):
     return ids
 
 
+@functools.cache
 def default_encoder():
+    """Kept by a Python worker from task to task."""
     import public_tokenizers as P
 
-    return byte_bpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, {"<|endoftext|>": 50256})
+    return byte_bpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, {"<|endoftext|>": 50256}, P.path("byte_bpe_50k.json"))
 
 
 def token_pieces(df: DataFrame, id_col: str, text_col: str, encoder=default_encoder, size: int = SIZE, end: int = END) -> DataFrame:
@@ -173,20 +193,26 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", encoder=
     """Rows (id, piece, start, length, crc, sequence_id, offset), one for each piece.
 
     Defined cases: a null or empty text is the end id alone, one piece of length 1; a
-    null id stays null; rows that repeat an id are packed each on its own; an empty
-    table gives no rows; equal lengths are placed in order of (id, piece); further
+    null id stays null; rows that repeat an id are packed each on its own; texts, unbroken
+    words and runs of white space of any length are encoded whole; an empty table gives no rows; equal lengths are placed in order of (id, piece); further
     columns of df are not read. No sequence is longer than `size`.
     """
     pieces = cut(token_pieces(df, id_col, text_col, encoder, size, end), "pieces")
     histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
     slots = slot_table(plan_patterns(histogram, size))
-    parts = max(256, sum(histogram.values()) // 50_000)
-    ranked = pieces.withColumn("_part", F.pmod(F.xxhash64("id", "piece", "crc"), F.lit(parts)).cast("int"))
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranked.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = offsets.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_part").orderBy("id", "piece", "start", "crc")
-    ranked = ranked.join(offsets, ["length", "_part"]).withColumn("rank", F.col("_before") + F.row_number().over(within) - 1)
+    # ranks within a length are summed over blocks of parts, then over the parts of a block: no window
+    # holds more than some thousand rows, though most pieces may have one length
+    blocks = max(16, math.isqrt(sum(histogram.values()) // PART_ROWS))
+    spot = F.pmod(F.xxhash64("id", "piece", "crc"), F.lit(blocks * blocks))
+    ranked = pieces.withColumn("_block", F.floor(spot / blocks).cast("int")).withColumn("_part", F.pmod(spot, F.lit(blocks)).cast("int"))
+    parts = ranked.groupBy("length", "_block", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    sums = parts.groupBy("length", "_block").agg(F.sum("_n").alias("_n"))
+    earlier = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("length", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    earlier = Window.partitionBy("length", "_block").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n").join(sums, ["length", "_block"])
+    within = Window.partitionBy("length", "_block", "_part").orderBy("id", "piece", "start", "crc")
+    ranked = ranked.join(parts, ["length", "_block", "_part"]).withColumn("rank", F.col("_base") + F.col("_before") + F.row_number().over(within) - 1)
 
     def place(batches):
         span = np.int64(1) << np.int64(48)
