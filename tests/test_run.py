@@ -13,14 +13,14 @@ SENT = "1\t{0}\tx\tX\t_\t_\t0\troot\t_\t_\n2\tb\tb\tX\t_\t_\t1\tdep\t_\t_\n"
 
 def test_chunk_corpus_and_report(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    text = "# newdoc id = d1\n# meta::collection = USPTO\n# meta::date = 1899-04-02\n# meta::creator = A\n" + "\n".join(SENT.format(w) for w in ("a", "a", "c")) + "\n# newdoc id = d2\n# meta::collection = Wikipedia\n" + SENT.format("d")
+    text = "# newdoc id = d1\n# meta::collection = Harbour Log\n# meta::date = 1907-11-23\n# meta::creator = A\n" + "\n".join(SENT.format(w) for w in ("a", "a", "c")) + "\n# newdoc id = d2\n# meta::collection = Almanac\n" + SENT.format("d")
     (tmp_path / "in" / "x.conllu").write_text(text)
     doc = run.chunk_corpus(spark, str(tmp_path / "in"), str(tmp_path / "out"), 2, None)
     assert doc["sentences"] == 3 and doc["tokens"] == 6 and len(doc["chunks"]) == 3
     assert run.chunk_corpus(spark, str(tmp_path / "in"), str(tmp_path / "out"), 2, None) == doc  # up to date
     found = run.corpus_report(spark, str(tmp_path / "in"), str(tmp_path / "report.json"))
-    assert found["fields"]["collection"] == {"USPTO": 1, "Wikipedia": 1} and found["corpus_totals"]["documents"] == 2
-    assert found["corpus_totals"]["sentences"] == 4 and found["year"] == {"1899": 1} and found["creator"]["total"] == 1
+    assert found["fields"]["collection"] == {"Harbour Log": 1, "Almanac": 1} and found["corpus_totals"]["documents"] == 2
+    assert found["corpus_totals"]["sentences"] == 4 and found["year"] == {"1907": 1} and found["creator"]["total"] == 1
 
 
 @pytest.mark.parametrize("method", ["bm25", "vanilla", "trackstar", "kfac"])
