@@ -3,12 +3,11 @@
 Only suffixes that begin at a content-selected minimiser are kept: of each WINDOW
 consecutive seeds of SEED_WORDS words the one of least hash. Any passage of
 SEED_WORDS + WINDOW - 1 = 50 words holds one, at the same place in every copy. Suffixes
-whose seed occurs once are dropped, the others sorted; a suffix is compared with the
-first occurrence of its seed and with its neighbours, extended left and right word by
-word, and a match of MIN_WORDS words or more is a repeat; runs of MIN_WORDS words around a
-seed are compared within its group and, by their hashes, across the groups of a frequent
-seed as well. Words are compared by 32-bit hashes beyond
-the 64-bit hash of the seed.
+whose seed occurs once are dropped, the others sorted by what follows the seed. Where
+neighbours have r words in common and, in the order of what goes before the seed, l words,
+both extend the match: for each l + r that makes MIN_WORDS words, suffixes that lie in one
+run of either order share a passage, and the least id of the run keeps it. Words
+are compared by 32-bit hashes beyond the 64-bit hash of the seed.
 """
 
 from __future__ import annotations
@@ -27,8 +26,10 @@ MIN_WORDS = SEED_WORDS + WINDOW - 1
 #: Words of context kept on each side of a seed; longer repeats are chained from their seeds.
 REACH = WINDOW - 1
 #: Suffixes of one seed that are sorted together. A more frequent seed is cut into such groups, each with
-#: the seed's first occurrence; of the words that this one doesn't share, the groups' first holders meet.
+#: the seed's first occurrence; the first holders of the other runs are passed on and meet across the groups.
 GROUP = 2000
+#: Words whose places are packed with their seeds at once.
+STRETCH = 1 << 25
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -89,23 +90,29 @@ class Words:
         if n < MIN_WORDS:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
         seed = self.seeds()
-        packed = (seed >> np.uint64(26) << np.uint64(26)) | np.arange(n, dtype=np.uint64)
-        runs, size = {1: packed}, 1
-        while size * 2 <= WINDOW:
-            runs[size * 2] = np.minimum(runs[size][: len(runs[size]) - size], runs[size][size:])
-            size *= 2
         full = n - WINDOW + 1
-        least, at = None, 0
-        for size in sorted(runs, reverse=True):
-            if WINDOW & size:
-                part = runs[size][at : at + full]
-                least = part if least is None else np.minimum(least, part)
-                at += size
         valid = np.zeros(full, dtype=bool)
         for lo, hi in zip(self.bounds[:-1], self.bounds[1:], strict=True):
             if hi - lo >= MIN_WORDS:
                 valid[lo : hi - MIN_WORDS + 1] = True
-        return np.unique(least[valid] & np.uint64((1 << 26) - 1)).astype(np.int64), seed
+        kept = [_least(seed[lo : lo + STRETCH + WINDOW - 1])[valid[lo : lo + STRETCH]] + lo for lo in range(0, full, STRETCH)]
+        return np.unique(np.concatenate(kept)), seed
+
+
+def _least(seed: np.ndarray) -> np.ndarray:
+    """The place of the least of each WINDOW consecutive seeds (fewer than 2 ** 26), by their upper bits, the first of equal ones."""
+    packed = (seed >> np.uint64(26) << np.uint64(26)) | np.arange(len(seed), dtype=np.uint64)
+    runs, size = {1: packed}, 1
+    while size * 2 <= WINDOW:
+        runs[size * 2] = np.minimum(runs[size][: len(runs[size]) - size], runs[size][size:])
+        size *= 2
+    full, least, at = len(seed) - WINDOW + 1, None, 0
+    for size in sorted(runs, reverse=True):
+        if WINDOW & size:
+            part = runs[size][at : at + full]
+            least = part if least is None else np.minimum(least, part)
+            at += size
+    return (least & np.uint64((1 << 26) - 1)).astype(np.int64)
 
 
 def _chunks(sizes: list[int], limit: int = 1_000_000):
@@ -174,78 +181,91 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(axis=1)
 
 
-def _windows(h: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (n, REACH + 1) of the MIN_WORDS words that hold each suffix's seed at offset 0, 1, ..., and
-    whether the text reaches that far."""
-    n = len(h)
+def _shared(words: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Words that each sorted row has in common with the row before, -1 where a group begins."""
+    out = np.full(len(words), -1)
+    at = np.flatnonzero(~fresh)
+    out[at] = _common(words[at - 1], words[at])
+    return out
+
+
+def _names(h: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of MIN_WORDS words: those of `left`, nearest first, the seed h, those of `right`; all rows of one shape."""
     sides = []
     for words in (left, right):
-        own = np.zeros((n, REACH + 1), dtype=np.uint64)
-        for k in range(REACH):
-            own[:, k + 1] = _mix(own[:, k] * np.uint64(_BASE) + words[:, k].astype(np.uint64) + np.uint64(k + 1))
-        there = np.ones((n, REACH + 1), dtype=bool)
-        there[:, 1:] = np.logical_and.accumulate(words != 0, axis=1)
-        sides.append((own, there))
-    (lh, lt), (rh, rt) = sides
-    rh, rt = rh[:, ::-1], rt[:, ::-1]
-    offset = np.arange(REACH + 1, dtype=np.uint64)
-    return _mix(h.view(np.uint64)[:, None] + lh * np.uint64(3) + _mix(rh + offset)), lt & rt
+        own = np.zeros(len(h), dtype=np.uint64)
+        for k in range(words.shape[1]):
+            own = _mix(own * np.uint64(_BASE) + words[:, k].astype(np.uint64) + np.uint64(k + 1))
+        sides.append(own)
+    return _mix(h.view(np.uint64) + sides[0] * np.uint64(3) + _mix(sides[1] + np.uint64(left.shape[1])))
 
 
 def _compare(batches):
     """Rows sorted by (h, sub, first occurrence, suffix) -> spans (id, start, stop, other), w null.
 
-    Each suffix is held against the first occurrence of its seed and its neighbours, and
-    extended. What an earlier document shares with neither is found by the words around
-    the seed: all runs of MIN_WORDS words that hold it, against those of the group. Where a
-    seed's suffixes lie in several groups, each group's first holder of such words is passed
-    on with their hash w, unless that is the seed's first occurrence itself: all groups have it.
+    For each l the rows whose right contexts have REACH - l words in common are a run of
+    the suffix order, as its neighbours' common words tell; those whose left contexts have l
+    in common are one of the left order. Rows in one run of both hold the same MIN_WORDS words, and
+    all but those of the least id repeat them. Where a seed's suffixes lie in several
+    groups, each such run's first holder is passed on with the hash w of its words, unless
+    that is the seed's first occurrence itself: all groups have it.
     """
     for pdf in whole_runs(batches, ["h", "sub"]):
         h, ids, pos = pdf["h"].to_numpy(), pdf["id"].to_numpy(), pdf["pos"].to_numpy().astype(np.int64)
-        left = np.frombuffer(b"".join(pdf["left"]), dtype=">u4").reshape(-1, REACH)
-        right = np.frombuffer(b"".join(pdf["right"]), dtype=">u4").reshape(-1, REACH)
-        starts, ends = run_bounds([h, pdf["sub"].to_numpy()])
-        head = np.repeat(starts, ends - starts)
-        n = np.arange(len(ids))
-        out = []
-        for a, b in ((head, n), (n[:-1], n[1:])):
-            same = head[a] == head[b]
-            a, b = a[same & (ids[a] != ids[b])], b[same & (ids[a] != ids[b])]
-            l, r = _common(left[a], left[b]), _common(right[a], right[b])
-            long = l + r + SEED_WORDS >= MIN_WORDS
-            a, b, l, r = a[long], b[long], l[long], r[long]
-            late, early = np.where(ids[a] > ids[b], a, b), np.minimum(ids[a], ids[b])
-            out.append(pd.DataFrame({"id": ids[late], "start": pos[late] - l, "stop": pos[late] + SEED_WORDS + r, "other": early}))
-        keys, there = _windows(h, left, right)
-        row, offset = np.nonzero(there)
-        key, own = keys[row, offset], ids[row]
-        order = np.lexsort((own, key, head[row]))
-        row, offset, key, own = row[order], offset[order], key[order], own[order]
-        if len(row):
-            s, e = run_bounds([head[row], key])
-            least = np.repeat(own[s], e - s)
-            hot = s[(pdf["nsub"].to_numpy()[row[s]] > 1) & (row[s] != head[row[s]])]
-            if len(hot):
-                start = pos[row[hot]] - offset[hot]
-                yield pd.DataFrame({"id": own[hot], "start": start, "stop": start + MIN_WORDS, "other": own[hot], "w": pd.array(key[hot].view(np.int64), "Int64")})
-            again = np.flatnonzero(own > least)
-            if len(again):
-                found = pd.DataFrame({"n": row[again], "o": offset[again], "other": least[again]}).groupby("n").agg(low=("o", "min"), high=("o", "max"), other=("other", "min"))
-                at = found.index.to_numpy()
-                out.append(pd.DataFrame({"id": ids[at], "start": pos[at] - found["high"].to_numpy(), "stop": pos[at] - found["low"].to_numpy() + MIN_WORDS, "other": found["other"].to_numpy()}))
-        spans = pd.concat(out).drop_duplicates()
-        if len(spans):
+        hot = pdf["nsub"].to_numpy() > 1
+        n, at = len(ids), np.arange(len(ids))
+        sides = {}
+        for name in ("left", "right"):
+            packed = b"".join(pdf[name])
+            words = np.frombuffer(packed, dtype=">u4").reshape(-1, REACH)
+            starts, ends = run_bounds([h, pdf["sub"].to_numpy()])
+            group = np.repeat(starts, ends - starts)
+            order = np.lexsort((np.frombuffer(packed, dtype=f"S{4 * REACH}"), group))
+            fresh = np.concatenate([[True], group[order][1:] != group[order][:-1]])
+            sides[name] = words, order, _shared(words[order], fresh), (words != 0).sum(axis=1)
+        (left, by_left, left_shared, left_size), (right, by_right, right_shared, right_size) = sides["left"], sides["right"]
+        low, high, other = np.full(n, REACH + 1), np.full(n, -1), ids.copy()
+        left_run, right_run = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+        for l in range(REACH + 1):
+            left_run[by_left] = np.cumsum(left_shared < l)
+            right_run[by_right] = np.cumsum(right_shared < REACH - l)
+            reach = (left_size >= l) & (right_size >= REACH - l)
+            both = (np.bincount(left_run)[left_run] > 1) & (np.bincount(right_run)[right_run] > 1)
+            rows = np.flatnonzero(reach & (both | hot))
+            if not len(rows):
+                continue
+            key = left_run[rows] * (n + 1) + right_run[rows]
+            order = np.lexsort((ids[rows], key))
+            rows, key = rows[order], key[order]
+            s, e = run_bounds([key])
+            least = np.repeat(ids[rows[s]], e - s)
+            again = ids[rows] > least
+            found = rows[again]
+            low[found], high[found] = np.minimum(low[found], l), l
+            other[found] = np.minimum(other[found], least[again])
+            first = rows[s[hot[rows[s]] & (rows[s] != group[rows[s]])]]
+            if len(first):
+                name = _names(h[first], left[first, :l], right[first, : REACH - l])
+                start = pos[first] - l
+                yield pd.DataFrame({"id": ids[first], "start": start, "stop": start + MIN_WORDS, "other": ids[first], "w": pd.array(name.view(np.int64), "Int64")})
+        at = np.flatnonzero(high >= 0)
+        if len(at):
+            spans = pd.DataFrame({"id": ids[at], "start": pos[at] - high[at], "stop": pos[at] - low[at] + MIN_WORDS, "other": other[at]})
             yield spans.assign(w=pd.array([pd.NA] * len(spans), "Int64"))
 
 
+def _groups(n: str):
+    """Groups that a seed of n suffixes is cut into."""
+    return F.ceil(F.col(n) / GROUP).cast("int")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, spans): the documents that hold a passage of 50 or more words that a document
     of smaller id holds too; spans are sorted, disjoint structs (start, stop, other) in
     words of the text, `other` being the smallest id seen to hold part of the span.
 
     Words are what ASCII white space separates, compared as they are. Defined cases: null,
-    empty and shorter texts hold no passage; a passage that recurs within one document
+    empty and shorter texts hold no passage; texts of any length are read whole, an unbroken one is one word; a passage that recurs within one document
     only is no repeat; rows that repeat an id count as one document, the same text; rows
     without id are left out; an empty table gives no rows; further columns are not read.
     """
@@ -256,12 +276,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "pos")).alias("rep"), F.max("id").alias("_last")
     )
     classes = cut(classes.where("rep.id < _last").select("h", "n", "rep"), "classes")
-    floor = max(GROUP, seeds.count() // HOT_KEYS)
-    hot = classes.where(F.col("n") > floor).select("h", F.ceil(F.col("n") / GROUP).cast("int").alias("nsub"))  # < HOT_KEYS keys
-    subs = F.coalesce("nsub", F.lit(1))
-    marked = seeds.join(F.broadcast(hot), "h", "left").withColumn("nsub", subs).withColumn("sub", F.pmod(F.xxhash64("id", "pos"), "nsub").cast("int"))
-    spread = classes.join(F.broadcast(hot), "h", "left").withColumn("sub", F.explode(F.sequence(F.lit(0), subs - 1))).select("h", "sub", "rep")
-    members = marked.join(spread, ["h", "sub"]).withColumn("first", F.struct("id", "pos") == F.col("rep"))
+    # the rows of a seed that may hold a large share of all are dealt out before they meet its class
+    heavy = classes.where(F.col("n") > max(GROUP, seeds.count() // HOT_KEYS)).select("h", _groups("n").alias("_parts"))  # < HOT_KEYS keys
+    deal = F.pmod(F.xxhash64("id", "pos"), F.coalesce("_parts", F.lit(1))).cast("int")
+    marked = seeds.join(F.broadcast(heavy), "h", "left").withColumn("_part", deal).drop("_parts")
+    spread = classes.join(F.broadcast(heavy), "h", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    members = marked.join(spread.select("h", "_part", "rep", _groups("n").alias("nsub")), ["h", "_part"])
+    members = members.withColumn("sub", F.pmod(F.xxhash64("id", "pos"), "nsub").cast("int")).withColumn("first", F.struct("id", "pos") == F.col("rep"))
     by_doc = members.groupBy("id").agg(F.collect_set(F.struct("h", "pos", "sub", "nsub", "first")).alias("seeds"))
     # one text for an id: a repeated id is one document
     joined = texts.join(by_doc, "id").select("id", "text", "seeds")
@@ -316,7 +337,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs with each repeated passage left only in the document of smallest id that holds it.
 
     A document whose words all go is dropped; documents without repeats stay as they
-    are. A column n_chars, if there is one, follows a text that changed.
+    are, null, empty and very long ones too. A column n_chars, if there is one, follows a
+    text that changed. Rows without id stay as they are, rows that repeat an id lose the same
+    words; an empty table gives no rows; other columns of any name are handed through.
     """
     found = repeats(docs, id_col, text_col).select(F.col("id").alias("_repeats_id"), F.col("spans").alias("_repeats_spans"))
     at, names = docs.columns.index(text_col), docs.columns
