@@ -82,8 +82,8 @@ def test_repeated_pages_and_no_pages(spark, tmp_path):
 # -- HTML -----------------------------------------------------------------------
 
 
-def text(page, template=frozenset()):
-    return html_extract.main_text(page, template)
+def text(page):
+    return html_extract.main_text(page)
 
 
 def test_article_and_its_surroundings():
@@ -120,15 +120,64 @@ def test_templates_leave_the_slots(spark):
     assert html_extract.extract(pages(spark, [])).count() == 0
 
 
-def test_extraction_query(spark, sf_dir):
+def test_slots_are_told_by_their_classes(spark):
+    """No element or class name tells the article: lists of links, fixed lines and small slots go by the template."""
+    import random
+
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    rows, want = [], {}
+    for i in range(30):
+        title, body = words(5), [words(30) for _ in range(rng.randint(1, 6))]
+        links = "".join(f"<div><a href=/x>{words(2)}</a></div>" for _ in range(4))
+        more = f"<div class=m><div><a href=/y>{words(4)}</a></div></div>"
+        note = "<div class=q><div>Only this week</div></div>" if i % 3 else ""
+        rows.append((i, "http://h/", f"<body><div class=a>{links}</div><div class=b>{words(8)}</div><div class=c><h1>{title}</h1>{note}<div>Read on</div>{''.join(f'<p>{p}</p>' for p in body)}{more}</div><div class=d><div>{words(9)}</div>As always</div></body>"))
+        want[i] = "\n".join([title, *body])
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert got == want
+
+
+def test_copies_are_no_template(spark):
+    page = "<body><nav><a href=/>x</a></nav><article><h1>One</h1><p>The same text on all pages</p></article></body>"
+    rows = [(i, "http://h/", page) for i in range(9)]
+    assert {r.text for r in html_extract.extract(pages(spark, rows)).collect()} == {"One\nThe same text on all pages"}
+
+
+def test_long_and_deep_pages(spark):
+    deep = "<div>" * 20_000 + "core" + "</span>" * 20_000
+    long = "<article>" + "".join(f"<p>{i} {'x' * 40}" for i in range(20_000)) + "<p>" + "y" * 2_000_000 + "</article>"
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, [(1, "http://a/", deep), (2, "http://b/", long)])).collect()}
+    assert got[1] == "core" and got[2].count("\n") == 20_000 and len(got[2]) > 2_800_000
+
+
+def article_text(page):
     import html
     import re
 
+    body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    parts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", p))).strip() for p in re.split(r"</?(?:p|h1|br)>", body)]
+    return "\n".join(p for p in parts if p)
+
+
+def test_extraction_query(spark, sf_dir):
     got = {r.page_id: r.text for r in QUERIES["op6_html"](spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
-        body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
-        parts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", p))).strip() for p in re.split(r"</?(?:p|h1|br)>", body)]
-        assert got[r.page_id] == "\n".join(p for p in parts if p)
+        assert got[r.page_id] == article_text(r.html)
+
+
+def test_extraction_without_telling_names(spark, sf_dir):
+    """All element and class names that tell the article from its surroundings taken away: the hosts' templates tell it."""
+    import re
+
+    names = {"article": "div class=k", "nav": "div class=l", "footer": "div class=m"}
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    plain = []
+    for n, r in enumerate(rows):
+        page = re.sub(r"</(article|nav|footer)>", "</div>", r.html.replace('class="ad"', 'class="n"'))
+        plain.append((r.page_id, f"http://h{n % 5}/", re.sub(r"<(article|nav|footer)>", lambda m: f"<{names[m[1]]}>", page)))
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, plain)).collect()}
+    assert got == {r.page_id: article_text(r.html) for r in rows}
 
 
 # -- URL rules ------------------------------------------------------------------
