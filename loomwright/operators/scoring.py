@@ -23,27 +23,26 @@ def bm25(train: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     """train (train_idx, text), queries (query_idx, text) -> rows (train_idx, query_idx, score) of the pairs
     that share a token; all others score 0. idf is ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Only tokens that a query holds leave the scan. They are dealt out once, by row, so that
-    a row's postings and the sums of its scores come together in one task; query terms,
-    weighted by idf, meet them on the token.
+    Texts are read once: a row keeps its length and those of its tokens that a query holds,
+    as it was read. Query terms, weighted by idf, meet its postings on the token; a token of many
+    queries, or many rows, is no row of its own.
     """
     from loomwright.plans.runtime import materialize
 
-    own = words(F.lower("text"), LONG_WORD)
-    totals = train.select(F.size(own).alias("dl")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     asked = materialize(term_counts(queries, "query_idx", "text").withColumnRenamed("tf", "qn"))
-    small = asked.count() <= BROADCAST_ROWS
-    near = F.broadcast if small else (lambda df: df)
-    tokens = train.select("train_idx", own.alias("_w")).select("train_idx", F.size("_w").alias("dl"), F.explode("_w").alias("token"))
-    postings = tokens.join(near(asked.select("token").distinct()), "token", "left_semi")
-    postings = postings.repartition("train_idx").groupBy("train_idx", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    near = F.broadcast if asked.count() <= BROADCAST_ROWS else (lambda df: df)
+    tokens = train.select("train_idx", F.explode_outer(words(F.lower("text"), LONG_WORD)).alias("token"))
+    known = near(asked.select("token").distinct().withColumn("_known", F.col("token")))
+    kept = tokens.join(known, "token", "left").groupBy("train_idx").agg(F.count("token").alias("dl"), F.collect_list("_known").alias("_kept"))
+    kept = materialize(kept)
+    totals = kept.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    postings = kept.select("train_idx", "dl", F.explode("_kept").alias("token")).groupBy("train_idx", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weights = asked.join(df, "token").crossJoin(totals)  # totals: one row
     weights = weights.select("token", "query_idx", "avgdl", (F.col("qn") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
-    by_token = weights.groupBy("token").agg(F.first("avgdl").alias("avgdl"), F.collect_list(F.struct("query_idx", "w")).alias("qs"))
     part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    rows = postings.join(near(by_token), "token").select("train_idx", part.alias("part"), F.explode("qs").alias("q"))
-    return rows.groupBy("train_idx", F.col("q.query_idx").alias("query_idx")).agg(F.round(F.sum(F.col("q.w") * F.col("part")), 6).alias("score"))
+    rows = postings.join(near(weights), "token").select("train_idx", "query_idx", (F.col("w") * part).alias("s"))
+    return rows.groupBy("train_idx", "query_idx").agg(F.round(F.sum("s"), 6).alias("score"))
 
 
 def unit_norm(scores: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from loomwright.functions import categories, metrics
 from loomwright.functions.text import words
 from loomwright.operators import facts as fact_ops
-from loomwright.operators import rank, sampling, scoring, stats
+from loomwright.operators import contains, rank, sampling, scoring, stats
+from loomwright.plans.config import Attribution
 from loomwright.plans.registry import query, table
 from loomwright.plans.runtime import materialize, spread
 
@@ -58,24 +59,9 @@ def delta(spark, sf_dir) -> DataFrame:
 
 
 def membership(spark, sf_dir) -> DataFrame:
-    """Rows (train_idx, fact_key): documents that hold a passage whole.
-
-    Documents meet passages by a run of ANCHOR words that lies within the passage (its
-    second word on, as the first may be the end of a longer word of the document); each
-    meeting is then held against the whole passage. Short passages are looked for one by one.
-    """
-    anchor = 8
-    docs, items = train(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fact_key"), F.col("text").alias("passage"))
-    # words between white space, as far as the passage has white space on both sides
-    w = F.split("passage", r"\s+")
-    items = items.withColumn("_w", w).withColumn("_long", F.size("_w") >= anchor + 2)
-    long = items.where("_long").withColumn("_run", F.slice("_w", 2, anchor)).withColumn("_first", F.get("_run", F.lit(0)))
-    rows = docs.select("train_idx", "text", F.split("text", r"\s+").alias("_d")).select("train_idx", "text", "_d", F.posexplode("_d").alias("_p", "_first"))
-    met = rows.join(F.broadcast(long.select("fact_key", "_run", "_first")), "_first").where(F.slice("_d", F.col("_p") + 1, anchor) == F.col("_run"))
-    met = met.select("train_idx", "fact_key").distinct()
-    found = met.join(docs, "train_idx").join(items, "fact_key").where(F.contains("text", "passage"))
-    short = docs.crossJoin(F.broadcast(items.where("not _long"))).where(F.contains("text", "passage"))
-    return found.select("train_idx", "fact_key").unionByName(short.select("train_idx", "fact_key"))
+    """Rows (train_idx, fact_key): documents that hold a passage whole, written once."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fact_key"), F.col("text").alias("passage"))
+    return materialize(contains.holding(train(spark, sf_dir), items, "train_idx", "text", "fact_key", "passage"))
 
 
 def top(spark, sf_dir, k: int = 20, side: str = "contrast", sparse: DataFrame | None = None) -> DataFrame:
@@ -104,9 +90,9 @@ for _side, _order in {"contrast": "delta_i DESC", "good": "score_good DESC", "ba
 SELECT train_idx, pair_idx, score_good, score_bad, delta_i, CAST(rank AS INTEGER) AS rank FROM t WHERE rank < 10""")(lambda spark, sf_dir, side=_side: top(spark, sf_dir, 10, side))
 
 
-def relevant_top(spark, sf_dir) -> DataFrame:
+def relevant_top(spark, sf_dir, member: DataFrame | None = None) -> DataFrame:
     """The first 20 rows of each pair, marked as D_X and as rows of the pair's own fact."""
-    member = membership(spark, sf_dir)
+    member = membership(spark, sf_dir) if member is None else member
     dx = member.select("train_idx").distinct().withColumn("_x", F.lit(True))
     own = member.withColumnRenamed("fact_key", "pair_idx").withColumn("_own", F.lit(True))
     rows = top(spark, sf_dir).join(dx, "train_idx", "left").join(own, ["train_idx", "pair_idx"], "left")
@@ -138,9 +124,9 @@ def prec_at_k_exact(spark, sf_dir):
 @query("lift_at_k", f"""SELECT q.*, round(prec_at_k / ((SELECT count(DISTINCT doc_id) FROM documents d, benchmark b WHERE contains(d.text, b.text)) / (SELECT count(*) FROM documents)), 6) AS lift_at_k
 FROM ({_prec_sql(IS_DX)}) q""")
 def lift_at_k(spark, sf_dir):
-    member = materialize(membership(spark, sf_dir))
-    n_dx = member.select("train_idx").distinct().count()
-    return rank.lift(prec_at_k(spark, sf_dir), n_dx, train(spark, sf_dir).count())
+    member, n = membership(spark, sf_dir), train(spark, sf_dir).count()
+    precision = rank.macro_precision(rank.precision_at(relevant_top(spark, sf_dir, member), "is_dx", KS, n))
+    return rank.lift(precision, member.select("train_idx").distinct().count(), n)
 
 
 @query("cumulative_hits", f"""WITH {TOP_SQL}, c AS (SELECT pair_idx, rank, CAST(sum(CASE WHEN {IS_DX} THEN 1 ELSE 0 END) OVER (PARTITION BY pair_idx ORDER BY rank) AS BIGINT) AS cum_hits FROM top)
@@ -168,14 +154,14 @@ def merge_sources(spark, sf_dir):
     return fact_ops.merge_sources(rows).select(F.md5(F.col("text").cast("binary")).alias("text_key"), F.array_join("fact_ids", ",").alias("fact_ids"), F.array_join("sources", ",").alias("sources"))
 
 
-def dx_values(spark, sf_dir, sparse: DataFrame) -> DataFrame:
+def dx_values(spark, sf_dir, sparse: DataFrame, member: DataFrame) -> DataFrame:
     """Contrasts of all D_X rows under all pairs, zero where nothing scores."""
-    dx = membership(spark, sf_dir).select("train_idx").distinct()
-    return rank_dense(dx, spark, sf_dir, sparse)
+    return rank_dense(member.select("train_idx").distinct(), spark, sf_dir, sparse)
 
 
-def base_values(spark, sf_dir, sparse: DataFrame, n: int = 100, seed: int = 0) -> DataFrame:
-    base = train(spark, sf_dir).select("train_idx").join(membership(spark, sf_dir), "train_idx", "left_anti")
+def base_values(spark, sf_dir, sparse: DataFrame, member: DataFrame, n: int = Attribution.stats_base_size, seed: int = 0) -> DataFrame:
+    """The same of the settings' sample of base rows."""
+    base = train(spark, sf_dir).select("train_idx").join(member, "train_idx", "left_anti")
     return rank_dense(sampling.sample_n(base, n, seed, "train_idx"), spark, sf_dir, sparse)
 
 
@@ -183,13 +169,14 @@ def rank_dense(rows: DataFrame, spark, sf_dir, sparse: DataFrame) -> DataFrame:
     return scoring.dense(rows, pairs(spark, sf_dir), sparse)
 
 
-PARTS_SQL = DELTA_SQL + DX_SQL + """, base AS (SELECT doc_id AS train_idx FROM documents WHERE doc_id NOT IN (SELECT train_idx FROM dx) ORDER BY md5('0:' || doc_id), doc_id LIMIT 100),
+PARTS_SQL = DELTA_SQL + DX_SQL + """, base AS (SELECT doc_id AS train_idx FROM documents WHERE doc_id NOT IN (SELECT train_idx FROM dx) ORDER BY md5('0:' || doc_id), doc_id LIMIT 1000),
 parts AS (SELECT 'dx' AS part, delta.* FROM delta WHERE train_idx IN (SELECT train_idx FROM dx) UNION ALL SELECT 'base', delta.* FROM delta WHERE train_idx IN (SELECT train_idx FROM base))"""
 
 
 def parts(spark, sf_dir) -> DataFrame:
-    sparse = delta(spark, sf_dir)
-    return materialize(dx_values(spark, sf_dir, sparse).withColumn("part", F.lit("dx")).unionByName(base_values(spark, sf_dir, sparse).withColumn("part", F.lit("base"))))
+    sparse, member = delta(spark, sf_dir), membership(spark, sf_dir)
+    dx, base = dx_values(spark, sf_dir, sparse, member), base_values(spark, sf_dir, sparse, member)
+    return materialize(dx.withColumn("part", F.lit("dx")).unionByName(base.withColumn("part", F.lit("base"))))
 
 
 @query("delta_summary", f"""WITH {PARTS_SQL}, s AS (SELECT part, count(*) AS n, avg(delta_i) AS m, median(delta_i) AS med, stddev_samp(delta_i) AS sd FROM parts GROUP BY 1)
