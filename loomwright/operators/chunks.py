@@ -2,47 +2,78 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_total(df: DataFrame, value: str, order: list[str], out: str = "_total") -> DataFrame:
-    """Running sum in global order without a one-task window: range partitions, then an offset for each."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id())
-    within = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    parts = parts.withColumn("_own", F.sum(value).over(within))
-    sums = parts.groupBy("_pid").agg(F.sum(value).alias("_sum"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    offsets = sums.select("_pid", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
-    return parts.join(F.broadcast(offsets), "_pid").withColumn(out, F.col("_own") + F.col("_off")).drop("_pid", "_own", "_off")
+#: Tokens that the windows of one search for chunk ends hold together, at most.
+SEARCH = 4_000_000
+
+
+def running_total(df: DataFrame, value: str, order: list[str], out: str = "_total", group: tuple[str, ...] = ()) -> DataFrame:
+    """Running sum in order (within each group) without a one-task window: range partitions, then an offset for each.
+
+    The partitions are written before they are summed: range bounds are sampled, and would differ if taken twice.
+    """
+    from loomwright.plans.runtime import materialize
+
+    parts = materialize(df.repartitionByRange(*group, *order).withColumn("_pid", F.spark_partition_id()))
+    within = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition of a group
+    sums = parts.groupBy("_pid", *group).agg(F.sum(value).alias("_sum"))
+    offsets = sums.select("_pid", *group, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
+    rows = parts.withColumn("_own", F.sum(value).over(within)).join(offsets if group else F.broadcast(offsets), ["_pid", *group])
+    return rows.withColumn(out, F.col("_own") + F.col("_off")).drop("_pid", "_own", "_off")
+
+
+def chunk_ends(total: DataFrame, tokens: str, budget: int, target: int | None) -> list[int]:
+    """Totals at which chunks close, in order: each the first total of the last end + budget or more.
+
+    No row has more than `longest` tokens, so the k-th end from here lies within k * longest of
+    k budgets on: the totals of many such windows are fetched at once, by ranges that
+    the files' statistics prune, and the ends read off them.
+    """
+    longest, last = total.agg(F.max(tokens), F.max("_total")).first()
+    ends: list[int] = []
+    at, longest = 0, max(1, int(longest or 1))
+    steps = max(1, min(budget // longest, int((2 * SEARCH / longest) ** 0.5)))
+    while at + budget <= (last or 0) and (target is None or at < target):
+        t = F.col("_total") - at
+        k = F.floor(t / budget)
+        near = (t - k * budget < k * longest) if steps > 1 else (t < budget + longest)
+        span = total.where((F.col("_total") >= at + budget) & (F.col("_total") < at + (steps + 1) * budget + longest))
+        rows = span.where(near & ((k <= steps) | F.lit(steps == 1))).select("_total").distinct().orderBy("_total").collect()  # SEARCH rows at most, about
+        found = [r[0] for r in rows]
+        for _ in range(steps):
+            n = bisect.bisect_left(found, at + budget)
+            if n == len(found) or (target is not None and at >= target):
+                break
+            at = int(found[n])
+            ends.append(at)
+    return ends
 
 
 def pack_chunks(df: DataFrame, tokens: str, order: list[str], budget: int, target: int | None = None) -> DataFrame:
     """Add chunk_id: a chunk closes at the first row at which its tokens reach `budget`; the
     overshoot is not carried. With a target, rows after the first close at or beyond it go.
-
-    Ends are found by steps over the running total: the next end is the first total of
-    end + budget or more. Each step is one minimum; there is one for each chunk.
     """
     from loomwright.plans.runtime import materialize
 
     total = materialize(running_total(df, tokens, order))
-    ends: list[int] = []
-    at = 0
-    while True:
-        # several ends in one job: the least total in each of the next multiples is a lower bound, so step by step
-        nxt = total.where(F.col("_total") >= at + budget).agg(F.min("_total")).first()[0]
-        if nxt is None:
-            break
-        ends.append(int(nxt))
-        at = int(nxt)
-        if target is not None and at >= target:
-            break
-    marks = F.array(*[F.lit(e).cast("long") for e in ends]) if ends else F.array().cast("array<long>")
-    out = total.withColumn("chunk_id", F.size(F.filter(marks, lambda e: e < F.col("_total"))))
+    ends = chunk_ends(total, tokens, budget, target)
+    shared = df.sparkSession.sparkContext.broadcast(np.array(ends, dtype=np.int64))  # one number for each chunk
+
+    @F.pandas_udf("int")
+    def chunk(totals: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, totals.to_numpy(), side="left").astype(np.int32))
+
     if target is not None and ends and ends[-1] >= target:
-        out = out.where(F.col("_total") <= ends[-1])
-    return out.drop("_total")
+        total = total.where(F.col("_total") <= ends[-1])
+    return total.withColumn("chunk_id", chunk("_total")).drop("_total")
 
 
 def carry_header(df: DataFrame, header: str, order: list[str], key: str) -> DataFrame:

@@ -4,17 +4,51 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.operators.chunks import running_total
+
+
+def _per_group(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
+    """Join one row of each group; without groups, one row."""
+    return left.join(right, group) if group else left.crossJoin(right)
+
+
+def running_counts(df: DataFrame, value: str, group: list[str], **more) -> DataFrame:
+    """Rows (group, value, _c, _upto, more): how often each value occurs, and how many are not above it.
+
+    Equal values are counted before they are dealt out; values meet in order by range
+    partitions, so no task holds a group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"), *[e.alias(n) for n, e in more.items()])
+    return running_total(counts, "_c", [value], "_upto", tuple(group))
+
+
+def quantiles(df: DataFrame, value: str, group: list[str], shares: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles: rows (group, *shares), named as the shares are."""
+    from loomwright.plans.runtime import materialize
+
+    counts = materialize(running_counts(df, value, group))
+    rows = _per_group(counts, counts.groupBy(*group).agg(F.max("_upto").alias("_n")), group)
+
+    def at(place):
+        return F.max(F.when((F.col("_upto") - F.col("_c") <= place) & (place < F.col("_upto")), F.col(value).cast("double")))
+
+    aggs, out = [], []
+    for name, share in shares.items():
+        place = (F.col("_n") - 1) * F.lit(float(share))
+        aggs += [at(F.floor(place)).alias(f"_{name}_lo"), at(F.ceil(place)).alias(f"_{name}_hi"), F.max(place - F.floor(place)).alias(f"_{name}_f")]
+        out.append((F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * F.col(f"_{name}_f")).alias(name))
+    return rows.groupBy(*group).agg(*aggs).select(*group, *out)
+
 
 def summary(df: DataFrame, value: str, group: list[str] | None = None, digits: int = 6) -> DataFrame:
     """n, mean, median, sample deviation, and the normal 95 % interval of the mean."""
     group = group or []
     v = F.col(value).cast("double")
-    out = df.groupBy(*group).agg(
-        F.count(v).alias("n"), F.avg(v).alias("_m"), F.median(v).alias("_med"), F.stddev_samp(v).alias("_sd")
-    )
+    out = df.groupBy(*group).agg(F.count(v).alias("n"), F.avg(v).alias("_m"), F.stddev_samp(v).alias("_sd"))
+    out = _per_group(out, quantiles(df, value, group, {"_med": 0.5}), group)
     half = 1.96 * F.col("_sd") / F.sqrt("n")
     r = lambda c, n: F.round(c, digits).alias(n)
     return out.select(*group, "n", r(F.col("_m"), "mean"), r(F.col("_med"), "median"), r(F.col("_sd"), "std"), r(F.col("_m") - half, "ci_low"), r(F.col("_m") + half, "ci_high"))
@@ -23,7 +57,7 @@ def summary(df: DataFrame, value: str, group: list[str] | None = None, digits: i
 def normalized_summary(df: DataFrame, value: str, scores: DataFrame, score: str, group: list[str], digits: int = 6) -> DataFrame:
     """Mean and median over the deviation of all raw scores."""
     std = scores.agg(F.stddev_samp(score).alias("_std"))  # one row
-    rows = df.groupBy(*group).agg(F.avg(value).alias("_m"), F.median(value).alias("_med")).crossJoin(std)
+    rows = _per_group(df.groupBy(*group).agg(F.avg(value).alias("_m")), quantiles(df, value, group, {"_med": 0.5}), group).crossJoin(std)
     over = lambda c: F.when(F.col("_std") > 0, F.round(F.col(c) / F.col("_std"), digits))
     return rows.select(*group, over("_m").alias("norm_mean"), over("_med").alias("norm_median"))
 
@@ -43,9 +77,8 @@ def combine_moments(parts: DataFrame, group: list[str] | None = None) -> DataFra
 
 def average_rank(df: DataFrame, value: str, out: str, partition: list[str]) -> DataFrame:
     """Ranks from 1, ties sharing their mean."""
-    order = Window.partitionBy(*partition).orderBy(value)
-    ties = Window.partitionBy(*partition, value)
-    return df.withColumn(out, F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+    ranks = running_counts(df, value, partition).select(*partition, value, (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(out))
+    return df.join(ranks, [*partition, value])
 
 
 def correlations(df: DataFrame, a: str, b: str, group: list[str], digits: int = 6) -> DataFrame:
@@ -56,9 +89,9 @@ def correlations(df: DataFrame, a: str, b: str, group: list[str], digits: int =
 
 def spread(df: DataFrame, value: str, group: list[str], digits: int = 6) -> DataFrame:
     """Mean, population deviation, 5th and 95th percentile (interpolated)."""
-    p = F.percentile(value, F.array(F.lit(0.05), F.lit(0.95)))
-    out = df.groupBy(*group).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), p.alias("_p"))
-    return out.select(*group, F.round("_m", digits).alias("mean"), F.round("_s", digits).alias("std"), F.round(F.col("_p")[0], digits).alias("p5"), F.round(F.col("_p")[1], digits).alias("p95"))
+    out = df.groupBy(*group).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    out = _per_group(out, quantiles(df, value, group, {"_p5": 0.05, "_p95": 0.95}), group)
+    return out.select(*group, *[F.round(c, digits).alias(n) for c, n in (("_m", "mean"), ("_s", "std"), ("_p5", "p5"), ("_p95", "p95"))])
 
 
 def jaccard(a: DataFrame, b: DataFrame, group: str, item: str, digits: int = 6) -> DataFrame:
@@ -72,10 +105,11 @@ def jaccard(a: DataFrame, b: DataFrame, group: str, item: str, digits: int = 6)
 def signed_rank(df: DataFrame, value: str, group: list[str]) -> DataFrame:
     """Sum of the ranks of |d| where d > 0, zeros left out: rows (group, n, w_plus, ties)."""
     rows = df.where(F.col(value) != 0).withColumn("_abs", F.abs(value))
-    ranked = average_rank(rows, "_abs", "_r", group)
-    stats = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(value) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"))
-    t = rows.groupBy(*group, "_abs").agg(F.count(F.lit(1)).alias("_t")).groupBy(*group).agg(F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("ties"))
-    return stats.join(t, group) if group else stats.crossJoin(t)
+    ranked = running_counts(rows, "_abs", group, _plus=F.count_if(F.col(value) > 0))
+    rank = F.col("_upto") - (F.col("_c") - 1) / 2.0
+    return ranked.groupBy(*group).agg(
+        F.sum("_c").alias("n"), F.sum(F.col("_plus") * rank).alias("w_plus"), F.sum(F.col("_c") * F.col("_c") * F.col("_c") - F.col("_c")).alias("ties")
+    )
 
 
 def signed_rank_p(w_plus: float, n: int, ties: float = 0.0, exact_up_to: int = 50) -> float:
@@ -116,5 +150,6 @@ def per_source(rows: DataFrame, pooled: bool, value: str = "delta_i", digits: in
     together, a row with two tags twice."""
     keep = ["source"] if pooled else ["fact", "source"]
     every = rows.where(F.col("source").isin("cooccur", "subj_occur", "obj_occur")).withColumn("source", F.lit("all_x"))
-    out = rows.unionByName(every).groupBy(*keep).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), digits).alias("mean"), F.round(F.median(value), digits).alias("median"))
-    return out
+    rows = rows.unionByName(every)
+    out = rows.groupBy(*keep).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), digits).alias("mean"))
+    return _per_group(out, quantiles(rows, value, keep, {"_med": 0.5}), keep).select(*keep, "n", "mean", F.round("_med", digits).alias("median"))

@@ -44,7 +44,8 @@ def dup_key_stats(spark, sf_dir):
     return dedup.duplicate_counts(document_lines(spark, sf_dir), "full_key")
 
 
-BUDGET, TARGET = 20_000, 200_000
+#: Tokens of a chunk here, and of the corpus (the settings' target).
+BUDGET, TARGET = 100_000, 5_387_400_000
 
 
 @query("chunk_pack", f"""WITH RECURSIVE {LINES_SQL}, n AS (
