@@ -107,21 +107,29 @@ def split_hot(df: DataFrame, key: str, spread: str, block: int, total: int) -> D
     """Deal buckets out for pair comparison: adds `_b1`, `_b2` (the pair of blocks a row
     is sent to) and `_blk` (the row's own block). total: the number of rows of df.
 
-    A bucket of up to `block` rows is one block. A larger one is cut into blocks by a
-    hash of `spread`, and each pair of blocks meets once, so every pair of rows meets
+    A bucket of up to `block` rows is one block, whatever the size of the table. A larger one
+    is cut into blocks by a hash of `spread`, and each pair of blocks meets once, so every pair of rows meets
     in exactly one group. Rows are first counted by a coarse hash of the key, so that
-    only keys that share a heavy one are counted by themselves; hot keys, and heavy
-    hashes, number fewer than HOT_KEYS by the threshold.
+    only keys that share a crowded one are counted by themselves. Keys with more than 1 / HOT_KEYS of all
+    rows are broadcast; the others' counts meet their rows in a shuffle.
     """
-    floor = max(block, total // HOT_KEYS)
     coarse = F.pmod(F.xxhash64(key), F.lit(COARSE)).cast("int")
-    heavy = df.groupBy(coarse.alias("_c")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > floor).select("_c").collect()
-    rows = df.withColumn("_nb", F.lit(1))
-    if heavy:
-        named = df.sparkSession.createDataFrame(heavy, "_c int")
+    crowded = df.groupBy(coarse.alias("_c")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select("_c").collect()  # COARSE rows at most
+    rows = df.withColumn("_n", F.lit(0))
+    if crowded:
+        named = df.sparkSession.createDataFrame(crowded, "_c int")
         hot = df.select(key, coarse.alias("_c")).join(F.broadcast(named), "_c", "left_semi")
-        hot = hot.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > floor)
-        rows = df.join(F.broadcast(hot), key, "left").withColumn("_nb", F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int"))
+        hot = cut(hot.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block), "hot")
+        floor = max(block, total // HOT_KEYS)
+        heavy, others = hot.where(F.col("_n") > floor), hot.where(F.col("_n") <= floor)
+        rows = df.join(F.broadcast(heavy), key, "left")
+        if not others.isEmpty():
+            # rows of a broadcast key look for nothing here and are spread
+            aside = F.when(F.col("_n").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1024)))
+            found = others.select(key, F.lit(0).cast("long").alias("_aside"), F.col("_n").alias("_m"))
+            rows = rows.withColumn("_aside", aside.cast("long")).join(found.hint("shuffle_hash"), [key, "_aside"], "left")
+            rows = rows.withColumn("_n", F.coalesce("_n", "_m"))
+    rows = rows.withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.coalesce("_n", F.lit(0)) / block)).cast("int"))
     rows = rows.withColumn("_blk", F.pmod(F.xxhash64(spread), F.col("_nb")).cast("int"))
     return rows.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).select(
         *df.columns, "_blk", F.least("_x", "_blk").alias("_b1"), F.greatest("_x", "_blk").alias("_b2")

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import attach_min, cut, discard
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Edges (a, b) of any orderable type -> rows (node, component), component being the
     smallest node reachable. Only nodes of at least one edge between two different
-    nodes appear. Null ends are ignored; repeated and reversed edges count once.
+    nodes appear. Null ends are ignored; repeated and reversed edges count once; no edges
+    give no rows. Rounds grow with the logarithm of the longest path; if max_rounds of them
+    don't finish, which no table should reach, RuntimeError is raised.
 
     Each round is O(edges); a hub's edges are spread by salted minima, and each
     round's edges are written to the shared folder, so lineage stays short.
@@ -34,6 +36,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components are not final after {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

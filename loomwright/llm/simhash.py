@@ -2,14 +2,16 @@
 
 Two ways to find the pairs, both verified by the full Hamming distance:
 
-* `ring` (narrow radius, exact): the fingerprint is a ring of segments. With r
-  differing bits over m > r + 1 segments, at least m - r segments agree, so pairs
-  meet under the values of two equal segments; before the full Hamming check a pair
-  must hold a chain of consecutive segments whose cumulative differences stay within
-  the proportional budget (the pigeonring principle). No link is lost.
-* `sampled` (wide radius over long fingerprints): pairs meet under fixed
+* narrow radius, exact: the fingerprint is a ring of m = r + k segments. With r
+  differing bits at least k segments agree, so pairs meet under the values of k equal segments;
+  k, and with it the width of the key, grows with the number of different fingerprints.
+* wide radius over long fingerprints: pairs meet under fixed
   pseudo-random bit subsets; their width follows log2 of the number of different
   fingerprints and their number keeps the expected agreements at the radius constant.
+
+Of pairs that meet, pigeonring filtering leaves those that hold a chain of consecutive segments whose
+cumulative differences stay within the proportional budgets: any pair within the
+radius holds one. The full Hamming distance is counted for these only.
 """
 
 from __future__ import annotations
@@ -34,10 +36,15 @@ BLOCK = 4096
 #: Near pairs that a task holds before it keeps their nearest-first forest only.
 FLUSH = 400_000
 SEED = 42
-#: 64-bit words of a long fingerprint that pairs are compared by.
-CHECKED = 2
-#: Expected number of common buckets of a pair at the similarity that is asked for: all but 2 % meet, nearer ones surely.
-MEETINGS = 4.0
+#: Expected number of common buckets of a pair at the similarity that is asked for: all but 0.7 % meet, nearer ones surely.
+MEETINGS = 5.0
+#: Rows that one bucket of a narrow search holds on average at most.
+CROWD = 8
+#: Sets of one tree that a task compares at once.
+SETS = 512
+#: Bits of a ring segment of a long fingerprint, and segments in a chain.
+SEGMENT = 16
+CHAIN = 3
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -100,21 +107,26 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, words6
     return rows.mapInArrow(lean(run), "id long, fp binary")
 
 
-def ring_passes(x: np.ndarray, widths: list[int], radius: int, chain: int = 3) -> np.ndarray:
-    """Whether the differing bits x (uint64) leave a chain of `chain` consecutive segments
-    whose first l segments differ in at most l * radius / m bits, for each l."""
-    diff, at = [], 0
-    for w in widths:
-        diff.append(np.bitwise_count((x >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int16))
+def segment_differences(x: np.ndarray, widths: list[int] | None) -> np.ndarray:
+    """(n, m) numbers of set bits of x (n, words of 64 bits) by segment; without widths, SEGMENT bits each."""
+    if widths is None:
+        return np.bitwise_count(np.ascontiguousarray(x).view(f"<u{SEGMENT // 8}")).astype(np.int16)
+    out, at = np.empty((len(x), len(widths)), dtype=np.int16), 0
+    for k, w in enumerate(widths):
+        out[:, k] = np.bitwise_count((x[:, 0] >> np.uint64(at)) & np.uint64((1 << w) - 1))
         at += w
-    m, ok = len(widths), np.zeros(len(x), dtype=bool)
-    for s in range(m):
-        here, total = np.ones(len(x), dtype=bool), np.zeros(len(x), dtype=np.int16)
-        for step in range(min(chain, m)):
-            total = total + diff[(s + step) % m]
-            here &= total * m <= (step + 1) * radius
-        ok |= here
-    return ok
+    return out
+
+
+def ring_passes(diff: np.ndarray, radius: int, chain: int = CHAIN) -> np.ndarray:
+    """Whether the ring of segments with these differences has a chain of `chain` consecutive ones
+    whose first l segments differ in at most l * radius / m bits, for each l. All rows of `radius` or less have."""
+    m, total = diff.shape[1], diff.copy()
+    here = total * m <= radius
+    for step in range(1, min(chain, m)):
+        total += np.roll(diff, -step, axis=1)
+        here &= total * m <= (step + 1) * radius
+    return here.any(axis=1)
 
 
 def closest_forest(parent: np.ndarray, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> list[int]:
@@ -167,9 +179,8 @@ def _edges(radius: int, words64: int, widths: list[int] | None, nearest: bool):
                     meet = ~across | (blk[i] != blk[j])
                     i, j = i[meet], j[meet]
                 x = fp[i] ^ fp[j]
-                if widths is not None:
-                    ring = ring_passes(x[:, 0], widths, radius)
-                    i, j, x = i[ring], j[ring], x[ring]
+                ring = ring_passes(segment_differences(x, widths), radius)
+                i, j, x = i[ring], j[ring], x[ring]
                 d = np.bitwise_count(x).sum(axis=1, dtype=np.int16)
                 near = d <= radius
                 if not nearest:
@@ -232,17 +243,18 @@ def verified(links: DataFrame, df: DataFrame, id_col: str, text_col: str, shingl
 
 
 def _untried(radius: int, words64: int, similarity: float):
-    """mapInPandas step over rows sorted by tree: of all pairs of a tree within the radius whose components differ,
-    those that reach the similarity, without such as join what the ones before have joined."""
+    """mapInPandas step over rows sorted by (tree, _b1, _b2): of all pairs of a tree within the radius whose components
+    differ, those that reach the similarity, without such as join what the ones before have joined."""
 
     def run(batches):
-        for pdf in whole_runs(batches, ["tree"]):
-            tree, rep, component = (pdf[c].to_numpy() for c in ("tree", "rep", "component"))
+        for pdf in whole_runs(batches, ["tree", "_b1", "_b2"]):
+            tree, b1, b2, blk, rep, component = (pdf[c].to_numpy() for c in ("tree", "_b1", "_b2", "_blk", "rep", "component"))
             a, b = [], []
-            for s, e in zip(*run_bounds([tree]), strict=True):
+            for s, e in zip(*run_bounds([tree, b1, b2]), strict=True):
                 fp = np.frombuffer(b"".join(pdf["fp"].iloc[s:e]), dtype="<u8").reshape(-1, words64)
                 sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["hashes"].iloc[s:e]]
-                for i, j in similar_forest(component[s:e], fp, sets, radius, similarity):
+                side = blk[s:e] if b1[s] != b2[s] else None
+                for i, j in similar_forest(component[s:e], fp, sets, radius, similarity, side):
                     a.append(rep[s + i])
                     b.append(rep[s + j])
             if a:
@@ -251,8 +263,9 @@ def _untried(radius: int, words64: int, similarity: float):
     return run
 
 
-def similar_forest(component: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Pairs that join the components, by trying all pairs within the radius whose components are still separate."""
+def similar_forest(component: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that join the components, by trying all pairs within the radius whose components are still separate;
+    with `side`, those whose sides differ."""
     n, found = len(sets), []
     label = np.unique(component, return_inverse=True)[1]
     size = np.array([len(x) for x in sets])
@@ -263,14 +276,20 @@ def similar_forest(component: np.ndarray, fp: np.ndarray, sets: list[np.ndarray]
     for i in range(n - 1):
         least, most = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
         near = (label[i + 1 :] != label[i]) & (least >= similarity * most - 1e-9)
-        near &= np.bitwise_count(fp[i + 1 :] ^ fp[i]).sum(axis=1, dtype=np.int16) <= radius
-        if not near.any():
+        if side is not None:
+            near &= side[i + 1 :] != side[i]
+        at_ = np.flatnonzero(near)
+        x = fp[i + 1 + at_] ^ fp[i]
+        ring = ring_passes(segment_differences(x, None), radius)
+        at_, x = at_[ring], x[ring]
+        at_ = at_[np.bitwise_count(x).sum(axis=1, dtype=np.int16) <= radius]
+        if not len(at_):
             continue
         own = feature[at[i] : at[i + 1]]
         length = first[own + 1] - first[own]
         step = np.arange(length.sum()) + np.repeat(first[own] - np.cumsum(length) + length, length)
-        both = np.bincount(holder[step], minlength=n)[i + 1 :]
-        good = i + 1 + np.flatnonzero(near & (both >= similarity * (size[i] + size[i + 1 :] - both) - 1e-9))
+        both = np.bincount(holder[step], minlength=n)[i + 1 + at_]
+        good = i + 1 + at_[both >= similarity * (size[i] + size[i + 1 + at_] - both) - 1e-9]
         joined, one = np.unique(label[good], return_index=True)
         found += [(i, int(j)) for j in good[one]]
         label[np.isin(label, joined)] = label[i]
@@ -281,8 +300,8 @@ def untried(links: DataFrame, found: DataFrame, classes: DataFrame, df: DataFram
     """Further links (a, b) between the components `found` of the links that passed.
 
     A bucket's pairs within the radius all lie within trees of its forest. Where a tree is still more than
-    one component, a link of it failed: all its pairs that are still separate are tried. What a task
-    holds are the sets of one tree, what it puts out are no more links than the tree has rows.
+    one component, a link of it failed: all its pairs that are still separate are tried. A large tree is dealt out
+    in pairs of blocks: a task holds the sets of two blocks, and puts out fewer links than it holds rows.
     """
     nodes = links.select("tree", F.explode(F.array("a", "b")).alias("rep")).distinct()
     nodes = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("tree", "rep", F.coalesce("component", "rep").alias("component"))
@@ -293,7 +312,8 @@ def untried(links: DataFrame, found: DataFrame, classes: DataFrame, df: DataFram
     # a tree of two rows is one link, tried already; trees of the same rows, from several buckets, are tried once
     trees = trees.where("n > 2 and lo < hi").groupBy("n", "x", "y").agg(F.min("tree").alias("tree")).select("tree")
     nodes = cut(nodes.join(trees, "tree", "left_semi"), "untried")
-    if nodes.isEmpty():
+    total = nodes.count()
+    if not total:
         return None
     texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(nodes.select("rep").distinct(), "rep", "left_semi")
@@ -305,23 +325,32 @@ def untried(links: DataFrame, found: DataFrame, classes: DataFrame, df: DataFram
 
     marks = classes.select("rep", F.substring("fp", 1, 8 * words64).alias("fp")).dropDuplicates(["rep"])
     hashes = texts.mapInArrow(lean(sets), "rep long, hashes binary").dropDuplicates(["rep"])
-    rows = nodes.join(marks, "rep").join(hashes, "rep").repartition("tree").sortWithinPartitions("tree", "rep")
+    dealt = split_hot(nodes, "tree", "rep", SETS, total)
+    rows = dealt.join(cut(hashes.join(marks, "rep"), "sets"), "rep").repartition("tree", "_b1", "_b2").sortWithinPartitions("tree", "_b1", "_b2", "rep")
     return rows.mapInPandas(lean(_untried(radius, words64, similarity)), "a long, b long")
 
 
-def ring_keys(classes: DataFrame, radius: int) -> tuple[DataFrame, list[int]]:
-    """64-bit fingerprints under each pair of segments: rows (key, rep, fp)."""
-    m = radius + 2
-    widths = [64 // m + (k < 64 % m) for k in range(m)]
-    at = [sum(widths[:k]) for k in range(m)]
-    seg = [F.shiftrightunsigned("bits", at[k]).bitwiseAND(F.lit((1 << widths[k]) - 1)) for k in range(m)]
-    keys = [
-        (F.lit(n).cast("long") * F.lit(1 << 48)) + seg[i] * F.lit(1 << 24) + seg[j]
-        for n, (i, j) in enumerate(itertools.combinations(range(m), 2))
-    ]
-    bits = F.conv(F.hex(big_endian("fp")), 16, -10).cast("long")
-    rows = classes.withColumn("bits", bits)
-    return rows.select(F.explode(F.array(*keys)).alias("key"), "rep", F.substring("fp", 1, 8).alias("fp")), widths
+def ring_segments(radius: int, distinct: int) -> tuple[list[int], int]:
+    """Widths of the segments of 64 bits, and the number k of them that agree in any pair within the radius: the least k
+    (2 at least) whose keys leave CROWD of the `distinct` fingerprints to a bucket, were they spread evenly."""
+    for k in range(2, 7):
+        m = radius + k
+        widths = [64 // m + (n < 64 % m) for n in range(m)]
+        if distinct <= CROWD << sum(sorted(widths)[:k]):
+            break
+    return widths, k
+
+
+def ring_keys(classes: DataFrame, radius: int, distinct: int) -> tuple[DataFrame, list[int], int]:
+    """64-bit fingerprints under the values of each k of their segments: rows (key, rep, fp), widths, keys of a row."""
+    widths, k = ring_segments(radius, distinct)
+    at = [sum(widths[:n]) for n in range(len(widths))]
+    seg = [F.shiftrightunsigned("bits", a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in zip(at, widths, strict=True)]
+    chosen = list(itertools.combinations(range(len(widths)), k))
+    picks = F.array(*[F.array(*[F.lit(i) for i in c]) for c in chosen])
+    keys = F.transform(picks, lambda c, n: F.xxhash64(n, F.transform(c, lambda i: F.get("segments", i))))
+    rows = classes.withColumn("bits", F.conv(F.hex(big_endian("fp")), 16, -10).cast("long")).withColumn("segments", F.array(*seg))
+    return rows.select(F.explode(keys).alias("key"), "rep", F.substring("fp", 1, 8).alias("fp")), widths, len(chosen)
 
 
 def big_endian(col: str):
@@ -335,7 +364,7 @@ def flip_rate(similarity: float) -> float:
 
 
 def sampled_keys(classes: DataFrame, flips: float, words64: int, distinct: int) -> tuple[DataFrame, int]:
-    """Long fingerprints under fixed bit subsets: rows (key, rep, first CHECKED words of fp), and the number
+    """Long fingerprints under fixed bit subsets: rows (key, rep, fp), and the number
     of subsets. Pairs that differ in a share `flips` of the bits agree in MEETINGS of them on average."""
     bits = 64 * words64
     width = min(48, max(14, math.ceil(math.log2(max(distinct, 2)))))
@@ -351,7 +380,7 @@ def sampled_keys(classes: DataFrame, flips: float, words64: int, distinct: int)
                 bit = np.unpackbits(fp, axis=1, bitorder="little").astype(np.int64)
                 keys = np.stack([(bit[:, p] @ weights) | (np.int64(t) << np.int64(48)) for t, p in enumerate(picks)], axis=1)
                 take = pa.array(np.repeat(np.arange(batch.num_rows), tables))
-                heads = pa.array([f[: 8 * CHECKED] for f in batch.column(1).to_pylist()], pa.binary())
+                heads = pa.array([f[: bits // 8] for f in batch.column(1).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(take), heads.take(take)], ["key", "rep", "fp"])
 
     return classes.select("rep", "fp").mapInArrow(lean(run), "key long, rep long, fp binary"), tables
@@ -361,8 +390,7 @@ def simhash_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words64: int = 1, radius: int = 4, similarity: float | None = None
 ) -> DataFrame:
     """Rows (id, fp, component): component is the smallest id reachable over links, which
-    join fingerprints at `radius` or fewer differing bits (of the first 64 * CHECKED, if
-    there are more); with `similarity`, only if the
+    join fingerprints at `radius` or fewer differing bits; with `similarity`, only if the
     shingle sets' Jaccard similarity reaches it as well (the nearest pairs by fingerprint are
     tried first, as a spanning forest of each bucket; then, where links of a tree failed, all
     its pairs that passed links haven't joined). Fingerprints are then those of the sets, and
@@ -379,20 +407,19 @@ def simhash_components(
     classes = cut(reps.select("fp", "rep").distinct(), "classes")
     distinct = classes.count()
     if words64 == 1:
-        keyed, widths = ring_keys(classes, radius)
-        tables, compared = math.comb(len(widths), 2), 1
+        keyed, widths, tables = ring_keys(classes, radius, distinct)
     else:
-        flips = flip_rate(similarity) if similarity else radius / (64 * CHECKED)
-        (keyed, tables), widths, compared = sampled_keys(classes, flips, words64, distinct), None, CHECKED
+        flips = flip_rate(similarity) if similarity else radius / (64 * words64)
+        (keyed, tables), widths = sampled_keys(classes, flips, words64, distinct), None
     dealt = split_hot(keyed, "key", "rep", BLOCK, distinct * tables).repartition("key", "_b1", "_b2")
     dealt = dealt.sortWithinPartitions("key", "_b1", "_b2")
-    links = dealt.mapInPandas(lean(_edges(radius, compared, widths, similarity is not None)), "a long, b long, tree long")
+    links = dealt.mapInPandas(lean(_edges(radius, words64, widths, similarity is not None)), "a long, b long, tree long")
     if similarity is None:
         found = connected_components(links)
     else:
         links = cut(links, "links")
         found = connected_components(verified(links.select("a", "b").distinct(), df, id_col, text_col, shingle, similarity))
-        more = untried(links, found, classes, df, id_col, text_col, shingle, compared, radius, similarity)
+        more = untried(links, found, classes, df, id_col, text_col, shingle, words64, radius, similarity)
         if more is not None:
             found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     found = found.withColumnRenamed("node", "rep")
@@ -403,16 +430,19 @@ def simhash_components(
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words64: int = 4, radius: int = 30, similarity: float = 0.8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words64: int = 4, radius: int = 56, similarity: float = 0.8
 ) -> DataFrame:
     """The documents that stay when one of each near-duplicate group is kept (smallest id),
     with the columns of docs.
 
     Near-duplicates have a Jaccard similarity of `similarity` or more between their sets of
-    `shingle`-word shingles. Of the 128 bits that pairs are compared by, texts at 0.8 differ
-    in 19 on average with a deviation of 4: the radius takes in nearly all, the exact
-    similarity decides. Rows without id stay as they are. Rows that repeat an id are one
-    document.
+    `shingle`-word shingles. Of 256 bits, texts at 0.8 differ
+    in 39 on average with a deviation of 6: the radius takes in nearly all, the exact
+    similarity decides.
+
+    Defined cases: null and empty texts, and those of white space only, have equal (empty) sets and
+    are one group; texts of any length are read whole; rows without id stay as they are; rows that repeat an id
+    are one document; an empty table gives no rows; other columns of any name are handed through.
     """
     marks = simhash_components(docs, id_col, text_col, shingle, words64, radius, similarity)
     gone = marks.where("id <> component").select(F.col("id").alias("_gone")).distinct()

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -82,18 +83,24 @@ def test_fingerprint_edges():
 
 def test_ring_never_loses_a_pair():
     rng = np.random.default_rng(2)
-    for radius in (2, 4, 6):
-        m = radius + 2
-        widths = [64 // m + (k < 64 % m) for k in range(m)]
-        x = np.zeros(4000, dtype=np.uint64)
-        for n in range(4000):
-            for b in rng.choice(64, size=rng.integers(0, radius + 1), replace=False):
-                x[n] |= np.uint64(1) << np.uint64(b)
-        assert simhash.ring_passes(x, widths, radius).all()
-
-
-def test_simhash_components_by_brute_force(spark, monkeypatch):
+    for radius, words in ((2, 1), (4, 1), (6, 1), (56, 4)):
+        bits = np.zeros((3000, 64 * words), dtype=np.uint8)
+        for n in range(3000):
+            bits[n, rng.choice(64 * words, size=rng.integers(0, radius + 1), replace=False)] = 1
+        x = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+        for distinct in (10, 10**8, 10**12) if words == 1 else (10,):
+            widths, k = simhash.ring_segments(radius, distinct) if words == 1 else (None, 0)
+            diff = simhash.segment_differences(x, widths)
+            assert (diff.sum(axis=1) == bits.sum(axis=1)).all() and ((diff == 0).sum(axis=1) >= k).all()
+            assert simhash.ring_passes(diff, radius).all()
+        far = rng.integers(0, 2**63, (3000, words)).astype(np.uint64)
+        assert simhash.ring_passes(simhash.segment_differences(far, widths), radius).mean() < 0.1
+
+
+@pytest.mark.parametrize("crowd", [8, 0])
+def test_simhash_components_by_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(simhash, "BLOCK", 16)  # hot buckets are dealt out in blocks
+    monkeypatch.setattr(simhash, "CROWD", crowd)  # none: the widest keys, as for very large tables
     rng = random.Random(4)
     texts = list(EDGES)
     base = prose(rng, 400).split()
@@ -160,8 +167,9 @@ def template_family(rng, n, twin=0):
     return list(enumerate(texts))
 
 
-def test_near_duplicates_in_a_template_family(spark):
+def test_near_duplicates_in_a_template_family(spark, monkeypatch):
     """Noisier, nearer fingerprints between families must not hide true pairs."""
+    monkeypatch.setattr(simhash, "SETS", 64)  # trees are dealt out in blocks
     texts = template_family(random.Random(21), 300, twin=9)
     assert jaccard(texts[0][1], texts[1][1]) >= 0.8 and jaccard(texts[0][1], texts[2][1]) < 0.75
     out = simhash.near_duplicates(docs(spark, texts))
@@ -171,6 +179,25 @@ def test_near_duplicates_in_a_template_family(spark):
     assert gone >= 145  # 2 % of the pairs at 0.8 do not meet in a bucket
 
 
+def test_recall_of_near_duplicates(spark):
+    """Pairs at a similarity of 0.80 to 0.83 (brute force over shingle sets) are in one group, others are not."""
+    rng = random.Random(31)
+    texts, pairs = [], []
+    while len(pairs) < 300:
+        words = prose(rng, 300, 10**6).split()
+        other = list(words)
+        for p in rng.sample(range(10, 290), 6):
+            other[p] = f"y{rng.randint(0, 10**6)}"
+        a, b = " ".join(words), " ".join(other)
+        if 0.8 <= jaccard(a, b) < 0.83:
+            pairs.append((2 * len(pairs), 2 * len(pairs) + 1))
+            texts += [(pairs[-1][0], a), (pairs[-1][1], b)]
+    far = [(1000 + i, prose(rng, 300, 10**6)) for i in range(100)]
+    kept = {r.doc_id for r in simhash.near_duplicates(docs(spark, texts + far)).collect()}
+    assert {a for a, _ in pairs} | {i for i, _ in far} <= kept
+    assert sum(b not in kept for _, b in pairs) >= 0.97 * len(pairs)
+
+
 def test_repeated_lines_do_not_decide_near_duplicates(spark):
     rng = random.Random(17)
     line = " ".join([prose(rng, 11)] * 400)
@@ -186,7 +213,7 @@ def forest_weights(monkeypatch, fps, flush):
     monkeypatch.setattr(simhash, "FLUSH", flush, raising=False)
     n = len(fps)
     pdf = pd.DataFrame({"key": np.zeros(n, np.int64), "_b1": 0, "_b2": 0, "_blk": 0, "rep": np.arange(n), "fp": [f.tobytes() for f in fps]})
-    links = pd.concat(simhash._edges(30, simhash.CHECKED, None, True)([pdf]))
+    links = pd.concat(simhash._edges(30, 2, None, True)([pdf]))
     return sorted(int(np.bitwise_count(fps[a] ^ fps[b]).sum()) for a, b in zip(links["a"], links["b"], strict=True))
 
 
@@ -207,7 +234,7 @@ def test_similar_forest_by_brute_force():
     pool = rng.integers(0, 2**63, 60).astype(np.uint64)
     sets = [np.unique(pool[rng.random(60) < rng.choice([0.5, 0.95])]) for _ in range(60)]
     sets[7] = sets[8] = np.zeros(0, np.uint64)
-    fp = rng.integers(0, 4, (60, simhash.CHECKED)).astype(np.uint64)
+    fp = rng.integers(0, 4, (60, 2)).astype(np.uint64)
     component = rng.integers(0, 40, 60)
     got = simhash.similar_forest(component, fp, sets, 2, 0.8)
     joins = [(int(i), int(np.flatnonzero(component == component[i])[0])) for i in range(60)]
@@ -237,8 +264,10 @@ def covered(rows):
     return {r.id: {p for s in r.spans for p in range(s.start, s.stop)} for r in rows}
 
 
-def test_repeats_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "GROUP", 8)  # hot seeds are dealt out
+@pytest.mark.parametrize("group, keys", [(8, 20_000), (2, 20_000), (2, 10)])
+def test_repeats_by_brute_force(spark, monkeypatch, group, keys):
+    monkeypatch.setattr(suffix, "GROUP", group)  # hot seeds are dealt out
+    monkeypatch.setattr(suffix, "HOT_KEYS", keys)  # few: only some of them are broadcast
     rng = random.Random(5)
     passages = [prose(rng, n) for n in (49, 50, 51, 60, 75, 140)]
     texts = [(i, t) for i, t in EDGES if i != 5]
@@ -256,6 +285,33 @@ def test_repeats_by_brute_force(spark, monkeypatch):
     assert again == 0  # a repeated id is one document
 
 
+def test_minimisers_do_not_depend_on_stretches(monkeypatch):
+    words = suffix.Words([prose(random.Random(3), 5000), "x", prose(random.Random(4), 70)])
+    whole = words.minimisers()[0]
+    monkeypatch.setattr(suffix, "STRETCH", 37)
+    assert (words.minimisers()[0] == whole).all() and len(whole) > 300
+
+
+def test_hot_buckets_meet_in_pairs_of_blocks(spark, monkeypatch):
+    """Each pair of a bucket meets once, whether its count is broadcast or joined."""
+    from loomwright.llm import common
+
+    rows = [(k, i) for k, n in ((1, 40), (2, 9), (3, 3), (4, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "key long, rep long")
+    for keys in (20_000, 4, 1):
+        monkeypatch.setattr(common, "HOT_KEYS", keys)
+        met = Counter()
+        groups = {}
+        for r in common.split_hot(df, "key", "rep", 4, len(rows)).collect():
+            groups.setdefault((r.key, r._b1, r._b2), []).append(r)
+        for (k, b1, b2), members in groups.items():
+            for a in members:
+                for b in members:
+                    if a.rep < b.rep and (b1 == b2 or a._blk != b._blk):
+                        met[k, a.rep, b.rep] += 1
+        assert met == {(k, a, b): 1 for k, a in rows for j, b in rows if k == j and a < b}
+
+
 def test_repeats_across_the_groups_of_a_frequent_seed(spark, monkeypatch):
     """Passages behind a frequent line, which the seed's first document does not share."""
     monkeypatch.setattr(suffix, "GROUP", 8)
@@ -333,6 +389,39 @@ def test_pieces_and_places(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_long_runs_are_packed(spark):
+    """Unbroken runs of white space, letters and marks of a million characters, ids equal to the contract's library."""
+    from tokenizers import Tokenizer
+    import public_tokenizers as P
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [(1, " " * 1_000_000 + "a"), (2, "ab" * 500_000), (3, "x" + " \n" * 600_000), (4, "?" * 300_000), (5, "a <|endoftext|>" + "\t" * 20_000)]
+    rows = packing.pack(docs(spark, texts)).collect()
+    for i, t in texts:
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 2], dtype="<u4")
+        own = sorted((r for r in rows if r.id == i), key=lambda r: r.piece)
+        assert [r.crc for r in own] == [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own]
+        assert sum(r.length for r in own) == len(ids)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=9))
+def test_number_of_sequences_against_all_packings(lengths):
+    """At most one sequence more than the best of all packings, which small tables let us try."""
+
+    def best(left, bins):
+        if not left:
+            return len(bins)
+        found = len(bins) + len(left)
+        for at, used in enumerate(bins):
+            if used + left[0] <= 10 and used not in bins[:at]:
+                found = min(found, best(left[1:], [*bins[:at], used + left[0], *bins[at + 1 :]]))
+        return min(found, best(left[1:], [*bins, left[0]]))
+
+    plan = packing.plan_patterns(dict(Counter(lengths)), 10)
+    assert best(sorted(lengths, reverse=True), []) <= sum(t for _, t in plan) <= best(sorted(lengths, reverse=True), []) + 1
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_byte_bpe_equals_library(text):
@@ -396,11 +485,22 @@ def test_lexicon_is_minimal_and_exact(tmp_path):
     lexicon = bpe.Lexicon(str(tmp_path / "lex"))
     assert all(lexicon.get(w.encode()) == ids for w, ids in words.items())
     assert all(lexicon.get(w) is None for w in (b"", b"zz", b"abcabcabcabc"))
-    futures = {}
-    states = list(lexicon.states)
-    for s in range(len(states) // 3):
-        arcs = tuple(lexicon.arcs[3 * a : 3 * a + 2].tolist() and tuple(lexicon.arcs[3 * a : 3 * a + 2]) for a in range(states[3 * s], states[3 * s] + states[3 * s + 1]))
-        assert futures.setdefault((states[3 * s + 2], arcs), s) == s  # no two states have one future
+    futures, arcs = {}, {}
+    for cell, owner in enumerate(lexicon.owner):
+        if owner >= 0:
+            arcs.setdefault(owner, []).append((cell - lexicon.base[owner], lexicon.target[cell]))
+    for state, final in enumerate(lexicon.ends):
+        assert futures.setdefault((final, tuple(arcs.get(state, []))), state) == state  # no two states have one future
+
+
+def test_unbroken_words_of_any_length(word_bpe):
+    rng = random.Random(9)
+    letters = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    begun = time.process_time()
+    assert same(word_bpe, letters) and same(word_bpe, "!" * 200_000) and same(word_bpe, "é" * 100_000 + " " * 500_000 + "7" * 50_000)
+    assert time.process_time() - begun < 120  # quadratic merging takes hours
+    for n in (bpe.SHORT - 1, bpe.SHORT, bpe.SHORT + 1):
+        assert same(word_bpe, letters[:n] + " " + "é" * n)
 
 
 def test_bpe_operator(spark, word_bpe):
