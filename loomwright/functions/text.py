@@ -60,18 +60,6 @@ def words(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def ngrams(tokens: Column, longest: int) -> Column:
-    """All runs of one to `longest` tokens, joined by a space."""
-    return F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(longest)),
-            lambda n: F.transform(
-                F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>")),
-                lambda i: F.array_join(F.slice(tokens, i, n), " "),
-            ),
-        )
-    )
-
 
 def year(value: Column) -> Column:
     """The first run of four digits, else null."""

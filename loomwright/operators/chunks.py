@@ -30,8 +30,8 @@ def running_total(df: DataFrame, value: str, order: list[str], out: str = "_tota
     return rows.withColumn(out, F.col("_own") + F.col("_off")).drop("_pid", "_own", "_off")
 
 
-def chunk_ends(total: DataFrame, tokens: str, budget: int, target: int | None) -> list[int]:
-    """Totals at which chunks close, in order: each the first total of the last end + budget or more.
+def chunk_ends(total: DataFrame, tokens: str, budget: int, target: int | None, start: int = 0) -> list[int]:
+    """Totals at which chunks close after `start`, in order: each the first total of the last end + budget or more.
 
     No row has more than `longest` tokens, so the k-th end from here lies within k * longest of
     k budgets on: the totals of many such windows are fetched at once, by ranges that
@@ -39,7 +39,7 @@ def chunk_ends(total: DataFrame, tokens: str, budget: int, target: int | None) -
     """
     longest, last = total.agg(F.max(tokens), F.max("_total")).first()
     ends: list[int] = []
-    at, longest = 0, max(1, int(longest or 1))
+    at, longest = start, max(1, int(longest or 1))
     steps = max(1, min(budget // longest, int((2 * SEARCH / longest) ** 0.5)))
     while at + budget <= (last or 0) and (target is None or at < target):
         t = F.col("_total") - at
@@ -64,8 +64,12 @@ def pack_chunks(df: DataFrame, tokens: str, order: list[str], budget: int, targe
     from loomwright.plans.runtime import materialize
 
     total = materialize(running_total(df, tokens, order))
-    ends = chunk_ends(total, tokens, budget, target)
-    shared = df.sparkSession.sparkContext.broadcast(np.array(ends, dtype=np.int64))  # one number for each chunk
+    return with_chunks(total, chunk_ends(total, tokens, budget, target), target).drop("_total")
+
+
+def with_chunks(total: DataFrame, ends: list[int], target: int | None = None) -> DataFrame:
+    """Rows with their chunk_id, the number of ends before them; with a target, none after the first end that reaches it."""
+    shared = total.sparkSession.sparkContext.broadcast(np.array(ends, dtype=np.int64))  # one number for each chunk
 
     @F.pandas_udf("int")
     def chunk(totals: pd.Series) -> pd.Series:
@@ -73,7 +77,7 @@ def pack_chunks(df: DataFrame, tokens: str, order: list[str], budget: int, targe
 
     if target is not None and ends and ends[-1] >= target:
         total = total.where(F.col("_total") <= ends[-1])
-    return total.withColumn("chunk_id", chunk("_total")).drop("_total")
+    return total.withColumn("chunk_id", chunk("_total"))
 
 
 def carry_header(df: DataFrame, header: str, order: list[str], key: str) -> DataFrame:

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from loomwright.functions.text import WORD, case_sensitive, surface_forms, words
 
 
-def surface_terms(instances: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Instances (instance_idx, subject, correct_object[, sub_aliases]) and aliases (label, aliases)
+def surface_terms(instances: DataFrame, aliases: DataFrame | None = None, predefined: DataFrame | None = None) -> DataFrame:
+    """Instances (instance_idx, subject, correct_object[, sub_aliases]) and aliases (label, aliases), found or predefined,
     -> rows (term, side, cs, instance_idx, n_words), tokenised as the lines are."""
+    if predefined is not None:
+        aliases = predefined if aliases is None else aliases.unionByName(predefined)
+    if aliases is not None:
+        aliases = aliases.groupBy("label").agg(F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("aliases"))
     sides = []
     for side, label in (("subject", "subject"), ("object", "correct_object")):
         rows = instances
@@ -76,3 +80,8 @@ def support_filter(facts: DataFrame, counts: DataFrame | None, on: list[str], su
 def entity_cap(facts: DataFrame, counts: DataFrame, entity: str, most: int = 30_000) -> DataFrame:
     """Facts of entities that stand in fewer than `most` sentences."""
     return facts.join(counts.where(F.col("n_sentences") < most).select(entity), entity, "left_semi")
+
+
+def merge_counts(parts: DataFrame, by: list[str], counts: list[str]) -> DataFrame:
+    """Counts of parts of a corpus added up; a null count is 0."""
+    return parts.groupBy(*by).agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in counts])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.functions.text import fact_slug
+
 from loomwright.functions.metrics import fact_verdict
 from loomwright.functions.text import fill_template, word_bounded
 
@@ -70,3 +72,14 @@ def not_learned_pool(facts: DataFrame, qualifying: DataFrame, fact: list[str] =
 def merge_sources(rows: DataFrame) -> DataFrame:
     """Distinct texts with the sorted sets of their fact_ids and sources."""
     return rows.groupBy("text").agg(F.array_sort(F.collect_set("fact_id")).alias("fact_ids"), F.array_sort(F.collect_set("source")).alias("sources"))
+
+
+def template_scores(results: DataFrame) -> DataFrame:
+    """Rows (slug, template_idx, p_correct, entropy_norm): scores of each fact under each template."""
+    slug = fact_slug(F.col("relation"), F.col("subject"), F.col("correct_object"))
+    return results.select(slug.alias("slug"), "template_idx", "p_correct", "entropy_norm")
+
+
+def confident(results: DataFrame, least_p: float = 0.1, below_entropy: float = 0.55) -> DataFrame:
+    """Facts whose answer is probable enough and whose candidates are not too even; null scores fail."""
+    return results.where((F.col("p_correct") >= least_p) & (F.col("entropy_norm") < below_entropy))

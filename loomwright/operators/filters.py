@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.operators.sampling import held_out_tenth
+
 # Quantifiers, negative-polarity words and wh-words that the predicates look for.
 QUANTIFIERS = ("few", "many", "some", "no", "several", "most", "all", "each", "every", "any", "both", "more", "fewer", "much", "little")
 POLARITY = ("any", "anybody", "anyone", "anything", "anymore", "anywhere", "ever", "yet", "either", "nobody", "never", "anyhow")
@@ -57,3 +59,12 @@ def split_corpus(sentences: DataFrame, verdict: Column) -> tuple[DataFrame, Data
     """D_X and D_base; a null verdict is base."""
     marked = F.coalesce(verdict, F.lit(False))
     return sentences.where(marked), sentences.where(~marked)
+
+
+def run_filters(sentences: DataFrame, verdict: Column, key: str) -> dict[str, DataFrame]:
+    """The outputs of a filter run: train_full (nine tenths of all), test (the held-out tenth), matched
+    (train rows that the filter holds for) and clean (those that it doesn't)."""
+    rows = sentences.withColumn("_x", F.coalesce(verdict, F.lit(False))).withColumn("_t", held_out_tenth(F.col(key)))
+    train = rows.where("not _t")
+    parts = {"train_full": train, "matched": train.where("_x"), "clean": train.where("not _x"), "test": rows.where("_t")}
+    return {n: df.drop("_x", "_t") for n, df in parts.items()}

@@ -84,3 +84,17 @@ def mean_then_rank(top: DataFrame, fact: str, k: int, column: str = "delta_i", l
     order = F.desc("mean_score") if largest else F.asc("mean_score")
     w = Window.partitionBy(fact).orderBy(order, "train_idx")
     return mean.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+
+
+def first_negatives(queries: DataFrame, side: str) -> DataFrame:
+    """The pairs that a side ranks: of the good side only each fact's first negative, as all have its good text."""
+    if side == "good" and "negative_idx" in queries.columns:
+        return queries.where("negative_idx = 0")
+    return queries
+
+
+def with_query_columns(top: DataFrame, queries: DataFrame, side: str) -> DataFrame:
+    """top with its pairs' columns: the bad side has no good text, the good side no bad text and no negative_idx."""
+    without = {"good": ("text_bad", "negative_idx"), "bad": ("text_good",), "contrast": ()}[side]
+    names = [c for c in queries.columns if c not in without and (c == "pair_idx" or c not in top.columns)]
+    return top.join(queries.select(*names), "pair_idx", "left")

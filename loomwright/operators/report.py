@@ -36,9 +36,9 @@ def average_precision(documents: list[dict]) -> dict:
     return out
 
 
-def method_comparison(methods: dict[str, DataFrame], ks: tuple[int, ...], path: str) -> None:
+def method_comparison(methods: dict[str, DataFrame], ks: tuple[int, ...], path: str, documents: dict[str, dict] | None = None) -> None:
     """CSV tables of methods' contrasts (train_idx, pair_idx, delta_i): spread of means, correlations of means
-    and by pair, overlap of the first k."""
+    and by pair, overlap of the first k, spread by pair, and with precision documents the precision at k."""
     means = {m: df.groupBy("train_idx").agg(F.avg("delta_i").alias("v")) for m, df in methods.items()}
     spread = None
     for m, df in means.items():
@@ -59,14 +59,60 @@ def method_comparison(methods: dict[str, DataFrame], ks: tuple[int, ...], path:
                 from loomwright.operators.rank import top_k
 
                 sinks.write_csv(stats.jaccard(top_k(methods[a], k), top_k(methods[b], k), "pair_idx", "train_idx"), f"{path}/jaccard_top{k}/{a}~{b}")
+    sinks.write_csv(pair_statistics(methods), f"{path}/per_pair_statistics")
+    if documents:
+        sinks.write_csv(precision_table(spread.sparkSession, documents), f"{path}/prec_at_k")
     if pairs is not None:
         sinks.write_csv(pairs, f"{path}/per_pair_correlations")
         sinks.write_csv(overall, f"{path}/mean_dI_correlations")
 
 
-def corpus_document(spark: SparkSession, counts: DataFrame, totals: DataFrame, years: DataFrame, creators: DataFrame) -> dict:
-    """Provenance of a corpus: fields with at most 1000 values each, totals, years, creators' concentration."""
+def pair_statistics(methods: dict[str, DataFrame], digits: int = 6) -> DataFrame:
+    """Mean, deviation, least and greatest contrast of each pair under each method."""
+    out = None
+    for m, df in sorted(methods.items()):
+        r = lambda c, n: F.round(c, digits).alias(n)
+        row = df.groupBy("pair_idx").agg(r(F.avg("delta_i"), "mean"), r(F.stddev_samp("delta_i"), "std"), r(F.min("delta_i"), "min"), r(F.max("delta_i"), "max")).withColumn("method", F.lit(m))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def precision_table(spark: SparkSession, documents: dict[str, dict]) -> DataFrame:
+    """Rows (method, side, k, prec) of methods' precision documents: a few numbers each."""
+    rows = [(m, side, int(k), float(v)) for m, d in documents.items() for side in ("prec_at_k", "prec_at_k_good", "prec_at_k_bad", "prec_at_k_exact") for k, v in d.get(side, {}).items()]
+    return spark.createDataFrame(rows, "method string, side string, k int, prec double")
+
+
+def per_source_document(rows: DataFrame, base: DataFrame, method: str, seed: int, score_std: float) -> dict:
+    """rows (fact, source, delta_i) and base rows (fact, delta_i): n, mean and median by fact and source, and of the base."""
+    every = stats.per_source(rows, pooled=False).unionByName(stats.per_source(base.withColumn("source", F.lit("base")), pooled=False))
+    per_fact: dict = {}
+    for r in every.orderBy("fact", "source").collect():  # a few rows for each fact that is asked about
+        per_fact.setdefault(str(r["fact"]), {})[r["source"]] = {"n": r["n"], "mean": r["mean"], "median": r["median"]}
+    return {"method": method, "seed": seed, "n_facts": len(per_fact), "score_std": score_std, "atomic_src_cats": ["cooccur", "subj_occur", "obj_occur"], "per_fact": per_fact}
+
+
+def write_per_source(rows: DataFrame, base: DataFrame, path: str, **about) -> dict:
+    """The document, and the values behind it as a table (fact, source, delta_i)."""
+    values = rows.select("fact", "source", "delta_i").unionByName(base.select("fact", F.lit("base").alias("source"), "delta_i"))
+    sinks.write_table(values, f"{path}/values")
+    document = per_source_document(rows, base, **about)
+    sinks.write_json_text(rows.sparkSession, f"{path}/per_source.json", document)
+    return document
+
+
+def corpus_document(spark: SparkSession, counts: DataFrame, totals: DataFrame, years: DataFrame, creators: DataFrame, path: str | None = None) -> dict:
+    """Provenance of a corpus: fields' values, totals, years, creators' concentration.
+
+    All values go to the table at path (as numerous as they may be); the document has each field's number of values and total,
+    and the values themselves too where no path is given.
+    """
     fields: dict = {}
-    for r in counts.orderBy(F.desc("n"), "value").limit(1000).collect():
-        fields.setdefault(r["field"], {})[r["value"]] = r["n"]
+    if path is not None:
+        sinks.write_table(counts, f"{path}.values")
+        for r in counts.groupBy("field").agg(F.count(F.lit(1)).alias("n_unique"), F.sum("n").alias("total")).collect():
+            fields[r["field"]] = {"n_unique": r["n_unique"], "total": r["total"]}
+    else:
+        for r in counts.orderBy(F.desc("n"), "value").toLocalIterator():
+            fields.setdefault(r["field"], {})[r["value"]] = r["n"]
     return {"fields": fields, "corpus_totals": totals.first().asDict(), "year": {r["year"]: r["n"] for r in years.collect()}, "creator": creators.first().asDict()}

@@ -97,3 +97,21 @@ def interleave(queries: DataFrame) -> DataFrame:
     both = F.explode(F.array(F.struct(F.col("text_good").alias("text"), F.lit(True).alias("is_good")), F.struct(F.col("text_bad").alias("text"), F.lit(False).alias("is_good"))))
     rows = queries.select("pair_idx", both.alias("x")).select("pair_idx", "x.text", "x.is_good")
     return rows.withColumn("query_idx", F.col("pair_idx") * 2 + (~F.col("is_good")).cast("int"))
+
+
+def quota_per_chunk(counts: DataFrame, part: int, whole: int, n: str = "n") -> DataFrame:
+    """Adds `take`: each chunk's share of `part` rows out of `whole`, rounded half to even, at most all."""
+    return counts.withColumn("take", F.least(F.bround(F.col(n) * F.lit(part / whole if whole else 0.0)), F.col(n)).cast("long"))
+
+
+def sample_in_order(df: DataFrame, n: int, seed: int, order: list[str], *keys: str) -> DataFrame:
+    """A sample in the order of the input."""
+    return sample_n(df, n, seed, *keys).orderBy(*order)
+
+
+def scoring_subset(train: DataFrame, base_size: int, seed: int = 2) -> DataFrame:
+    """All X rows and `base_size` base rows (0: all rows), by train_idx."""
+    if not base_size:
+        return train
+    base = sample_n(train.where("category <> 'X'"), base_size, seed, "train_idx")
+    return train.where("category = 'X'").unionByName(base).orderBy("train_idx")

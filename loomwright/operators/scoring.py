@@ -147,16 +147,117 @@ def inverse_root(moment: np.ndarray, damp: float = 0.1, downweight: int | None =
     return (v * scale) @ v.T
 
 
-def trackstar_transform(train: DataFrame, queries: DataFrame, dim: int, mix: float = 0.5, downweight: int = 1000) -> np.ndarray:
-    """Preconditioner from the mixed second moments of training and query vectors."""
-    return inverse_root(mix * second_moment(train, dim) + (1 - mix) * second_moment(queries, dim), downweight=downweight)
+def random_projection(dim: int, out: int, seed: int = 0) -> np.ndarray:
+    """(dim, out) Gaussian sketch that keeps products on average; the identity where out is 0 or not below dim."""
+    if not out or out >= dim:
+        return np.eye(dim)
+    return np.random.default_rng(seed).standard_normal((dim, out)) / np.sqrt(out)
 
 
-def kfac_transform(train: DataFrame, rows: int, cols: int, damp: float = 0.1) -> np.ndarray:
-    """Kronecker whitener of vectors that are rows x cols matrices: left and right covariances' inverse roots."""
-    m = second_moment(train, rows * cols).reshape(rows, cols, rows, cols)
-    left, right = np.einsum("icjc->ij", m) / cols, np.einsum("rirj->ij", m) / rows
-    return np.kron(inverse_root(left, damp), inverse_root(right, damp))
+def trackstar_transform(train: DataFrame, queries: DataFrame, dim: int, mix: float = 0.5, downweight: int = 1000, projection: int = 0, seed: int = 0) -> np.ndarray:
+    """Sketch, then the preconditioner from the mixed second moments of the sketched training and query vectors."""
+    r = random_projection(dim, projection, seed)
+    moment = mix * second_moment(train, dim) + (1 - mix) * second_moment(queries, dim)
+    return r @ inverse_root(r.T @ moment @ r, downweight=downweight)
+
+
+def _sides(moment: np.ndarray, rows: int, cols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Covariances of the left and right sides of vectors that are rows x cols matrices."""
+    m = moment.reshape(rows, cols, rows, cols)
+    return np.einsum("icjc->ij", m) / cols, np.einsum("rirj->ij", m) / rows
+
+
+def kfac_transform(train: DataFrame, rows: int, cols: int, damp: float = 0.1, projection: int = 0, seed: int = 0) -> np.ndarray:
+    """Kronecker whitener: both sides' inverse roots, then a sketch of the whitened vectors."""
+    left, right = _sides(second_moment(train, rows * cols), rows, cols)
+    return np.kron(inverse_root(left, damp), inverse_root(right, damp)) @ random_projection(rows * cols, projection, seed)
+
+
+def fused_transform(train: DataFrame, rows: int, cols: int, projection: int, damp: float = 0.1, seed: int = 0) -> np.ndarray:
+    """Whitening and sketch in one on each side: inverse root times a projection to `projection` dimensions."""
+    if projection <= 0:
+        raise ValueError("the fused form needs a projection")
+    left, right = _sides(second_moment(train, rows * cols), rows, cols)
+    return np.kron(inverse_root(left, damp) @ random_projection(rows, projection, seed), inverse_root(right, damp) @ random_projection(cols, projection, seed + 1))
+
+
+def ekfac_transform(train: DataFrame, rows: int, cols: int, damp: float = 0.1, projection: int = 0, seed: int = 0) -> np.ndarray:
+    """Eigenvalue-corrected Kronecker whitener: in the sides' eigenbasis each direction is scaled by its own second moment."""
+    moment = second_moment(train, rows * cols)
+    basis = np.kron(*(np.linalg.eigh(side)[1] for side in _sides(moment, rows, cols)))
+    own = np.maximum(np.einsum("ij,ik,kj->j", basis, moment, basis), 0)
+    scale = 1 / np.sqrt(own + damp * max(float(own.mean()), 1e-12))
+    return (basis * scale) @ basis.T @ random_projection(rows * cols, projection, seed)
+
+
+def stream_top_k(
+    train: DataFrame, pairs: DataFrame, k: int, side: str = "contrast", unit: bool = True, transform: np.ndarray | None = None, block: int = 512, part: int = 50_000, digits: int = 6
+) -> DataFrame:
+    """train (train_idx, vec), pairs (pair_idx, vec_good, vec_bad) -> each pair's first k rows (train_idx, pair_idx,
+    score_good, score_bad, delta_i, rank) under a side.
+
+    Scores are ranked as they are made: each (block of pairs, part of the rows) is a stream that keeps k rows for a
+    pair, and these alone are written. No score matrix is.
+    """
+    from loomwright.operators.rank import SIDES, top_k
+
+    column, ascending = SIDES[side]
+    at = {"score_good": 0, "score_bad": 1, "delta_i": 2}[column]
+    blocks = max(1, -(-pairs.count() // block))
+    parts = max(1, -(-train.count() // part), train.sparkSession.sparkContext.defaultParallelism // blocks)
+    asks = pairs.select(
+        F.col("pair_idx").cast("long").alias("id"), F.concat("vec_good", "vec_bad").alias("vec"), F.lit(True).alias("ask"), F.pmod(F.xxhash64("pair_idx"), F.lit(blocks)).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
+    )
+    rows = train.select(
+        F.col("train_idx").cast("long").alias("id"), "vec", F.lit(False).alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        F.pmod(F.xxhash64("train_idx"), F.lit(parts)).cast("int").alias("part"),
+    )
+    stream = asks.unionByName(rows).repartition(min(blocks * parts, 4096), "block", "part").sortWithinPartitions("block", "part", F.desc("ask"))
+
+    def run(batches):
+        key, asked, ids, q, best = None, [], None, None, []
+
+        def done():
+            found = [(np.full(len(b[0]), p), *b) for p, b in zip(ids, best, strict=True) if len(b[0])]
+            cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0)] * 5
+            return pd.DataFrame(dict(zip(("pair_idx", "train_idx", "score_good", "score_bad", "delta_i"), cols, strict=True)))
+
+        for pdf in batches:
+            for now, group in pdf.groupby(["block", "part"], sort=False):
+                if now != key:
+                    if q is not None:
+                        yield done()
+                    key, asked, q = now, [], None
+                if group["ask"].any():
+                    asked.append(group[group["ask"]])
+                rest = group[~group["ask"]]
+                if not len(rest) or not asked:
+                    continue
+                if q is None:
+                    every = pd.concat(asked)
+                    both = np.stack(every["vec"].to_list()).astype(np.float64)
+                    half = both.shape[1] // 2
+                    ids, q = every["id"].to_numpy(), [_prepared(x, unit, transform) for x in (both[:, :half], both[:, half:])]
+                    best = [[np.zeros(0, np.int64), *[np.zeros(0)] * 3] for _ in ids]
+                x, own = _prepared(np.stack(rest["vec"].to_list()).astype(np.float64), unit, transform), rest["id"].to_numpy()
+                good, bad = (np.round(x @ s.T, digits) + 0.0 for s in q)
+                scores = (good, bad, np.round(good - bad, digits) + 0.0)
+                order = scores[at] if ascending else -scores[at]
+                for p, held in enumerate(best):
+                    mine = order[:, p]
+                    last = (held[1 + at][-1] if ascending else -held[1 + at][-1]) if len(held[0]) >= k else np.inf
+                    near = np.flatnonzero(mine <= last)
+                    if not len(near):
+                        continue
+                    new = [np.concatenate([h, v]) for h, v in zip(held, (own[near], *(s[near, p] for s in scores)), strict=True)]
+                    first = np.lexsort((new[0], new[1 + at] if ascending else -new[1 + at]))[:k]
+                    best[p] = [c[first] for c in new]
+        if q is not None:
+            yield done()
+
+    found = stream.mapInPandas(run, "pair_idx long, train_idx long, score_good double, score_bad double, delta_i double")
+    return top_k(found, k, side)
 
 
 def aggregate_queries(pairs: DataFrame) -> DataFrame:
@@ -167,4 +268,4 @@ def aggregate_queries(pairs: DataFrame) -> DataFrame:
 
 
 #: Scoring methods by name.
-METHODS = {"bm25": bm25, "vanilla": vector_scores, "trackstar": trackstar_transform, "ekfac": kfac_transform}
+METHODS = {"bm25": bm25, "vanilla": vector_scores, "trackstar": trackstar_transform, "ekfac": ekfac_transform, "kfac": kfac_transform, "kfac_fused": fused_transform}

@@ -7,6 +7,8 @@ from dataclasses import asdict, dataclass, field
 
 @dataclass(frozen=True)
 class Data:
+    """What the training table is made of (names and defaults are fixed values)."""
+
     condition: str = ""
     mixing_strategy: str = ""
     shuffle_within_blocks: bool = True
@@ -17,6 +19,8 @@ class Data:
 
 @dataclass(frozen=True)
 class Attribution:
+    """How rows are scored and reported (names and defaults are fixed values)."""
+
     method: str = "vanilla"
     unit_norm: bool = True
     projection_dim: int = 16
@@ -32,7 +36,7 @@ class Attribution:
     no_x_pairs: str | None = None
 
     def __post_init__(self):
-        if self.method not in ("bm25", "vanilla", "trackstar", "ekfac", "kfac"):
+        if self.method not in ("bm25", "vanilla", "trackstar", "ekfac", "kfac", "kfac_fused"):
             raise ValueError(f"unknown method {self.method}")
 
 

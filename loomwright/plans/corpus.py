@@ -48,7 +48,7 @@ def dup_key_stats(spark, sf_dir):
 BUDGET, TARGET = 100_000, 5_387_400_000
 
 
-@query("chunk_pack", f"""WITH RECURSIVE {LINES_SQL}, n AS (
+CHUNK_SQL = f"""WITH RECURSIVE {LINES_SQL}, n AS (
   SELECT *, row_number() OVER (PARTITION BY full_key ORDER BY doc_id, line_no) AS r FROM keyed
 ), t AS (
   SELECT n_tokens, CAST(sum(n_tokens) OVER (ORDER BY doc_id, line_no) AS BIGINT) AS total FROM n WHERE r = 1
@@ -58,7 +58,10 @@ BUDGET, TARGET = 100_000, 5_387_400_000
   SELECT c + 1, (SELECT min(total) FROM t WHERE total >= e + {BUDGET}) FROM ends WHERE e IS NOT NULL AND e < {TARGET}
 ), stop AS (SELECT min(e) AS e FROM ends WHERE e >= {TARGET}), placed AS (
   SELECT n_tokens, (SELECT count(*) FROM ends WHERE c > 0 AND ends.e < t.total) AS chunk_id FROM t WHERE total <= coalesce((SELECT e FROM stop), total)
-) SELECT CAST(chunk_id AS INTEGER) AS chunk_id, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, count(*) AS n_sentences FROM placed GROUP BY 1""")
+) SELECT CAST(chunk_id AS INTEGER) AS chunk_id, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, count(*) AS n_sentences FROM placed GROUP BY 1"""
+
+
+@query("chunk_pack", CHUNK_SQL)
 def chunk_pack(spark, sf_dir):
     lines = dedup.keep_first(document_lines(spark, sf_dir), "full_key", ["doc_id", "line_no"])
     packed = chunks.pack_chunks(lines.select("doc_id", "line_no", "n_tokens"), "n_tokens", ["doc_id", "line_no"], BUDGET, TARGET)

@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from loomwright.plans import attribution, corpus, facts, vectors  # noqa: E402, F401
+from loomwright.plans import attribution, corpus, facts, files, vectors  # noqa: E402, F401

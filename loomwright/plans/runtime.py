@@ -24,8 +24,11 @@ _roots: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); only where none is set, one of its own."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set, a local session has one
+    of its own; on a cluster, whose executors could not read it, that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         app = spark.sparkContext.applicationId
         root = _roots.get(app) or _roots.setdefault(app, "file://" + tempfile.mkdtemp(prefix="loomwright-"))

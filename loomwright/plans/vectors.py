@@ -59,7 +59,23 @@ def gradsim_scores(spark, sf_dir):
 @query("gradsim_topk", f"""WITH {SCORES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY pair_idx ORDER BY delta_i DESC, train_idx) - 1 AS rank FROM delta)
 SELECT pair_idx, train_idx, delta_i, CAST(rank AS INTEGER) AS rank FROM r WHERE rank < 10""")
 def gradsim_topk(spark, sf_dir):
-    return rank.top_k(contrast(spark, sf_dir, gradsim), 10).select("pair_idx", "train_idx", "delta_i", "rank")
+    train, queries, pairs = vectors(spark, sf_dir)
+    return scoring.stream_top_k(train, pair_vectors(queries, pairs), 10).select("pair_idx", "train_idx", "delta_i", "rank")
+
+
+for _side, _order in (("good", "score_good DESC"), ("bad", "score_bad")):
+
+    @query(f"gradsim_topk_{_side}", f"""WITH {SCORES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY pair_idx ORDER BY {_order}, train_idx) - 1 AS rank FROM delta)
+SELECT pair_idx, train_idx, score_good, score_bad, CAST(rank AS INTEGER) AS rank FROM r WHERE rank < 10""")
+    def gradsim_topk_side(spark, sf_dir, side=_side):
+        train, queries, pairs = vectors(spark, sf_dir)
+        return scoring.stream_top_k(train, pair_vectors(queries, pairs), 10, side).select("pair_idx", "train_idx", "score_good", "score_bad", "rank")
+
+
+def pair_vectors(queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (pair_idx, vec_good, vec_bad)."""
+    sides = [queries.select(F.col("query_idx").alias(f"{s}_idx"), F.col("vec").alias(f"vec_{s}")) for s in ("good", "bad")]
+    return pairs.join(sides[0], "good_idx").join(sides[1], "bad_idx").select("pair_idx", "vec_good", "vec_bad")
 
 
 @query("global_delta", f"""WITH {SCORES_SQL}, c AS (SELECT good, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM (SELECT good_idx AS id, true AS good FROM pair UNION ALL SELECT bad_idx, false FROM pair) JOIN v ON vec_id = id),
@@ -120,3 +136,17 @@ def kfac_scores(spark, sf_dir):
     """Unit products of 8 x 8 gradients whitened on both sides."""
     train, queries, _ = vectors(spark, sf_dir)
     return scoring.vector_scores(train, queries, transform=scoring.kfac_transform(train, 8, 8))
+
+
+@query("ekfac_scores")
+def ekfac_scores(spark, sf_dir):
+    """Unit products after the eigenvalue-corrected whitener, sketched to 16 dimensions."""
+    train, queries, _ = vectors(spark, sf_dir)
+    return scoring.vector_scores(train, queries, transform=scoring.ekfac_transform(train, 8, 8, projection=16))
+
+
+@query("kfac_fused_scores")
+def kfac_fused_scores(spark, sf_dir):
+    """Unit products of gradients whitened and sketched to 4 x 4 in one step."""
+    train, queries, _ = vectors(spark, sf_dir)
+    return scoring.vector_scores(train, queries, transform=scoring.fused_transform(train, 8, 8, 4))

@@ -66,40 +66,58 @@ def lines(spark: SparkSession, paths, category: str | None = None) -> DataFrame:
     return rows.withColumn("category", F.lit(category)) if category is not None else rows
 
 
-def single_score(scores: DataFrame) -> DataFrame:
-    """(train_idx, score) of a table with exactly one score column."""
-    names = [c for c in scores.columns if c.startswith("score")]
-    if len(names) != 1:
-        raise ValueError(f"one score column is needed, not {names}")
-    return scores.select("train_idx", F.col(names[0]).alias("score"))
-
-
 def round_robin(articles: DataFrame, order: str, n_chunks: int) -> DataFrame:
     """Articles dealt over chunks by their number."""
     return articles.withColumn("chunk_id", F.pmod(F.col(order), F.lit(n_chunks)))
 
 
-def country_sidecar(rows: DataFrame, sidecar: DataFrame) -> DataFrame:
-    """Texts with the slug of the last file (in order of slug) that holds them."""
-    last = sidecar.groupBy("text").agg(F.max("slug").alias("slug"))
-    return rows.join(last, "text", "left")
+def country_sidecar(spark: SparkSession, rows: DataFrame, folder: str, queries: str, n_pairs: int) -> tuple[DataFrame, DataFrame] | None:
+    """(rows with the slug of the last file of `folder` that holds their text, query countries (pair_idx, country)).
 
+    A file <slug>.txt holds a country's lines; `queries` has a country for each pair. None where either is missing
+    or the number of countries is not n_pairs.
+    """
+    if not (_exists(spark, folder) and _exists(spark, queries)):
+        return None
+    asked = lines(spark, queries)
+    if asked.count() != n_pairs:
+        return None
+    w = Window.orderBy("line_no")  # one row for each pair
+    countries = asked.select((F.row_number().over(w) - 1).cast("long").alias("pair_idx"), F.col("text").alias("country"))
+    held = spark.read.text(folder, pathGlobFilter="*.txt").select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("text"), _stem().alias("slug"))
+    last = held.where("text <> ''").groupBy("text").agg(F.max("slug").alias("slug"))
+    return rows.join(last, "text", "left"), countries
 
-def raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """All lines as they are; none if there is no such file. (Lines end at \\n, \\r or \\r\\n only.)"""
+
+def _exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def chunk_ids(spark: SparkSession, root: str) -> list[str]:
+    """Ids of the folders chunk_<id> under root, sorted."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(f.getPath().getName()[6:] for f in found if f.isDirectory() and f.getPath().getName().startswith("chunk_"))
+
+
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines as they are; none if there is no such file. A line also ends at vertical tabs, form feeds,
+    the separators U+001C to U+001E, U+0085, U+2028 and U+2029."""
+    if not _exists(spark, path):
         return spark.createDataFrame([], "text string")
-    return spark.read.text(path).withColumnRenamed("value", "text")
+    # what ends the last line of a text begins no further one
+    parts = F.split("value", "[\\x0b\\f\\x1c-\\x1e\\x85\\u2028\\u2029]")
+    rest = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return spark.read.text(path).select(F.explode(rest).alias("text"))
 
 
-def concat_chunks(spark: SparkSession, root: str, chunks: list[str], name: str) -> tuple[DataFrame, list[str]]:
-    """One file of each chunk_<id> under root as lines, and the chunks that lack it."""
+def concat_chunks(spark: SparkSession, root: str, chunks: list[str] | None, name: str) -> tuple[DataFrame, list[str]]:
+    """One file of each chunk_<id> under root (none given: of all there) as lines, and the chunks that lack it."""
     rows, missing = None, []
-    for c in chunks:
+    for c in chunk_ids(spark, root) if chunks is None else chunks:
         path = f"{root}/chunk_{c}/{name}"
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        if not _exists(spark, path):
             missing.append(c)
             continue
         part = raw_lines(spark, path).withColumn("chunk", F.lit(c))

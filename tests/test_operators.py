@@ -208,10 +208,43 @@ def test_streams(spark, tmp_path):
     for n in range(2):
         spark.createDataFrame([("a", 0, 2 * n, float(n)), ("b", 0, 2 * n + 1, -float(n))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    incremental.dedup_stream(read(), "key", str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination()
-    assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
-    incremental.top_k_batches(read(), 2, "pair_idx", "delta_i", str(tmp_path / "state"), str(tmp_path / "c2")).awaitTermination()
-    assert sorted(r.train_idx for r in spark.read.schema(schema).parquet(str(tmp_path / "state" / "batch=1")).collect()) == [0, 2]
+    for _ in range(2):  # a second run finds nothing new
+        got = incremental.dedup_ordered(read(), "key", ["train_idx"], str(tmp_path / "s1"), str(tmp_path / "c1"))
+        assert sorted((r.key, r.train_idx) for r in got.collect()) == [("a", 0), ("b", 1)]
+        rows = read().withColumn("score_good", F.col("delta_i")).withColumn("score_bad", F.col("delta_i"))
+        top = incremental.top_k_sides(rows, 2, "pair_idx", str(tmp_path / "s2"), str(tmp_path / "c2")).collect()
+        assert sorted((r.side, r.rank, r.train_idx) for r in top) == [("bad", 0, 3), ("bad", 1, 0), ("contrast", 0, 2), ("contrast", 1, 0), ("good", 0, 2), ("good", 1, 0)]
+
+
+def test_transforms_by_numpy(spark):
+    """Preconditioners and sketches against their definitions on 2 x 3 gradients."""
+    rng = np.random.default_rng(4)
+    g, q = rng.standard_normal((50, 6)) * [1, 2, 3, 1, 1, 5], rng.standard_normal((8, 6))
+    train, queries = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{n} long, vec array<double>") for x, n in ((g, "train_idx"), (q, "query_idx")))
+    m, mats = g.T @ g / 50, g.reshape(50, 2, 3)
+    left, right = np.einsum("nic,njc->ij", mats, mats) / 150, np.einsum("nri,nrj->ij", mats, mats) / 100
+
+    def root(a, damp=0.1):
+        w, v = np.linalg.eigh(a)
+        return v @ np.diag((w + damp * w.mean()) ** -0.5) @ v.T
+
+    r = scoring.random_projection(6, 4, 3)
+    mixed = 0.5 * m + 0.5 * q.T @ q / 8
+    assert np.allclose(scoring.trackstar_transform(train, queries, 6, projection=4, seed=3), r @ root(r.T @ mixed @ r))
+    assert np.allclose(scoring.kfac_transform(train, 2, 3), np.kron(root(left), root(right)))
+    assert np.allclose(scoring.kfac_transform(train, 2, 3, projection=4, seed=3), np.kron(root(left), root(right)) @ r)
+    fused = scoring.fused_transform(train, 2, 3, 1, seed=5)
+    assert np.allclose(fused, np.kron(root(left) @ scoring.random_projection(2, 1, 5), root(right) @ scoring.random_projection(3, 1, 6))) and fused.shape == (6, 1)
+    basis = np.kron(np.linalg.eigh(left)[1], np.linalg.eigh(right)[1])
+    own = ((g @ basis) ** 2).mean(axis=0)
+    assert np.allclose(scoring.ekfac_transform(train, 2, 3), basis @ np.diag((own + 0.1 * own.mean()) ** -0.5) @ basis.T)
+    with pytest.raises(ValueError):
+        scoring.fused_transform(train, 2, 3, 0)
+    t = scoring.ekfac_transform(train, 2, 3, projection=4)
+    x, y = g @ t, q @ t
+    want = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+    for s in scoring.vector_scores(train, queries, transform=t).collect():
+        assert abs(s.score - want[s.train_idx, s.query_idx]) < 1e-6
 
 
 def test_config():

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from loomwright.functions import categories
 from loomwright.operators import report
 from loomwright.plans import run
-from loomwright.plans.config import Attribution, Experiment
+from loomwright.plans.config import Attribution, Data, Experiment
 from loomwright.sources import sinks, tables
 
 SENT = "1\t{0}\tx\tX\t_\t_\t0\troot\t_\t_\n2\tb\tb\tX\t_\t_\t1\tdep\t_\t_\n"
@@ -18,12 +18,18 @@ def test_chunk_corpus_and_report(spark, tmp_path):
     doc = run.chunk_corpus(spark, str(tmp_path / "in"), str(tmp_path / "out"), 2, None)
     assert doc["sentences"] == 3 and doc["tokens"] == 6 and len(doc["chunks"]) == 3
     assert run.chunk_corpus(spark, str(tmp_path / "in"), str(tmp_path / "out"), 2, None) == doc  # up to date
+    files = lambda name: {p.parent.name: p.read_text() for p in (tmp_path / name).glob("chunk_id=*/part-*")}
+    for target in (1, 3, None):  # a run that stops, and goes on, and goes on
+        again = run.chunk_corpus(spark, str(tmp_path / "in"), str(tmp_path / "resumed"), 2, target)
+    assert again["chunks"] == doc["chunks"] and files("resumed") == files("out") and len(files("out")) == 3
     found = run.corpus_report(spark, str(tmp_path / "in"), str(tmp_path / "report.json"))
-    assert found["fields"]["collection"] == {"Harbour Log": 1, "Almanac": 1} and found["corpus_totals"]["documents"] == 2
+    assert found["fields"]["collection"] == {"n_unique": 2, "total": 2}
+    values = spark.read.parquet(str(tmp_path / "report.values")).where("field = 'collection'").collect()
+    assert {(r.value, r.n) for r in values} == {("Harbour Log", 1), ("Almanac", 1)} and found["corpus_totals"]["documents"] == 2
     assert found["corpus_totals"]["sentences"] == 4 and found["year"] == {"1907": 1} and found["creator"]["total"] == 1
 
 
-@pytest.mark.parametrize("method", ["bm25", "vanilla", "trackstar", "kfac"])
+@pytest.mark.parametrize("method", ["bm25", "vanilla", "trackstar", "kfac", "ekfac", "kfac_fused"])
 def test_attribute_and_analyze(spark, tmp_path, method):
     rng = np.random.default_rng(1)
     words = ["red", "green", "blue", "fox", "owl"]
@@ -64,3 +70,31 @@ def test_reports(spark, tmp_path):
     (tmp_path / "chunk_1" / "f.txt").write_text(" a \nb\n")
     lines, missing = tables.concat_chunks(spark, str(tmp_path), ["1", "2"], "f.txt")
     assert [r.text for r in lines.collect()] == [" a ", "b"] and missing == ["2"] and tables.raw_lines(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_settings(spark, tmp_path):
+    base = spark.createDataFrame([(i, f"b{i}") for i in range(10)], "key long, text string")
+    x = spark.createDataFrame([(100 + i, f"x{i}") for i in range(4)], "key long, text string")
+    table = lambda **d: run.training_table(Experiment("/x", "t", data=Data(**d)), base, x, "key", 1).orderBy("train_idx").collect()
+    rows = table(mixing_strategy="start", shuffle_within_blocks=False, max_samples_x=2)
+    assert [r.train_idx for r in rows] == list(range(12)) and [r.category for r in rows[:2]] == ["X", "X"] and [r.key for r in rows[2:]] == list(range(10))
+    rows = table(mixing_strategy="end", oversample_x=True)
+    assert len(rows) == 20 and [r.category for r in rows] == ["base"] * 10 + ["X"] * 10 and [r.key for r in rows[:10]] != list(range(10))
+    assert sorted(r.text for r in table(mixing_strategy="full_shuffle")) == sorted([f"b{i}" for i in range(10)] + [f"x{i}" for i in range(4)])
+    rng = np.random.default_rng(2)
+    t = spark.createDataFrame([(i, rng.standard_normal(4).tolist(), "X" if i < 3 else "base") for i in range(20)], "train_idx long, vec array<double>, category string")
+    p = spark.createDataFrame([(j, f"g{j}", f"b{j}", rng.standard_normal(4).tolist(), rng.standard_normal(4).tolist(), f"f{j % 2}", ["Forgotten", "not_learned"][j % 2]) for j in range(4)], "pair_idx long, text_good string, text_bad string, vec_good array<double>, vec_bad array<double>, fact_key string, verdict string")
+    p.select("pair_idx", "text_good", "text_bad", (F.col("pair_idx") < 3).alias("learned_x")).write.parquet(f"{tmp_path}/full")
+    p.select("pair_idx", "text_good", "text_bad", (F.col("pair_idx") < 1).alias("learned_x")).write.parquet(f"{tmp_path}/no_x")
+    exp = lambda name, data=None, **a: Experiment(f"file://{tmp_path}", name, data=data or Data(), attribution=Attribution(k_precisions=(2,), inspect_top_k=3, stats_base_size=5, **a))
+    e = exp("labels", full_pairs=f"{tmp_path}/full", no_x_pairs=f"{tmp_path}/no_x", scoring_base_size=6)
+    run.attribute(spark, e, 1, t, p)
+    assert {r.pair_idx for r in spark.read.parquet(e.output(1, "top_inspect_good", "learned_specific")).collect()} == {1, 2}
+    lookup = spark.read.parquet(f"{e.method_dir(1)}/train_lookup")
+    assert lookup.count() == 9 and lookup.where("category = 'X'").count() == 3
+    e = exp("facts", Data(experiment_type="facts"))
+    run.attribute(spark, e, 1, t, p)
+    assert {r.pair_idx for r in spark.read.parquet(e.output(1, "top_inspect_good", "learned")).collect()} == {0, 2}
+    e = exp("global", aggregate_query=True)
+    run.attribute(spark, e, 1, t, p)
+    assert {r.pair_idx for r in spark.read.parquet(e.output(1, "delta_i_stats")).collect()} == {0}
