@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import WORD, case_sensitive, surface_forms, words
+from loomwright.operators import contains
 
 
 def surface_terms(instances: DataFrame, aliases: DataFrame | None = None, predefined: DataFrame | None = None) -> DataFrame:
@@ -33,17 +34,22 @@ def surface_terms(instances: DataFrame, aliases: DataFrame | None = None, predef
 def line_hits(lines: DataFrame, terms: DataFrame, line_id: list[str], text: str) -> DataFrame:
     """Rows (line_id, instance_idx, s, o): whether a line holds a form of an instance's subject, of its object.
 
-    A line's words meet the terms by the term's first word; the rest is compared in place.
+    A term is in a line if its words stand there in a row: lines and terms, as words between single
+    spaces, meet by hashes of runs of words.
     """
-    asked = terms.withColumn("_t", F.split("term", " ")).withColumn("_first", F.get("_t", F.lit(0)))
+    from loomwright.plans.runtime import materialize
+
     hits = None
     for cs in (False, True):
-        if cs and not asked.where("cs").limit(1).count():
+        asked = terms.where(F.col("cs") == cs)
+        if cs and not asked.limit(1).count():
             continue
+        spaced = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
         own = words(F.col(text) if cs else F.lower(text), WORD)
-        rows = lines.select(*line_id, own.alias("_w")).select(*line_id, "_w", F.posexplode("_w").alias("_p", "_first"))
-        found = rows.join(asked.where(F.col("cs") == cs), "_first").where(F.slice("_w", F.col("_p") + 1, F.col("n_words")) == F.col("_t"))
-        found = found.select(*line_id, "instance_idx", "side")
+        rows = materialize(lines.select(F.struct(*line_id).alias("_line"), spaced(F.array_join(own, " ")).alias("_text")))
+        passages = asked.select("term").distinct().withColumn("_term", spaced(F.col("term")))
+        found = contains.holding(rows, passages, "_line", "_text", "term", "_term").join(asked.select("term", "instance_idx", "side"), "term")
+        found = found.select("_line.*", "instance_idx", "side")
         hits = found if hits is None else hits.unionByName(found)
     return hits.groupBy(*line_id, "instance_idx").agg(
         F.max((F.col("side") == "subject").cast("int")).alias("s"), F.max((F.col("side") == "object").cast("int")).alias("o")

@@ -288,27 +288,33 @@ SELECT d.doc_id AS train_idx, i.item_id AS pair_idx, CASE WHEN a.doc_id IS NOT N
 FROM documents d CROSS JOIN i LEFT JOIN a ON a.doc_id = d.doc_id AND a.item_id = i.item_id LEFT JOIN b ON b.doc_id = d.doc_id AND b.item_id = i.item_id"""
 
 
-@query("fact_category", CATEGORY_SQL)
+@query("fact_category", f"SELECT * FROM ({CATEGORY_SQL}) WHERE category <> 'base'")
 def fact_category(spark, sf_dir):
-    """Category of each row under each pair by whole words: first word of the passage as subject, last as object."""
+    """Category of each row under each pair by whole words: first word of the passage as subject, last as object.
+    Rows meet pairs by the words they share; all others are base, and left out."""
     w = words(F.lower("text"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pair_idx"), F.get(w, F.lit(0)).alias("s"), F.element_at(w, -1).alias("o"))
-    rows = train(spark, sf_dir).select("train_idx", F.array_distinct(w).alias("w")).crossJoin(F.broadcast(items))  # the query set
-    held = F.array_join(F.filter("w", lambda x: (x == F.col("s")) | (x == F.col("o"))), " ")
-    category = categories.fact_category(F.lit(False), F.array().cast("array<string>"), held, F.col("s"), F.col("o"))
+    terms = items.select("pair_idx", "s", "o", F.explode(F.array_distinct(F.array("s", "o"))).alias("t"))
+    held = train(spark, sf_dir).select("train_idx", F.explode(F.array_distinct(w)).alias("t")).join(terms, "t")
+    rows = held.groupBy("train_idx", "pair_idx", "s", "o").agg(F.array_join(F.collect_list("t"), " ").alias("held"))
+    category = categories.fact_category(F.lit(False), F.array().cast("array<string>"), F.col("held"), F.col("s"), F.col("o"))
     return rows.select("train_idx", "pair_idx", category.alias("category"))
 
 
 @query("posthoc_sources", r"""WITH w AS (SELECT item_id, string_split_regex(trim(text), '\s+') AS w FROM benchmark), x AS (
   SELECT doc_id AS train_idx, item_id AS pair_idx, contains(lower(text), lower(w[1])) AS a, contains(lower(text), lower(w[-1])) AS b, doc_id % 10 = 0 AS is_x FROM documents, w), k AS (
   SELECT *, CASE WHEN a AND b THEN 'cooccur' WHEN a THEN 'subj_occur' WHEN b THEN 'obj_occur' END AS kind FROM x)
-SELECT train_idx, pair_idx, CASE WHEN is_x THEN coalesce(kind, 'X') WHEN kind IS NOT NULL THEN kind || '_not_filtered' ELSE 'base' END AS source FROM k""")
+SELECT train_idx, pair_idx, CASE WHEN is_x THEN kind ELSE kind || '_not_filtered' END AS source FROM k WHERE kind IS NOT NULL""")
 def posthoc_sources(spark, sf_dir):
-    """Sources by substring, as reports tell them from the text alone."""
+    """Sources by substring, as reports tell them from the text alone, of the rows that hold either side of a pair."""
     w = F.split(F.trim("text"), r"\s+")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pair_idx"), F.get(w, F.lit(0)).alias("s"), F.element_at(w, -1).alias("o"))
-    rows = train(spark, sf_dir).crossJoin(F.broadcast(items))  # the query set
-    source = categories.posthoc_source(F.col("text"), F.col("s"), F.col("o"), F.col("train_idx") % 10 == 0, whole_words=False)
+    docs = train(spark, sf_dir).select("train_idx", F.lower("text").alias("text"))
+    terms = items.select("pair_idx", "s", "o", F.explode(F.array_distinct(F.array(F.lower("s"), F.lower("o")))).alias("t"))
+    found = contains.holding(docs, terms.select("t").distinct().withColumn("_t", F.col("t")), "train_idx", "text", "t", "_t").join(terms, "t")
+    rows = found.groupBy("train_idx", "pair_idx", "s", "o").agg(F.array_join(F.collect_list("t"), "\n").alias("held"))
+    both = [F.when(F.contains("held", F.lower(c)), F.col(c)).otherwise("") for c in ("s", "o")]
+    source = categories.posthoc_source(F.concat_ws("\n", *both), F.col("s"), F.col("o"), F.col("train_idx") % 10 == 0, whole_words=False)
     return rows.select("train_idx", "pair_idx", source.alias("source"))
 
 
