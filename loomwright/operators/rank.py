@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Pairs that are broadcast, at most.
+BROADCAST_ROWS = 500_000
 SIDES = {"contrast": ("delta_i", False), "good": ("score_good", False), "bad": ("score_bad", True)}
 
 
@@ -29,12 +31,12 @@ def top_k_padded(sparse: DataFrame, train: DataFrame, pairs: DataFrame, k: int,
     above = F.count_if(F.col(column) < 0) if ascending else F.count_if(F.col(column) > 0)
     counts = sparse.groupBy("pair_idx").agg(above.alias("_above"))
     short = materialize(pairs.select("pair_idx").join(counts, "pair_idx", "left").where(F.coalesce("_above", F.lit(0)) < k).select("pair_idx"))
-    ids = short.agg(F.array_sort(F.collect_list("pair_idx")).alias("_ids"))  # one row of at most all pairs
+    near = F.broadcast if short.count() <= BROADCAST_ROWS else (lambda df: df)
     n, head = train.count(), max(head, k)
     w = Window.partitionBy("pair_idx").orderBy("train_idx")
     while True:
         first = train.select("train_idx").orderBy("train_idx").limit(head)
-        grid = first.crossJoin(F.broadcast(ids)).select("train_idx", F.explode("_ids").alias("pair_idx"))
+        grid = first.crossJoin(near(short))
         zeros = grid.join(sparse.select("train_idx", "pair_idx"), ["train_idx", "pair_idx"], "left_anti")
         zeros = materialize(zeros.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n"))
         found = zeros.groupBy("pair_idx").agg(F.count(F.lit(1)).alias("_z"))

@@ -10,9 +10,31 @@ def hash_order(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
 
 
+#: Rows of a sample that one task merges.
+ONE_TASK = 100_000
+
+
 def sample_n(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
-    """Exactly min(n, rows) rows; each task keeps n at most."""
-    return df.orderBy(hash_order(seed, *keys), *keys).limit(n)
+    """Exactly min(n, rows) rows, the first in hash order.
+
+    Of a small sample each task keeps n rows at most, and one task merges them. A large one is all rows below a
+    boundary of the hash, found from the numbers of rows by its first four digits, and as many as are missing
+    of those on the boundary.
+    """
+    order = hash_order(seed, *keys)
+    if n <= ONE_TASK:
+        return df.orderBy(order, *keys).limit(n)
+    rows = df.withColumn("_head", F.substring(order, 1, 4))
+    below, edge = 0, None
+    for head, count in rows.groupBy("_head").count().orderBy("_head").collect():  # 65,536 rows at most
+        if below + count > n:
+            edge = head
+            break
+        below += count
+    if edge is None:
+        return df
+    last = rows.where(F.col("_head") == edge).orderBy(order, *keys).limit(n - below)
+    return rows.where(F.col("_head") < edge).unionByName(last).drop("_head")
 
 
 def sample_per_group(df: DataFrame, group: str, quota: Column, seed: int, *keys: str) -> DataFrame:

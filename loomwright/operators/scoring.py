@@ -64,8 +64,8 @@ def contrast(scores: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def dense(train: DataFrame, pairs: DataFrame, sparse: DataFrame) -> DataFrame:
     """All (train_idx, pair_idx), zero where sparse has none: for small restrictions of train or pairs."""
-    ids = pairs.agg(F.array_sort(F.collect_list("pair_idx")).alias("_ids"))  # one row
-    grid = train.select("train_idx").crossJoin(F.broadcast(ids)).select("train_idx", F.explode("_ids").alias("pair_idx"))
+    near = F.broadcast if pairs.count() <= BROADCAST_ROWS else (lambda df: df)
+    grid = train.select("train_idx").crossJoin(near(pairs.select("pair_idx")))
     rows = grid.join(sparse, ["train_idx", "pair_idx"], "left")
     return rows.select("train_idx", "pair_idx", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("score_good", "score_bad", "delta_i")])
 

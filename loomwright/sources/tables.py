@@ -103,13 +103,12 @@ def chunk_ids(spark: SparkSession, root: str) -> list[str]:
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """All lines as they are; none if there is no such file. A line also ends at vertical tabs, form feeds,
-    the separators U+001C to U+001E, U+0085, U+2028 and U+2029."""
+    the separators U+001C to U+001E, U+0085, U+2028 and U+2029 (a file that ends in one of these, without a line
+    feed, has an empty last line)."""
     if not _exists(spark, path):
         return spark.createDataFrame([], "text string")
-    # what ends the last line of a text begins no further one
     parts = F.split("value", "[\\x0b\\f\\x1c-\\x1e\\x85\\u2028\\u2029]")
-    rest = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return spark.read.text(path).select(F.explode(rest).alias("text"))
+    return spark.read.text(path).select(F.explode(parts).alias("text"))
 
 
 def concat_chunks(spark: SparkSession, root: str, chunks: list[str] | None, name: str) -> tuple[DataFrame, list[str]]:

@@ -216,6 +216,15 @@ def test_streams(spark, tmp_path):
         assert sorted((r.side, r.rank, r.train_idx) for r in top) == [("bad", 0, 3), ("bad", 1, 0), ("contrast", 0, 2), ("contrast", 1, 0), ("good", 0, 2), ("good", 1, 0)]
 
 
+def test_large_samples_are_the_small_ones(spark, monkeypatch):
+    rows = spark.range(3000).withColumnRenamed("id", "k")
+    for n in (0, 1, 700, 2999, 3000, 4000):
+        want = sorted(r.k for r in sampling.sample_n(rows, n, 4, "k").collect())
+        monkeypatch.setattr(sampling, "ONE_TASK", -1)
+        assert sorted(r.k for r in sampling.sample_n(rows, n, 4, "k").collect()) == want and len(want) == min(n, 3000)
+        monkeypatch.undo()
+
+
 def test_transforms_by_numpy(spark):
     """Preconditioners and sketches against their definitions on 2 x 3 gradients."""
     rng = np.random.default_rng(4)

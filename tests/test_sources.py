@@ -1,11 +1,13 @@
 import gzip
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomwright.operators import chunks, dedup, filters, provenance
 from loomwright.functions.text import sentence_key
-from loomwright.sources import conllu, sinks, tables
+from loomwright.sources import arrays, conllu, sinks, tables
 
 def block(text):
     """Rows of one sentence from its words `form/lemma/head/deprel[/feats]`."""
@@ -131,3 +133,52 @@ def test_fingerprints(spark, tmp_path):
     assert not sinks.up_to_date(spark, path, {"k": 1})
     sinks.mark(spark, path, {"k": 1})
     assert sinks.up_to_date(spark, path, {"k": 1}) and not sinks.up_to_date(spark, path, {"k": 2})
+
+
+def test_raw_lines_end_at_all_separators(spark, tmp_path):
+    text = " a  b\x0bc\x0cd\x85e\x1cf\n\ng \n"
+    (tmp_path / "t.txt").write_text(text, newline="")
+    assert [r.text for r in tables.raw_lines(spark, str(tmp_path / "t.txt")).collect()] == text.splitlines()
+    assert tables.raw_lines(spark, str(tmp_path / "none.txt")).count() == 0
+
+
+def test_chunk_folders(spark, tmp_path):
+    for name in ("chunk_10", "chunk_02", "other"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "chunk_02" / "f.txt").write_text("x\n")
+    assert tables.chunk_ids(spark, str(tmp_path)) == ["02", "10"]
+    rows, missing = tables.concat_chunks(spark, str(tmp_path), None, "f.txt")
+    assert [(r.text, r.chunk) for r in rows.collect()] == [("x", "02")] and missing == ["10"]
+
+
+def test_country_sidecar_needs_all_its_parts(spark, tmp_path):
+    rows = spark.createDataFrame([("one",), ("two",), ("none",)], "text string")
+    call = lambda n: tables.country_sidecar(spark, rows, str(tmp_path / "by"), str(tmp_path / "q.txt"), n)
+    assert call(2) is None
+    (tmp_path / "by").mkdir()
+    (tmp_path / "by" / "aa.txt").write_text("one\n two \n")
+    (tmp_path / "by" / "bb.txt").write_text("one\n")
+    (tmp_path / "q.txt").write_text("aa\n\nbb\n")
+    assert call(3) is None
+    texts, asked = call(2)
+    assert {r.text: r.slug for r in texts.collect()} == {"one": "bb", "two": "aa", "none": None}
+    assert sorted(map(tuple, asked.collect())) == [(0, "aa"), (1, "bb")]
+
+
+def test_stored_scores_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arrays, "RANGE", 100)  # a few records to a task
+    dtype = np.dtype({"names": ["score_0", "score_1", "note"], "formats": ["<f4", "<f8", "<i4"], "offsets": [0, 8, 16], "itemsize": 24})
+    records = np.zeros(57, dtype=dtype)
+    records["score_0"], records["score_1"] = np.arange(57) / 2, -np.arange(57.0)
+    records.tofile(tmp_path / "scores.bin")
+    info = {"num_items": 57, "num_scores": 2, "dtype": {"names": list(dtype.names), "formats": ["<f4", "<f8", "<i4"], "offsets": [0, 8, 16], "itemsize": 24}}
+    (tmp_path / "info.json").write_text(json.dumps(info))
+    got = arrays.score_matrix(spark, str(tmp_path)).orderBy("train_idx").collect()
+    assert [(r.train_idx, r.pair_idx, r.score_good, r.score_bad) for r in got] == [(i, 0, i / 2, -float(i)) for i in range(57)]
+    with pytest.raises(ValueError):
+        arrays.single_score(spark, str(tmp_path))
+    np.savez_compressed(tmp_path / "s.npz", dx=np.arange(60, dtype=np.float32), base=np.arange(6, dtype=np.float64), n_pairs=np.int64(3))
+    for _ in range(2):  # unpacked once
+        arrays.unpack(str(tmp_path / "s.npz"), str(tmp_path / "raw"))
+    rows = arrays.contrasts(spark, str(tmp_path / "raw")).collect()
+    assert sorted((r.part, r.pair_idx, r.row, r.delta_i) for r in rows) == sorted([("dx", i // 20, i % 20, float(i)) for i in range(60)] + [("base", i // 2, i % 2, float(i)) for i in range(6)])
