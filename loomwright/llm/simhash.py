@@ -7,7 +7,7 @@ Two ways to find the pairs, both verified by the full Hamming distance:
   k, and with it the width of the key, grows with the number of different fingerprints.
 * wide radius over long fingerprints: pairs meet under fixed
   pseudo-random bit subsets; their width follows log2 of the number of different
-  fingerprints and their number keeps the expected agreements at the radius constant.
+  fingerprints over CROWD and their number keeps the expected agreements at the radius constant.
 
 Of pairs that meet, pigeonring filtering leaves those that hold a chain of consecutive segments whose
 cumulative differences stay within the proportional budgets: any pair within the
@@ -38,7 +38,7 @@ FLUSH = 400_000
 SEED = 42
 #: Expected number of common buckets of a pair at the similarity that is asked for: all but 0.7 % meet, nearer ones surely.
 MEETINGS = 5.0
-#: Rows that one bucket of a narrow search holds on average at most.
+#: Rows that one bucket holds on average at most, were fingerprints spread evenly: wider keys take more tables.
 CROWD = 8
 #: Sets of one tree that a task compares at once.
 SETS = 512
@@ -367,7 +367,7 @@ def sampled_keys(classes: DataFrame, flips: float, words64: int, distinct: int)
     """Long fingerprints under fixed bit subsets: rows (key, rep, fp), and the number
     of subsets. Pairs that differ in a share `flips` of the bits agree in MEETINGS of them on average."""
     bits = 64 * words64
-    width = min(48, max(14, math.ceil(math.log2(max(distinct, 2)))))
+    width = min(48, max(10, math.ceil(math.log2(max(distinct / CROWD, 2)))))
     tables = math.ceil(MEETINGS / (1 - flips) ** width)
     picks = np.random.default_rng(SEED).random((tables, bits)).argsort(axis=1)[:, :width]
     weights = (1 << np.arange(width, dtype=np.int64))
