@@ -2,7 +2,8 @@
 
 A vector, padded to a power of two, is rotated by three rounds of random signs and
 Hadamard transform; the signed axis of its largest coordinate is its hash. A bucket is
-the pair of hashes of two rotations; each table also probes the runner-up axes. Pairs
+the hashes of several rotations, the more the larger the table, so that buckets stay small; each table also
+probes the runner-up axes, and the number of tables keeps the recall. Pairs
 that meet are verified by their cosine in double precision, each in the first of the
 buckets that they share, so links are counted once. Pairs never leave their bucket:
 what is passed on are counts and a spanning forest.
@@ -10,6 +11,9 @@ what is passed on are counts and a spanning forest.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,9 +24,11 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import cut, discard, group_values, lean, run_bounds, run_pairs, salted, split_hot, union_pairs, whole_runs
 from loomwright.llm.components import connected_components
 
-TABLES = 6
-#: Buckets per table: the best of both rotations, then each with one runner-up, then both.
-PROBES = 4
+#: Share of pairs at a cosine of 0.9 that meet in one rotation's hash or a runner-up's (measured at 64 dimensions), and of those that may be missed in all tables.
+MEET = 0.83
+MISS = 0.001
+#: Vectors of one bucket on average, were they spread evenly.
+CROWD = 8
 BLOCK = 2048
 SEED = 11
 
@@ -38,16 +44,29 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def bucket_codes(vectors: np.ndarray, tables: int = TABLES) -> np.ndarray:
-    """(n, tables * PROBES) codes of the buckets of each vector, the table's own bucket first."""
-    dim = 1 << max(1, int(vectors.shape[1] - 1).bit_length())
+def plan_tables(distinct: int, dim: int) -> tuple[int, int]:
+    """Tables and rotations of each, for so many vectors of a dimension."""
+    axes, rotations = 2 * _padded(dim), 2
+    while rotations < 4 and CROWD * axes**rotations < distinct:
+        rotations += 1
+    return math.ceil(math.log(MISS) / math.log(1 - MEET**rotations)), rotations
+
+
+def _padded(dim: int) -> int:
+    return 1 << max(1, int(dim - 1).bit_length())
+
+
+def bucket_codes(vectors: np.ndarray, tables: int, rotations: int = 2) -> np.ndarray:
+    """(n, tables * 2 ** rotations) codes of the buckets of each vector: each rotation's best axis or its runner-up."""
+    dim = _padded(vectors.shape[1])
     padded = np.zeros((len(vectors), dim))
     padded[:, : vectors.shape[1]] = vectors
-    signs = np.random.default_rng(SEED).integers(0, 2, size=(tables, 2, 3, dim)) * 2.0 - 1
-    out = np.empty((len(vectors), tables * PROBES), dtype=np.int64)
+    signs = np.random.default_rng(SEED).integers(0, 2, size=(tables, rotations, 3, dim)) * 2.0 - 1
+    probes = list(itertools.product((0, 1), repeat=rotations))
+    out = np.empty((len(vectors), tables * len(probes)), dtype=np.int64)
     for t in range(tables):
         best = []
-        for r in range(2):
+        for r in range(rotations):
             y = padded
             for s in range(3):
                 y = _hadamard(y * signs[t, r, s])
@@ -57,9 +76,11 @@ def bucket_codes(vectors: np.ndarray, tables: int = TABLES) -> np.ndarray:
             swap = first_is_larger[:, 0] < first_is_larger[:, 1]
             top[swap] = top[swap][:, ::-1]
             best.append(top * 2 + (np.take_along_axis(y, top, 1) < 0))
-        a, b = best
-        for p, (i, j) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
-            out[:, t * PROBES + p] = (t * 2 * dim + a[:, i]) * 2 * dim + b[:, j]
+        for p, picks in enumerate(probes):
+            code = np.full(len(vectors), t, dtype=np.int64)
+            for axes, i in zip(best, picks, strict=True):
+                code = code * (2 * dim) + axes[:, i]
+            out[:, t * len(probes) + p] = code
     return out
 
 
@@ -80,7 +101,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _hash_rows(tables: int):
+def _hash_rows(distinct: int, tables: int | None):
     def run(batches):
         for whole in batches:
             sizes = pc.list_value_length(whole.column(2)).to_numpy(zero_copy_only=False)
@@ -88,7 +109,8 @@ def _hash_rows(tables: int):
                 for lo in range(0, int((sizes == dim).sum()), 2000):
                     batch = whole.take(pa.array(np.flatnonzero(sizes == dim)[lo : lo + 2000]))
                     unit = _unit(_matrix(batch.column(2)))
-                    codes = bucket_codes(unit, tables) * 4096 + int(dim) % 4096
+                    planned, rotations = plan_tables(distinct, int(dim))
+                    codes = bucket_codes(unit, tables or planned, rotations) * 4096 + int(dim) % 4096
                     n, per = codes.shape
                     take = pa.array(np.repeat(np.arange(n), per))
                     packed = pa.array([u.tobytes() for u in unit], pa.binary())
@@ -157,7 +179,7 @@ def _links(threshold: float):
 
 
 def near_duplicate_vectors(
-    df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, tables: int = TABLES
+    df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, tables: int | None = None
 ) -> DataFrame:
     """Rows (id, n_links, component_id, kept), one for each row of df.
 
@@ -175,8 +197,8 @@ def near_duplicate_vectors(
     reps = cut(
         group_values(good, ["v"], {"rep": F.min("id"), "copies": F.count(F.lit(1))}, {"rep": F.min("rep"), "copies": F.sum("copies")}), "vectors"
     )
-    classes = reps.select("rep", "copies", "v").distinct()
-    hashed = classes.mapInArrow(lean(_hash_rows(tables)), "key long, rep long, copies long, unit binary, codes binary")
+    classes = cut(reps.select("rep", "copies", "v").distinct(), "classes")
+    hashed = classes.mapInArrow(lean(_hash_rows(classes.count(), tables)), "key long, rep long, copies long, unit binary, codes binary")
     hashed = cut(hashed, "buckets")
     dealt = split_hot(hashed, "key", "rep", BLOCK, hashed.count()).repartition("key", "_b1", "_b2").sortWithinPartitions("key", "_b1", "_b2")
     found = cut(dealt.mapInPandas(lean(_links(threshold)), "a long, b long, n long"), "links")
