@@ -1,6 +1,8 @@
 """Exact top-k inner-product search by norm buckets (local thresholds, coordinate or length pruning).
 
-Queries go in blocks, candidates in parts; each (query block, part) is one sorted stream:
+The longest vectors are searched first and give each query a bound; queries of like reach (bound over length)
+go in blocks, candidates in parts, and a vector is sent to those blocks only that its length
+can reach. Each (query block, part) is one sorted stream:
 first the block's queries, then the part's candidates, longest vectors first. A bucket
 of similar lengths has for each query the local threshold t = bound / (|q| * longest),
 `bound` being the query's k-th score so far: t > 1 ends the query, a low t prunes by
@@ -17,8 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.llm.common import cut, lean
+
 #: Queries of one block, and candidates of one part, at most (about).
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 8192
+#: Longest vectors that all queries meet first.
+PILOT = 4096
 PART_ROWS = 50_000
 #: Candidates of a bucket at most; a bucket spans lengths down to RATIO of its longest.
 BUCKET = 2048
@@ -86,8 +92,10 @@ class _Best:
 
 
 def products(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Integer products; by floating point where every partial sum is below 2 ** 53."""
+    """Integer products; by floating point where every partial sum is below 2 ** 53. Scores may not pass 64 bits: OverflowError."""
     top = float(np.abs(vectors).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, len(q))
+    if top >= 2**63:
+        raise OverflowError("inner products beyond 64 bits")
     if top < 2**53:
         return (vectors.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
     return vectors @ q
@@ -105,19 +113,19 @@ def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> Dat
 
 def _search(k: int):
     def run(batches):
-        at, best, held = None, None, []
+        at, best, held, asked = None, None, [], []
 
         def flush(done: bool):
             nonlocal held
-            rows = [r for pdf in held for r in zip(pdf["id"], pdf["v"])]
-            held, start = [], 0
-            while rows[start:]:
-                first = np.linalg.norm(np.asarray(rows[start][1], dtype=np.float64))
-                stop = start + 1
-                while stop < len(rows) and stop - start < BUCKET and np.linalg.norm(rows[stop][1]) >= RATIO * first:
-                    stop += 1
-                best.bucket(np.array([r[0] for r in rows[start:stop]]), np.stack([r[1] for r in rows[start:stop]]).astype(np.int64))
-                start = stop
+            if held:
+                ids, lengths = (np.concatenate([pdf[c].to_numpy() for pdf in held]) for c in ("id", "norm"))
+                vectors = np.stack([v for pdf in held for v in pdf["v"]]).astype(np.int64)
+                held, start = [], 0
+                while start < len(ids):
+                    similar = np.searchsorted(-lengths, -RATIO * RATIO * lengths[start], side="right")  # norm is the squared length
+                    stop = max(start + 1, min(int(similar), start + BUCKET))
+                    best.bucket(ids[start:stop], vectors[start:stop])
+                    start = stop
             return best.rows() if done else None
 
         for pdf in batches:
@@ -151,24 +159,45 @@ def top_k(df: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col: str =
 
     Defined cases: fewer candidates give fewer rows; zero vectors score 0 and take part;
     vectors of another dimension are no candidates; rows that repeat an id count once (the
-    smallest vector, component by component); an empty table gives no rows; further
-    columns are not read.
+    smallest vector, component by component); rows without id are left out; scores beyond 64 bits raise;
+    an empty table gives no rows; further columns are not read.
     """
     rows = integer_vectors(df, id_col, vec_col, scale).groupBy("id").agg(F.min("v").alias("v"), F.min_by("norm", "v").alias("norm"))
-    rows = rows.withColumn("dim", F.size("v"))
-    n = rows.count()
-    n_queries = rows.where(is_query(F.col("id"))).count()
-    blocks, parts = max(1, math.ceil(n_queries / QUERY_BLOCK)), max(1, math.ceil(n / PART_ROWS), min(16, math.ceil(n / 2000)))
-    asks = rows.where(is_query(F.col("id"))).select(
-        "id", "v", "norm", "dim", F.lit(True).alias("ask"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
-    )
-    answers = rows.select(
-        "id", "v", "norm", "dim", F.lit(False).alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int").alias("part"),
-    )
-    stream = asks.unionByName(answers).repartition(max(1, min(blocks * parts, 4096)), "dim", "block", "part")
-    stream = stream.sortWithinPartitions("dim", "block", "part", F.desc("ask"), F.desc("norm"), "id").drop("norm")
-    found = stream.mapInPandas(_search(k), "query_id long, vec_id long, score long")
+    rows = cut(rows.withColumn("dim", F.size("v")), "vectors")
+    n, queries = rows.count(), rows.where(is_query(F.col("id")))
+    blocks, parts = max(1, math.ceil(queries.count() / QUERY_BLOCK)), max(1, math.ceil(n / PART_ROWS), min(16, math.ceil(n / 2000)))
+    reach = cut(_reach(rows, queries, blocks, k), "reach")
+    floors = {r["block"]: r["least"] for r in reach.groupBy("block").agg(F.min("reach").alias("least")).collect()}  # one row for each block
+    least = F.array(*[F.lit(float(floors.get(b, math.inf))) for b in range(blocks)])
+    asks = reach.select("id", "v", "norm", "dim", F.lit(True).alias("ask"), "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    reached = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.sqrt("norm") * (1 + 1e-9) >= F.get(least, b))
+    answers = rows.select("id", "v", "norm", "dim", F.lit(False).alias("ask"), F.explode(reached).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int").alias("part"))
+    found = _streams(asks, answers, blocks * parts, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _streams(asks: DataFrame, answers: DataFrame, groups: int, k: int) -> DataFrame:
+    """Rows (query_id, vec_id, score): each group's k best for each of its queries."""
+    stream = asks.unionByName(answers).repartition(max(1, min(groups, 4096)), "dim", "block", "part")
+    stream = stream.sortWithinPartitions("dim", "block", "part", F.desc("ask"), F.desc("norm"), "id")
+    return stream.mapInPandas(lean(_search(k)), "query_id long, vec_id long, score long")
+
+
+def _reach(rows: DataFrame, queries: DataFrame, blocks: int, k: int) -> DataFrame:
+    """The queries with `reach`, the least length that a vector needs to be among their k best, as far as the PILOT longest
+    vectors tell (else 0), and their block, by reach."""
+    pilot = rows.orderBy(F.desc("norm"), "id").limit(PILOT).withColumn("ask", F.lit(False))
+    deal = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    asks = queries.withColumn("ask", F.lit(True)).withColumn("block", deal).withColumn("part", F.lit(0))
+    answers = pilot.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.lit(0))
+    bounds = _streams(asks, answers, blocks, k).groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_bound"))
+    bound = F.when((F.col("_n") >= k) & (F.col("_bound") > 0) & (F.col("norm") > 0), F.col("_bound") / F.sqrt("norm"))
+    out = queries.join(bounds, "id", "left").withColumn("reach", F.coalesce(bound, F.lit(0.0)))
+    if blocks == 1:
+        return out.withColumn("block", F.lit(0))
+    steps = F.array(*[F.lit(b / blocks) for b in range(1, blocks)])
+    cuts = out.agg(F.percentile_approx("reach", steps, 10_000).alias("_cuts"))  # one row
+    # equal reaches fall to blocks by hash
+    place = F.size(F.filter("_cuts", lambda c: c < F.col("reach"))) + F.pmod(F.xxhash64("id"), F.greatest(F.size(F.filter("_cuts", lambda c: c == F.col("reach"))), F.lit(1)))
+    return out.crossJoin(F.broadcast(cuts)).withColumn("block", F.least(place, F.lit(blocks - 1)).cast("int")).drop("_cuts")

@@ -32,8 +32,9 @@ def brute_top(rows, k, asks):
     return out
 
 
-def test_top_k_by_brute_force(spark, monkeypatch):
-    for name, value in (("BUCKET", 32), ("PART_ROWS", 100), ("QUERY_BLOCK", 8)):
+@pytest.mark.parametrize("pilot", [4096, 20])
+def test_top_k_by_brute_force(spark, monkeypatch, pilot):
+    for name, value in (("BUCKET", 32), ("PART_ROWS", 100), ("QUERY_BLOCK", 8), ("PILOT", pilot)):
         monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(3)
     rows = [(i, (rng.standard_normal(8) * 10 ** rng.uniform(-2, 1)).tolist()) for i in range(400)]
@@ -48,6 +49,22 @@ def test_top_k_by_brute_force(spark, monkeypatch):
     assert {tuple(r) for r in topk.top_k(few, lambda i: i == 0).collect()} == {(0, 1, 1, 1024 * 1024)}
 
 
+def test_scores_beyond_64_bits_are_refused():
+    with pytest.raises(OverflowError):
+        topk.products(np.full((1, 2), 2**40), np.full(2, 2**30))
+
+
+def test_short_vectors_are_not_sent(spark, monkeypatch):
+    """Blocks whose bound a vector cannot reach don't get it."""
+    for name, value in (("QUERY_BLOCK", 8), ("PILOT", 40)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    rows = topk.integer_vectors(vectors(spark, [(i, (rng.standard_normal(8) * (10 if i < 60 else 0.01)).tolist()) for i in range(300)]), "vec_id", "embedding", 1024)
+    rows = rows.withColumn("dim", F.size("v"))
+    reach = topk._reach(rows, rows.where("id < 50"), 7, 5).collect()
+    assert all(r.reach > 1024 for r in reach) and len({r.block for r in reach}) >= 5
+
+
 def test_hadamard_is_a_rotation():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((5, 16))
@@ -55,20 +72,24 @@ def test_hadamard_is_a_rotation():
     assert np.allclose((x * x).sum(1), (y * y).sum(1)) and np.allclose(embed_dedup._hadamard(y.copy()) / 4, x)
 
 
-@pytest.mark.parametrize("cosine", [0.9, 0.95])
-def test_recall(cosine):
+@pytest.mark.parametrize("cosine, distinct", [(0.9, 1000), (0.95, 1000), (0.9, 10**6), (0.9, 10**8)])
+def test_recall(cosine, distinct):
+    plan = embed_dedup.plan_tables(distinct, 64)
+    assert distinct <= embed_dedup.CROWD * 128 ** plan[1]
     rng = np.random.default_rng(2)
     a = rng.standard_normal((2000, 64))
     a /= np.linalg.norm(a, axis=1)[:, None]
     b = rng.standard_normal((2000, 64))
     b -= (b * a).sum(1)[:, None] * a
     b /= np.linalg.norm(b, axis=1)[:, None]
-    x, y = embed_dedup.bucket_codes(a), embed_dedup.bucket_codes(cosine * a + math.sqrt(1 - cosine**2) * b)
+    x, y = embed_dedup.bucket_codes(a, *plan), embed_dedup.bucket_codes(cosine * a + math.sqrt(1 - cosine**2) * b, *plan)
     assert (x[:, :, None] == y[:, None, :]).any((1, 2)).mean() >= 0.97
 
 
-def test_near_duplicates_by_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [8, 0])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embed_dedup, "CROWD", crowd)  # none: as many rotations as for very large tables
     rng = np.random.default_rng(7)
     rows, base = [], rng.standard_normal(24)
     rows += [(i, (base + 0.1 * rng.standard_normal(24)).tolist()) for i in range(60)]  # a tight group
