@@ -187,7 +187,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     n-grams, between 0 and 1; a null id is scored, and counts as not held out; a label
     that is null or neither 0 nor 1 is not learned from; of several labels of one
     document the highest counts; no usable label, or one class only, gives all texts
-    the smoothed rate of label 1; an empty table gives no rows; further columns are not read.
+    the smoothed rate of label 1; texts of any length are scored whole; an empty table gives no rows; further columns are not read.
     """
     model = train(docs, labels, id_col, text_col, label_col)
     return score(docs, model, id_col, text_col).select(
@@ -196,7 +196,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, with their columns."""
+    """The rows of docs that the classifier doesn't reject, with their columns, whatever their names.
+
+    Null and empty texts have the score of a text without n-grams; texts of any length are scored whole; repeated
+    rows are scored alike; rows without id are scored; an empty table gives no rows; labels are used as in toxicity().
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
     names, at = docs.columns, docs.columns.index(text_col)
 

@@ -21,8 +21,9 @@ from loomwright.llm.common import group_values, salted
 
 #: Payloads below this size are always stored in full.
 LEAST_REVISIT = 100
-#: Records of one archive file at most.
-RECORDS_PER_FILE = 2000
+#: Payload bytes up to which records share a file, and how many do at most: files are bounded by bytes, some 128 MB, or hold
+#: one record.
+FILES = ((64 << 10, 2000), (4 << 20, 32), (None, 1))
 #: Compressed bytes inflated at once.
 STEP = 1 << 16
 EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
@@ -120,13 +121,23 @@ def parse_record(data: bytes) -> dict:
     }
 
 
-def write_archives(rows: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(rows: DataFrame, path: str, files: tuple[tuple[int | None, int], ...] = FILES) -> None:
     """Write rows (record_id, uri, payload binary, digest, size, refers_to) as archives under path.
 
-    refers_to names the record that a revisit repeats; null makes a response. No two
-    archives of a task hold more than records_per_file records each.
+    refers_to names the record that a revisit repeats; null makes a response. Records are
+    kept apart by their size, and a file holds so many of a class as its bytes allow (`files`).
     """
+    largest = rows.agg(F.max("size")).first()[0] if len(files) > 1 else 0
+    least = None
+    for n, (most, per_file) in enumerate(files):
+        if n and (largest or 0) <= least:
+            break
+        part = rows if least is None else rows.where(F.col("size") > least)
+        _write(part if most is None else part.where(F.coalesce("size", F.lit(0)) <= most), f"{path}/{n}", per_file)
+        least = most
 
+
+def _write(rows: DataFrame, path: str, per_file: int) -> None:
     def run(batches):
         for pdf in batches:
             packed = [
@@ -137,11 +148,14 @@ def write_archives(rows: DataFrame, path: str, records_per_file: int = RECORDS_P
 
     rows = rows.select("record_id", "uri", "payload", "digest", F.col("size").alias("size_"), "refers_to")
     out = rows.mapInPandas(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    out.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", records_per_file).text(path)
+    out.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", per_file).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives under path; columns of RECORDS."""
+    """All records of the archives under path; columns of RECORDS. A file is read in sequence, by one task.
+
+    Framing that does not hold raises WarcError; a record whose digests do not hold comes with valid = false.
+    """
 
     def run(batches):
         for pdf in batches:
@@ -155,7 +169,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if found:
                     yield pd.DataFrame(found)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
     return files.mapInPandas(run, RECORDS)
 
 
@@ -181,7 +195,7 @@ def page_id(col: str):
 
 
 def archive_pages(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Write each page as a record under path, read all back, and return the records.
+    """Write each page as a record under path, read all back, and return the records. Payloads of any length are kept whole.
 
     Defined cases: a null payload is empty; a null address is an empty one, and control
     characters in an address are percent-coded; rows that repeat the smallest id of
