@@ -17,22 +17,31 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
+_PLAIN = r"""CASE WHEN strpos({0}, '://') > 0 THEN lower(regexp_extract({0}, '^(.*?)://', 1)) || '://' || translate(regexp_extract(substr({0}, strpos({0}, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+  || CASE WHEN starts_with(regexp_extract(substr({0}, strpos({0}, '://') + 3), '^[^/?#]*([^#]*)', 1), '/') THEN '' ELSE '/' END || regexp_extract(substr({0}, strpos({0}, '://') + 3), '^[^/?#]*([^#]*)', 1) END"""
+
 ORACLES["op9_urls"] = r"""
 WITH RECURSIVE p AS (
-  SELECT page_id, url,
+  SELECT page_id, url, {plain_url} AS node,
          CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
-         regexp_extract(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) AS link,
-         regexp_extract(coalesce(html, ''), '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) AS meta
+         regexp_extract_all(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) AS links,
+         regexp_extract_all(coalesce(html, ''), '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) AS metas
   FROM pages
+), tags AS (
+  SELECT url, unnest(list_concat(list_transform(links, lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]*)', 1)),
+                                 list_transform(metas, lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>;]*)', 1)))) AS t FROM p WHERE url IS NOT NULL
 ), raw AS (
-  SELECT url AS a, replace(regexp_extract(link, '(?is)\bhref\s*=\s*["'']?([^"''\s>]*)', 1), '&amp;', '&') AS t FROM p WHERE url IS NOT NULL
-  UNION ALL
-  SELECT url, replace(regexp_extract(meta, '(?is)\burl\s*=\s*["'']?([^"''\s>;]*)', 1), '&amp;', '&') FROM p WHERE url IS NOT NULL
+  SELECT url, regexp_replace(t, '&(amp|#38|#x26);', '&', 'g') AS t, regexp_extract(url, '^([^:/?#]*://[^/?#]*)', 1) AS origin, regexp_extract(url, '^[^:/?#]*://[^/?#]*([^?#]*)', 1) AS path FROM tags WHERE t <> ''
+), whole AS (
+  SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:/?#]*:)', 1) || t WHEN starts_with(t, '/') THEN origin || t
+    WHEN starts_with(t, '?') THEN origin || path || t WHEN starts_with(t, '#') THEN url ELSE origin || '/' || regexp_replace(regexp_replace(path, '^/', ''), '[^/]*$', '') || t END AS w FROM raw
+), parts2 AS (
+  SELECT url, w, regexp_extract(w, '^([^:/?#]*://[^/?#]*)([^?#]*)(.*)$', 1) AS o, regexp_extract(w, '^([^:/?#]*://[^/?#]*)([^?#]*)(.*)$', 2) AS way, regexp_extract(w, '^([^:/?#]*://[^/?#]*)([^?#]*)(.*)$', 3) AS more FROM whole
+), dots AS (
+  SELECT url, CASE WHEN regexp_matches(way, '(^|/)\.\.?(/|$)') THEN o || list_reduce(string_split(way, '/'), lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN x = '.' THEN acc ELSE acc || '/' || x END)
+    || CASE WHEN regexp_matches(way, '/\.\.?$') THEN '/' ELSE '' END || more ELSE w END AS t FROM parts2
 ), edge AS (
-  SELECT DISTINCT a, b FROM (
-    SELECT a, CASE WHEN starts_with(t, '//') THEN regexp_extract(a, '^([^:/?#]*:)', 1) || t
-                   WHEN starts_with(t, '/') THEN regexp_extract(a, '^([^:/?#]*://[^/?#]*)', 1) || t ELSE t END AS b
-    FROM raw WHERE t <> '') WHERE strpos(b, '://') > 0 AND a <> b
+  SELECT DISTINCT a, b FROM (SELECT {plain_url} AS a, {plain_t} AS b FROM dots) WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b
 ), both_ways AS (
   SELECT a, b FROM edge UNION SELECT b, a FROM edge
 ), reach AS (
@@ -51,10 +60,10 @@ WITH RECURSIVE p AS (
   SELECT r.x AS u FROM reach r JOIN own o ON r.y = o.u GROUP BY r.x
   HAVING bool_or(coalesce(o.v, '') = 'block') AND NOT bool_or(coalesce(o.v, '') = 'allow')
 ), q AS (
-  SELECT page_id, url, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  SELECT page_id, node, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p
 ), r AS (
-  SELECT page_id, url, host, path,
+  SELECT page_id, node, host, path,
          CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
               WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
               WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
@@ -63,9 +72,9 @@ WITH RECURSIVE p AS (
 )
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-            WHEN url IN (SELECT u FROM spread) THEN 'block' ELSE 'allow' END AS verdict
+            WHEN node IN (SELECT u FROM spread) THEN 'block' ELSE 'allow' END AS verdict
 FROM r
-"""
+""".replace("{plain_url}", _PLAIN.format("url")).replace("{plain_t}", _PLAIN.format("t"))
 
 ORACLES["op2_topk"] = """
 WITH v AS (
