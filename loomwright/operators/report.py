@@ -89,6 +89,7 @@ def per_source_document(rows: DataFrame, base: DataFrame, method: str, seed: int
     per_fact: dict = {}
     for r in every.orderBy("fact", "source").collect():  # a few rows for each fact that is asked about
         per_fact.setdefault(str(r["fact"]), {})[r["source"]] = {"n": r["n"], "mean": r["mean"], "median": r["median"]}
+    # The names of the document's fields and of the sources.
     return {"method": method, "seed": seed, "n_facts": len(per_fact), "score_std": score_std, "atomic_src_cats": ["cooccur", "subj_occur", "obj_occur"], "per_fact": per_fact}
 
 

@@ -54,6 +54,7 @@ def _ranges(spark: SparkSession, path: str, start: int, dtype: np.dtype, n: int,
 
 
 def _score_info(folder: str) -> tuple[np.dtype, int, list[str]]:
+    # The file names and fields of a score folder.
     info = json.loads(_read(f"{folder}/info.json"))
     d = info["dtype"]
     dtype = np.dtype({"names": d["names"], "formats": d["formats"], "offsets": d["offsets"], "itemsize": d["itemsize"]})
