@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import uuid
 
 import numpy as np
@@ -45,6 +46,12 @@ def discard(df: DataFrame) -> None:
         hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished steps: it waits for the driver's collector, which a small heap seldom runs."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """Write one small file on any file system."""
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)

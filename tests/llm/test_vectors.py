@@ -1,8 +1,10 @@
 """Operators over vectors: exact top-k and near-duplicates."""
 
 import math
+import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import assert_same, connect
 from pyspark.sql import functions as F
@@ -114,3 +116,48 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, crowd):
     for i, _ in rows:
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (sum(a == i for a, _ in links), find(i), find(i) == i), i
     assert embed_dedup.near_duplicate_vectors(vectors(spark, [])).count() == 0
+
+
+def test_near_duplicates_in_sets_and_rounds(spark, monkeypatch):
+    """Buckets cut into blocks, searched by sets and dealt in many rounds give each link once."""
+    for name, value in (("BLOCK", 40), ("SMALL", 8), ("FINE", 2), ("ROUND", 100)):
+        monkeypatch.setattr(embed_dedup, name, value)
+    rng = np.random.default_rng(9)
+    bases = rng.standard_normal((3, 24))
+    rows = [(i, (bases[i % 3] + 0.02 * rng.standard_normal(24)).tolist()) for i in range(300)]
+    rows += [(1000 + i, rng.standard_normal(24).tolist()) for i in range(50)]
+    rows += [(2000 + i, rows[0][1]) for i in range(5)]
+    df = vectors(spark, rows).select("vec_id", F.col("embedding").cast("array<float>"))
+    got = {r.id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicate_vectors(df).collect()}
+    for i, _ in rows:
+        assert got[i] == ((0, i) if 1000 <= i < 2000 else (104, 0) if i >= 2000 or i % 3 == 0 else (99, i % 3)), i
+
+
+def test_a_round_sends_about_one_copy():
+    """All copies are sent, each in one of the rounds; in none of them many times the table."""
+    rng = np.random.default_rng(4)
+    n, x = 3000, rng.standard_normal((3000, 64)).astype(np.float32)
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.ones(n, np.int64)), pa.array([v.tobytes() for v in x], pa.binary())], ["rep", "copies", "vec"])
+    for total in (n, 10**7):
+        batch = next(embed_dedup._add_axes(total, None, "f4")([rows]))
+        tables, rotations = embed_dedup.plan_tables(total, 64)
+        per = tables * 2**rotations
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sent = [sum(len(b) for b in embed_dedup._deal(total, None, per, at, none)([batch])) for at in range(per)]
+        assert sum(sent) == per * n and max(sent) < 2 * n
+
+
+def test_disk_follows_the_table(spark, monkeypatch):
+    """What is written between the steps stays within the table's size, however many buckets a vector is in."""
+    written = []
+
+    def size(df, name, cut=embed_dedup.cut):
+        out = cut(df, name)
+        written.append(sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(out._scratch.removeprefix("file:")) for f in files))
+        return out
+
+    monkeypatch.setattr(embed_dedup, "cut", size)
+    x = np.random.default_rng(6).standard_normal((20_000, 64)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x))}))
+    assert embed_dedup.near_duplicate_vectors(df).where("n_links = 0 and kept").count() == len(x)
+    assert x.nbytes < sum(written) < 3 * x.nbytes
