@@ -205,12 +205,14 @@ def _axis_type(dim: int) -> str:
     return "u1" if _padded(dim) <= 128 else "u2" if _padded(dim) <= 32_768 else "u4"
 
 
-def _planned(total: int, dim: int, tables: int | None) -> tuple[int, int]:
-    planned, rotations = plan_tables(total, dim)
+def _planned(plan: tuple[int, int | None, int], dim: int) -> tuple[int, int]:
+    """Tables and rotations. plan: the number of vectors, the tables wished for, and CROWD as the driver has it."""
+    total, tables, crowd = plan
+    planned, rotations = plan_tables(total, dim, _by_dim(crowd, dim))
     return tables or planned, rotations
 
 
-def _add_axes(total: int, tables: int | None, dtype: str):
+def _add_axes(plan: tuple, dtype: str):
     """Adds the column `axes` to a batch whose vectors are in `vec`."""
 
     def run(batches):
@@ -218,26 +220,26 @@ def _add_axes(total: int, tables: int | None, dtype: str):
             sizes = pc.binary_length(whole.column("vec")).to_numpy() // np.dtype(dtype).itemsize
             for dim in np.unique(sizes):
                 batch = whole.take(pa.array(np.flatnonzero(sizes == dim)))
-                axes = best_axes(_unit(_matrix(batch.column("vec").to_pylist(), dtype)), *_planned(total, int(dim), tables))
+                axes = best_axes(_unit(_matrix(batch.column("vec").to_pylist(), dtype)), *_planned(plan, int(dim)))
                 yield batch.append_column("axes", _fixed(axes.reshape(len(batch), -1).astype(_axis_type(dim)))).append_column("dim", pa.array(np.full(len(batch), dim, np.int32)))
 
     return run
 
 
-def _keys(batch: pa.RecordBatch, total: int, tables: int | None):
+def _keys(batch: pa.RecordBatch, plan: tuple):
     """(dim, row numbers, their keys, one column for each bucket) of each dimension of a batch with `axes` and `dim`."""
     dims = batch.column("dim").to_numpy()
     for dim in np.unique(dims):
         own = np.flatnonzero(dims == dim)
         axes = _matrix(batch.column("axes").take(pa.array(own)).to_pylist(), _axis_type(dim)).astype(np.int64)
-        planned, rotations = _planned(total, int(dim), tables)
-        yield int(dim), own, _codes(axes.reshape(len(own), planned, rotations, 2), 2 * _padded(dim)) * 4096 + int(dim) % 4096
+        tables, rotations = _planned(plan, int(dim))
+        yield int(dim), own, _codes(axes.reshape(len(own), tables, rotations, 2), 2 * _padded(dim)) * 4096 + int(dim) % 4096
 
 
-def _count_keys(total: int, tables: int | None):
+def _count_keys(plan: tuple):
     def run(batches):
         for batch in batches:
-            for dim, _, keys in _keys(batch, total, tables):
+            for dim, _, keys in _keys(batch, plan):
                 key, n = np.unique(keys, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), dim, np.int32)), pa.array(n.astype(np.int64))], ["key", "dim", "n"])
 
@@ -251,12 +253,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) >> np.uint64(8)
 
 
-def _deal(total: int, tables: int | None, rounds: int, at: int, hot: tuple[np.ndarray, np.ndarray]):
+def _deal(plan: tuple, rounds: int, at: int, hot: tuple[np.ndarray, np.ndarray]):
     """Classes -> a row for each of this round's buckets and, in a crowded one, for each pair of blocks that a row is in."""
 
     def run(batches):
         for batch in batches:
-            for _, own, keys in _keys(batch, total, tables):
+            for _, own, keys in _keys(batch, plan):
                 key, row = keys.ravel(), np.repeat(own, keys.shape[1])
                 blocks = np.ones(len(key), dtype=np.int64)
                 if len(hot[0]):
@@ -302,14 +304,14 @@ def _near(unit: np.ndarray, single: np.ndarray, left: np.ndarray, right: np.ndar
                         yield x[near], y[near]
 
 
-def _bucket_links(unit: np.ndarray, axes: np.ndarray, key: int, blk: np.ndarray | None, threshold: float):
+def _bucket_links(unit: np.ndarray, axes: np.ndarray, key: int, blk: np.ndarray | None, threshold: float, small: int = SMALL, per_set: int = FINE):
     """Linked index pairs of one bucket whose first shared bucket it is, each once. blk: a pair of blocks, whose own pairs are left out."""
     single, dim = unit.astype(np.float32), unit.shape[1]
     width = 2 * _padded(dim)
-    if len(unit) <= SMALL:
+    if len(unit) <= small:
         sets, fine = [(None, np.arange(len(unit)))], None
     else:
-        fine = best_axes(single, *plan_tables(len(unit), dim, FINE), seed=SEED + 1)
+        fine = best_axes(single, *plan_tables(len(unit), dim, per_set), seed=SEED + 1)
         sets = _sets(fine, width)
     for code, rows in sets:
         left, right = (rows, None) if blk is None else (rows[blk[rows] == blk[0]], rows[blk[rows] != blk[0]])
@@ -334,7 +336,7 @@ def _sets(fine: np.ndarray, width: int):
             yield int(codes[order[s]]) + shift, order[s:e] // per
 
 
-def _links(threshold: float, total: int, tables: int | None, dtype: str):
+def _links(threshold: float, plan: tuple, dtype: str, small: int, fine: int):
     """Sorted buckets -> rows (a, b, n): a forest of links (n 0), and links counted (b 0)."""
 
     def run(batches):
@@ -351,9 +353,9 @@ def _links(threshold: float, total: int, tables: int | None, dtype: str):
                     if len(own) < 2:
                         continue
                     dim = int(size) // np.dtype(dtype).itemsize
-                    planned, rotations = _planned(total, dim, tables)
-                    axes = _matrix(packed[own], _axis_type(dim)).reshape(len(own), planned, rotations, 2)
-                    pairs = _bucket_links(_unit(_matrix(vec[own], dtype)), axes, key[s] // 4096, blk[own] if b1[s] != b2[s] else None, threshold)
+                    tables, rotations = _planned(plan, dim)
+                    axes = _matrix(packed[own], _axis_type(dim)).reshape(len(own), tables, rotations, 2)
+                    pairs = _bucket_links(_unit(_matrix(vec[own], dtype)), axes, key[s] // 4096, blk[own] if b1[s] != b2[s] else None, threshold, small, fine)
                     for i, j in pairs:
                         i, j = own[i], own[j]
                         np.add.at(counts, i, copies[j])
@@ -393,12 +395,13 @@ def near_duplicate_vectors(
     rows = salted(clean.mapInArrow(lean(_read), "id long, digest binary, vec binary"), "id", salts=SALTS)
     good = rows.where("digest is not null")
     total = clean.count()
+    plan = total, tables, CROWD
     # the salts of a class are the bits of a number, so that grouping needs no lists
     classes = good.groupBy("digest", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("salts"))
     names = "digest binary, vec binary, rep long, copies long, salts long, axes binary, dim int"
-    classes = cut(classes.mapInArrow(lean(_add_axes(total, tables, dtype)), names), "classes")
+    classes = cut(classes.mapInArrow(lean(_add_axes(plan, dtype)), names), "classes")
     sweep(spark)
-    sizes = classes.select("axes", "dim").mapInArrow(lean(_count_keys(total, tables)), "key long, dim int, n long")
+    sizes = classes.select("axes", "dim").mapInArrow(lean(_count_keys(plan)), "key long, dim int, n long")
     sizes = cut(sizes.groupBy("key").agg(F.max("dim").alias("dim"), F.sum("n").alias("n")), "sizes")
     most = F.greatest(F.lit(1), F.floor(F.lit(BLOCK) * 64 / F.greatest("dim", F.lit(64))))
     # a key for each BLOCK copies at most
@@ -411,8 +414,8 @@ def near_duplicate_vectors(
     schema = "key long, _b1 long, _b2 long, _blk long, rep long, copies long, vec binary, axes binary"
     found = []
     for at in range(rounds):
-        dealt = classes.mapInArrow(lean(_deal(total, tables, rounds, at, hot)), schema).repartition(parts, "key", "_b1", "_b2").sortWithinPartitions("key", "_b1", "_b2")
-        found.append(cut(dealt.mapInPandas(lean(_links(threshold, total, tables, dtype)), "a long, b long, n long"), "links"))
+        dealt = classes.mapInArrow(lean(_deal(plan, rounds, at, hot)), schema).repartition(parts, "key", "_b1", "_b2").sortWithinPartitions("key", "_b1", "_b2")
+        found.append(cut(dealt.mapInPandas(lean(_links(threshold, plan, dtype, SMALL, FINE)), "a long, b long, n long"), "links"))
         del dealt
         sweep(spark)
     found = spark.read.schema("a long, b long, n long").parquet(*[f._scratch for f in found])

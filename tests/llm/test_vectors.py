@@ -139,11 +139,12 @@ def test_a_round_sends_about_one_copy():
     n, x = 3000, rng.standard_normal((3000, 64)).astype(np.float32)
     rows = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.ones(n, np.int64)), pa.array([v.tobytes() for v in x], pa.binary())], ["rep", "copies", "vec"])
     for total in (n, 10**7):
-        batch = next(embed_dedup._add_axes(total, None, "f4")([rows]))
+        plan = total, None, embed_dedup.CROWD
+        batch = next(embed_dedup._add_axes(plan, "f4")([rows]))
         tables, rotations = embed_dedup.plan_tables(total, 64)
         per = tables * 2**rotations
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        sent = [sum(len(b) for b in embed_dedup._deal(total, None, per, at, none)([batch])) for at in range(per)]
+        sent = [sum(len(b) for b in embed_dedup._deal(plan, per, at, none)([batch])) for at in range(per)]
         assert sum(sent) == per * n and max(sent) < 2 * n
 
 
