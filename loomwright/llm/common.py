@@ -11,7 +11,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.plans.runtime import scratch_root
@@ -20,6 +20,8 @@ from loomwright.plans.runtime import scratch_root
 HOT_KEYS = 20_000
 #: Coarse hashes by which keys are counted first.
 COARSE = 65_536
+#: Bits of a sieve, and those of one page of it (what Spark's bitmap functions hold): 8 MB at most, whatever the number of keys.
+SIEVE, PAGE = 1 << 26, 1 << 15
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -85,6 +87,22 @@ def attach_min(df: DataFrame, key: str, value: str, out: str, salts: int = 64) -
     return rows.join(mins, [key, "_salt"]).drop("_salt")
 
 
+def sieve(df: DataFrame, value: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose `value` (a long) may be in the one column of `keys`, and those where it surely isn't.
+
+    What holds a few rows only of a table of texts needn't have all texts shuffled. A bitmap of the keys' hashes, SIEVE bits
+    at most, is broadcast; all keys pass, and with more of them more rows that are none. A null value is in either part.
+    """
+    spots = keys.select(F.pmod(F.xxhash64(keys[keys.columns[0]].cast("long")), F.lit(SIEVE)).alias("_spot")).distinct()
+    spots = spots.select(F.floor(F.col("_spot") / PAGE).alias("_page"), F.pmod("_spot", F.lit(PAGE)).alias("_at")).repartition("_page")
+    pages = F.broadcast(spots.groupBy("_page").agg(F.bitmap_construct_agg("_at").alias("_bits")))
+    spot = F.pmod(F.xxhash64(value), F.lit(SIEVE))
+    at = F.pmod(spot, F.lit(PAGE)).cast("int")
+    byte = F.conv(F.hex(F.substring(pages["_bits"], F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    meet = (F.floor(spot / PAGE) == pages["_page"]) & (F.getbit(byte, F.pmod(at, F.lit(8))) == 1)
+    return df.join(pages, meet, "left_semi"), df.join(pages, meet, "left_anti")
+
+
 @functools.cache
 def _libc():
     try:

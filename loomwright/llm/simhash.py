@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import (
-    compress, cut, group_values, lean, run_bounds, run_pairs, salted, split_hot, union_pairs, whole_runs,
+    compress, cut, group_values, lean, run_bounds, run_pairs, salted, sieve, split_hot, sweep, union_pairs, whole_runs,
 )
 from loomwright.llm.components import connected_components
 
@@ -208,12 +208,13 @@ def _edges(radius: int, words64: int, widths: list[int] | None, nearest: bool):
 def verified(links: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """The links (a, b) whose texts' sets of shingles have a Jaccard similarity of `similarity` or more.
 
-    Texts meet the ends of their links by a shuffle of both, as either grows with the
+    Texts that a sieve of the ends leaves meet the ends of their links by a shuffle of both, as either grows with the
     corpus; what goes on are sets of 32-bit hashes (the upper half of the 64 bits): of two texts of
     n shingles each some n * n / 2 ** 32 count as shared that are not, one in 35,000 pairs of 350.
     """
     ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), "a", "b"), F.struct(F.col("b").alias("id"), "a", "b"))).alias("e")).select("e.*")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts, _ = sieve(texts, texts["id"], ends.select("id"))
 
     def sets(batches):
         for batch in batches:
@@ -317,6 +318,7 @@ def untried(links: DataFrame, found: DataFrame, classes: DataFrame, df: DataFram
     if not total:
         return None
     texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    texts, _ = sieve(texts, texts["rep"], nodes.select("rep"))
     texts = texts.join(nodes.select("rep").distinct(), "rep", "left_semi")
 
     def sets(batches):
@@ -419,7 +421,9 @@ def simhash_components(
         found = connected_components(links)
     else:
         links = cut(links, "links")
+        sweep(df.sparkSession)
         found = connected_components(verified(links.select("a", "b").distinct(), df, id_col, text_col, shingle, similarity))
+        sweep(df.sparkSession)
         more = untried(links, found, classes, df, id_col, text_col, shingle, words64, radius, similarity)
         if more is not None:
             found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
@@ -446,5 +450,8 @@ def near_duplicates(
     are one document; an empty table gives no rows; other columns of any name are handed through.
     """
     marks = simhash_components(docs, id_col, text_col, shingle, words64, radius, similarity)
-    gone = marks.where("id <> component").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    further = cut(marks.where("id <> component").select("id").distinct(), "further")
+    gone = further.select(F.col("id").alias("_gone"))
+    sweep(docs.sparkSession)
+    some, others = sieve(docs, docs[id_col].cast("long"), further)
+    return others.union(some.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti"))

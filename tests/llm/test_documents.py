@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, packing, simhash, suffix, toxicity
+from loomwright.llm import bpe, common, packing, simhash, suffix, toxicity
 from loomwright.llm.components import connected_components
 from loomwright.llm.queries import QUERIES
 
@@ -336,6 +336,45 @@ def test_repeats_go(spark):
     assert rows[1].text == f"{p} tail" and rows[5].text == "clean  text " and rows[4].text is None
 
 
+def shuffled(spark):
+    """Bytes that all shuffles of the session have written so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    found = context.statusStore().executorList(False)
+    return sum(found.apply(n).totalShuffleWrite() for n in range(found.size()))
+
+
+def test_texts_that_hold_no_repeat_are_not_shuffled(spark, tmp_path):
+    rng = random.Random(31)
+    texts = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(200))) for i in range(1500)]
+    shared = " ".join(texts[3][1].split()[20:90])
+    texts += [(1500, f"before {shared} after"), (None, shared), (1501, None), (1502, texts[7][1]), (1503, f"{texts[8][1]} x")]
+    docs(spark, texts).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    size = sum(len(t or "") for _, t in texts)
+    for stage, left in ((suffix.drop_repeats, {1500: "before after", 1503: "x"}), (simhash.near_duplicates, {1500: f"before {shared} after"})):
+        before = shuffled(spark)
+        got = [(r.doc_id, r.text) for r in stage(df).collect()]
+        assert shuffled(spark) - before < 0.5 * size
+        want = [(i, left.get(i, t)) for i, t in texts if i not in ({1502} if left.get(1503) else {1502, 1503})]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_sieve(spark, monkeypatch):
+    rows = spark.range(20_000).selectExpr("if(id % 1000 = 7, null, id - 5000) as id", "id as n")
+    keys = spark.range(300).selectExpr("id * 61 - 5000 as k").unionByName(spark.createDataFrame([(5,)] * 50, "k long"))
+    want = {r.k for r in keys.collect()} & {r.id for r in rows.collect()}
+    for bits, most in ((1 << 26, 5), (1 << 15, 400), (1 << 8, 20_000)):
+        monkeypatch.setattr(common, "SIEVE", bits)
+        some, others = common.sieve(rows, rows["id"], keys)
+        some, others = some.collect(), others.collect()
+        assert {r.id for r in some} >= want and not want & {r.id for r in others}
+        assert sorted(r.n for r in some + others) == list(range(20_000))
+        assert len(some) <= len(want) + most
+    some, others = common.sieve(rows, rows["id"], keys.limit(0))
+    assert some.count() == 0 and others.count() == 20_000
+
+
 # -- packing --------------------------------------------------------------------
 
 
