@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,10 @@ from loomwright.functions.text import LONG_WORD, words
 
 #: Queries are broadcast to the postings up to this many (query, token) rows, else joined by shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Numbers of query vectors that a task holds, scores that it makes at a time, and queries that one product takes.
+HELD, SCORES, WIDTH = 1 << 22, 1 << 20, 4096
+#: Contrasts of one method that a task of `stream_correlations` holds, and bytes of vectors that are handed on as one row.
+COLUMNS, PACK = 1 << 24, 1 << 16
 
 
 def term_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -70,44 +77,88 @@ def dense(train: DataFrame, pairs: DataFrame, sparse: DataFrame) -> DataFrame:
     return rows.select("train_idx", "pair_idx", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("score_good", "score_bad", "delta_i")])
 
 
-def vector_scores(train: DataFrame, queries: DataFrame, unit: bool = True, block: int = 1024, transform: np.ndarray | None = None, digits: int = 6, part: int = 50_000) -> DataFrame:
-    """train (train_idx, vec), queries (query_idx, vec) -> rows (train_idx, query_idx, score): products of
-    (unit) vectors, transformed first if a matrix is given.
+def _dim(vectors: DataFrame, column: str) -> int:
+    """Length of the first vector; 1 of none."""
+    row = vectors.select(F.size(column)).first()
+    return max(1, row[0] if row else 1)
+
 
-    Blocks of queries meet parts of the training rows: each (block, part) is a stream that
-    begins with the block's queries, so a task holds `block` of them and a batch of rows.
+def _meetings(train: DataFrame, asks: DataFrame, dim: int, block: int | None, part: int) -> DataFrame:
+    """train (train_idx, vec), asks (id, vec) -> a stream in which blocks of asks meet parts of the rows: each (block, part)
+    begins with the block's asks.
+
+    A block is as many asks as a task can hold, so rows are handed out once up to HELD numbers of asks, and seldom more.
     """
-    blocks = max(1, -(-queries.count() // block))
+    block = block or max(1, HELD // dim)
+    blocks = max(1, -(-asks.count() // block))
     parts = max(1, -(-train.count() // part), train.sparkSession.sparkContext.defaultParallelism // blocks)
-    asks = queries.select(
-        F.col("query_idx").cast("long").alias("id"), "vec", F.lit(True).alias("ask"), F.pmod(F.xxhash64("query_idx"), F.lit(blocks)).cast("int").alias("block"),
+    asks = asks.select(
+        F.col("id").cast("long").alias("id"), "vec", F.lit(True).alias("ask"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
     )
     rows = train.select(
         F.col("train_idx").cast("long").alias("id"), "vec", F.lit(False).alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
         F.pmod(F.xxhash64("train_idx"), F.lit(parts)).cast("int").alias("part"),
     )
-    stream = asks.unionByName(rows).repartition(min(blocks * parts, 4096), "block", "part").sortWithinPartitions("block", "part", F.desc("ask"))
+    return asks.unionByName(rows).repartition(min(blocks * parts, 4096), "block", "part").sortWithinPartitions("block", "part", F.desc("ask"))
+
+
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def _met(batches):
+    """Runs of a stream of `_meetings`: (whether a (block, part) begins, its asks' ids and vectors, ids and vectors of some of its rows)."""
+    at, asked, q = None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block, part, ids, ask = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "part", "id", "ask"))
+        key = block.astype(np.int64) << 32 | part
+        edges = np.flatnonzero((np.diff(key) != 0) | np.diff(ask)) + 1
+        for lo, hi in pairwise([0, *edges.tolist(), batch.num_rows]):
+            if key[lo] != at:
+                at, asked, q = key[lo], [], None
+            run = ids[lo:hi], _matrix(batch.column("vec").slice(lo, hi - lo))
+            if ask[lo]:
+                asked.append(run)
+            elif asked or q is not None:
+                begins = q is None
+                if begins:
+                    q, asked = tuple(np.concatenate(c) for c in zip(*asked, strict=True)), []
+                yield begins, *q, *run
+
+
+def _rounded(s: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded in place, without negative zeros."""
+    np.round(s, digits, out=s)
+    s += 0.0
+    return s
+
+
+def vector_scores(
+    train: DataFrame, queries: DataFrame, unit: bool = True, block: int | None = None, transform: np.ndarray | None = None, digits: int = 6, part: int = 50_000
+) -> DataFrame:
+    """train (train_idx, vec), queries (query_idx, vec) -> rows (train_idx, query_idx, score): products of
+    (unit) vectors, transformed first if a matrix is given.
+
+    Blocks of queries meet parts of the training rows; a task holds one block's vectors, a batch of rows and SCORES scores.
+    """
+    stream = _meetings(train, queries.select(F.col("query_idx").alias("id"), "vec"), _dim(queries, "vec"), block, part)
 
     def run(batches):
-        at, asked, q, ids = None, [], None, None
-        for pdf in batches:
-            for key, group in pdf.groupby(["block", "part"], sort=False):
-                if key != at:
-                    at, asked, q = key, [], None
-                if group["ask"].any():
-                    asked.append(group[group["ask"]])
-                rest = group[~group["ask"]]
-                if not len(rest) or not (asked or q is not None):
-                    continue
-                if q is None:
-                    every = pd.concat(asked)
-                    ids, q = every["id"].to_numpy(), _prepared(np.stack(every["vec"].to_list()).astype(np.float64), unit, transform)
-                x = _prepared(np.stack(rest["vec"].to_list()).astype(np.float64), unit, transform)
-                s = np.round(x @ q.T, digits) + 0.0
-                yield pd.DataFrame({"train_idx": np.repeat(rest["id"].to_numpy(), len(ids)), "query_idx": np.tile(ids, len(rest)), "score": s.ravel()})
-
-    return stream.mapInPandas(run, "train_idx long, query_idx long, score double")
+        for begins, ids, vectors, own, x in _met(batches):
+            if begins:
+                q = _prepared(vectors, unit, transform)
+            x = _prepared(x, unit, transform)
+            for c in range(0, len(ids), WIDTH):
+                some = ids[c : c + WIDTH]
+                step = max(1, SCORES // len(some))
+                for r in range(0, len(x), step):
+                    s = _rounded(x[r : r + step] @ q[c : c + WIDTH].T, digits)
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (np.repeat(own[r : r + step], len(some)), np.tile(some, len(s)), s.ravel())], ["train_idx", "query_idx", "score"])
+
+    return stream.mapInArrow(run, "train_idx long, query_idx long, score double")
 
 
 def _prepared(x: np.ndarray, unit: bool, transform: np.ndarray | None) -> np.ndarray:
@@ -190,8 +241,67 @@ def ekfac_transform(train: DataFrame, rows: int, cols: int, damp: float = 0.1, p
     return (basis * scale) @ basis.T @ random_projection(rows * cols, projection, seed)
 
 
+class Best:
+    """The k first rows of each of `groups` groups, by a key (upwards) and the smaller id, of rows that come in slices."""
+
+    def __init__(self, groups: int, k: int, columns: int):
+        self.k, self.room = k, max(groups * k, SCORES)
+        self.rows = [np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0)] * (1 + columns)]
+        self.held, self.n = [], 0
+        self.key, self.id = np.full(groups, np.inf), np.full(groups, np.iinfo(np.int64).max)
+
+    def add(self, ids: np.ndarray, key: np.ndarray, columns: list[np.ndarray]) -> None:
+        """key and columns: a line for each id, a column for each group."""
+        near = key <= self.key
+        near &= (key < self.key) | (ids[:, None] < self.id)
+        r, g = np.nonzero(near)
+        if len(r):
+            self.held.append([g, ids[r], key[r, g], *[c[r, g] for c in columns]])
+            self.n += len(r)
+            if self.n >= self.room or np.isinf(self.key[0]):
+                self.first()
+
+    def first(self) -> list[np.ndarray]:
+        """Arrays (group, id, key, columns) of what is first by now."""
+        if self.held:
+            rows = [np.concatenate(c) for c in zip(self.rows, *self.held, strict=True)]
+            order = np.lexsort((rows[1], rows[2], rows[0]))
+            group = rows[0][order]
+            place = np.arange(len(order)) - np.searchsorted(group, group)
+            self.rows = [c[order[place < self.k]] for c in rows]
+            last = place[place < self.k] == self.k - 1
+            self.key[self.rows[0][last]], self.id[self.rows[0][last]] = self.rows[2][last], self.rows[1][last]
+            self.held, self.n = [], 0
+        return self.rows
+
+
+CONTRAST = "train_idx long, pair_idx long, score_good double, score_bad double, delta_i double"
+
+
+def contrast_batch(train_idx, pair_idx, good, bad, delta) -> pa.RecordBatch:
+    names = [c.split()[0] for c in CONTRAST.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in (train_idx, pair_idx, good, bad, delta)], names)
+
+
+def _pair_meetings(train: DataFrame, pairs: DataFrame, block: int | None, part: int) -> DataFrame:
+    asks = pairs.select(F.col("pair_idx").alias("id"), F.concat("vec_good", "vec_bad").alias("vec"))
+    return _meetings(train, asks, 2 * _dim(pairs, "vec_good"), block, part)
+
+
+def _contrasts(batches, unit: bool, transform: np.ndarray | None, digits: int):
+    """Slices of a stream of `_pair_meetings`: (whether a (block, part) begins, pairs, rows, good, bad and contrast by row and pair)."""
+    for begins, ids, vectors, own, x in _met(batches):
+        if begins:
+            q = [_prepared(v, unit, transform) for v in np.split(vectors, 2, axis=1)]
+        x = _prepared(x, unit, transform)
+        step = max(1, SCORES // len(ids))
+        for r in range(0, len(x), step):
+            good, bad = (_rounded(x[r : r + step] @ s.T, digits) for s in q)
+            yield begins and r == 0, ids, own[r : r + step], good, bad, _rounded(good - bad, digits)
+
+
 def stream_top_k(
-    train: DataFrame, pairs: DataFrame, k: int, side: str = "contrast", unit: bool = True, transform: np.ndarray | None = None, block: int = 512, part: int = 50_000, digits: int = 6
+    train: DataFrame, pairs: DataFrame, k: int, side: str = "contrast", unit: bool = True, transform: np.ndarray | None = None, block: int | None = None, part: int = 50_000, digits: int = 6
 ) -> DataFrame:
     """train (train_idx, vec), pairs (pair_idx, vec_good, vec_bad) -> each pair's first k rows (train_idx, pair_idx,
     score_good, score_bad, delta_i, rank) under a side.
@@ -202,62 +312,122 @@ def stream_top_k(
     from loomwright.operators.rank import SIDES, top_k
 
     column, ascending = SIDES[side]
-    at = {"score_good": 0, "score_bad": 1, "delta_i": 2}[column]
-    blocks = max(1, -(-pairs.count() // block))
-    parts = max(1, -(-train.count() // part), train.sparkSession.sparkContext.defaultParallelism // blocks)
-    asks = pairs.select(
-        F.col("pair_idx").cast("long").alias("id"), F.concat("vec_good", "vec_bad").alias("vec"), F.lit(True).alias("ask"), F.pmod(F.xxhash64("pair_idx"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
-    )
-    rows = train.select(
-        F.col("train_idx").cast("long").alias("id"), "vec", F.lit(False).alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.pmod(F.xxhash64("train_idx"), F.lit(parts)).cast("int").alias("part"),
-    )
-    stream = asks.unionByName(rows).repartition(min(blocks * parts, 4096), "block", "part").sortWithinPartitions("block", "part", F.desc("ask"))
+    at = ("score_good", "score_bad", "delta_i").index(column)
+
+    def done(ids, best):
+        group, own, _, good, bad, delta = best.first()
+        return contrast_batch(own, ids[group], good, bad, delta)
 
     def run(batches):
-        key, asked, ids, q, best = None, [], None, None, []
+        best = pairs_of = None
+        for begins, ids, own, *scores in _contrasts(batches, unit, transform, digits):
+            if begins:
+                if best is not None:
+                    yield done(pairs_of, best)
+                best, pairs_of = Best(len(ids), k, 3), ids
+            best.add(own, scores[at] if ascending else -scores[at], scores)
+        if best is not None:
+            yield done(pairs_of, best)
 
-        def done():
-            found = [(np.full(len(b[0]), p), *b) for p, b in zip(ids, best, strict=True) if len(b[0])]
-            cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0)] * 5
-            return pd.DataFrame(dict(zip(("pair_idx", "train_idx", "score_good", "score_bad", "delta_i"), cols, strict=True)))
+    return top_k(_pair_meetings(train, pairs, block, part).mapInArrow(run, CONTRAST), k, side)
 
-        for pdf in batches:
-            for now, group in pdf.groupby(["block", "part"], sort=False):
-                if now != key:
-                    if q is not None:
+
+def stream_means(train: DataFrame, pairs: DataFrame, unit: bool = True, transform: np.ndarray | None = None, block: int | None = None, part: int = 50_000, digits: int = 6) -> DataFrame:
+    """train (train_idx, vec), pairs (pair_idx, vec_good, vec_bad) -> rows (train_idx, v): each row's mean contrast over all pairs,
+    summed as the contrasts are made; one number for each row and block of pairs is written."""
+
+    def run(batches):
+        for _, ids, own, _, _, delta in _contrasts(batches, unit, transform, digits):
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(delta.sum(axis=1)), pa.array(np.full(len(own), len(ids)))], ["train_idx", "s", "n"])
+
+    sums = _pair_meetings(train, pairs, block, part).mapInArrow(run, "train_idx long, s double, n long")
+    return sums.groupBy("train_idx").agg((F.sum("s") / F.sum("n")).alias("v"))
+
+
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    return _prepared(x, True, None)
+
+
+def sign_vectors(x: np.ndarray) -> np.ndarray:
+    return np.sign(x)
+
+
+def _packed(df: DataFrame, size: int) -> DataFrame:
+    """Up to `size` rows as one: the numbers of each column (float64 or float32 arrays, longs) as bytes."""
+    names = df.columns
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                some = [batch.column(c).slice(at, size) for c in names]
+                flat = [(c.flatten() if pa.types.is_list(c.type) else c).to_numpy(zero_copy_only=False) for c in some]
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in flat], names)
+
+    return df.mapInArrow(run, ", ".join(f"{c} binary" for c in names))
+
+
+def _mean_ranks(v: np.ndarray, digits: int) -> np.ndarray:
+    """Ranks from 1 of values rounded to `digits`, ties sharing their mean: by counts of the values in a range, if it is narrow."""
+    low, high = (v.min(), v.max()) if len(v) else (0.0, 0.0)
+    if (high - low) * 10.0**digits <= max(8 * len(v), 1 << 16):
+        at = np.rint((v - low) * 10.0**digits).astype(np.int64)
+        counts = np.bincount(at)
+    else:
+        _, at, counts = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(counts) - (counts - 1) / 2)[at]
+
+
+def _correlation(a: np.ndarray, b: np.ndarray) -> float:
+    a, b = a - a.mean(), b - b.mean()
+    norm = np.sqrt((a @ a) * (b @ b))
+    return float(np.round(a @ b / norm, 6)) if norm > 0 else float("nan")
+
+
+def stream_correlations(train: DataFrame, pairs: DataFrame, methods=(unit_vectors, sign_vectors), digits: int = 6) -> DataFrame:
+    """train (train_idx, vec), pairs (pair_idx, vec_good, vec_bad) -> rows (pair_idx, pearson, spearman) of two methods' contrasts
+    over all training rows. A method prepares vectors for the product.
+
+    A rank needs all contrasts of its pair, so a task takes some pairs and reads all rows, packed, from the shared folder: contrasts
+    are neither written nor shuffled. It holds COLUMNS of either method (with more rows than that, those of one pair).
+    """
+    from loomwright.plans.runtime import materialize
+
+    n, dim = train.count(), _dim(train, "vec")
+    kind = train.schema["vec"].dataType.elementType.typeName()
+    dtype = {"float": np.float32, "double": np.float64}[kind]
+    count, group = pairs.count(), max(1, COLUMNS // max(1, n))
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(count, cores), min(-(-count // group), 4 * cores))
+    rows = materialize(_packed(train.select("vec"), max(1, PACK // (dim * dtype().itemsize)))).coalesce(1)
+    left = pairs.select(F.col("pair_idx").cast("long").alias("pair_idx"), *[F.col(c).cast(f"array<{kind}>") for c in ("vec_good", "vec_bad")])
+    left = _packed(left.repartition(tasks), min(group, max(1, -(-count // tasks))))
+
+    def run(batches):
+        ids, sides, held, at = b"", None, None, 0
+
+        def done():
+            found = [(_correlation(a[:at], b[:at]), _correlation(*(_mean_ranks(v[:at], digits) for v in (a, b)))) for a, b in zip(*held, strict=True)]
+            cols = [np.array(c) for c in zip(*found, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), *map(pa.array, cols)], ["pair_idx", "pearson", "spearman"])
+
+        for batch in batches:
+            for own, good, bad, vec in zip(*(batch.column(c) for c in ("pair_idx", "vec_good", "vec_bad", "vec")), strict=True):
+                if own.as_buffer() != ids:
+                    if held:
                         yield done()
-                    key, asked, q = now, [], None
-                if group["ask"].any():
-                    asked.append(group[group["ask"]])
-                rest = group[~group["ask"]]
-                if not len(rest) or not asked:
-                    continue
-                if q is None:
-                    every = pd.concat(asked)
-                    both = np.stack(every["vec"].to_list()).astype(np.float64)
-                    half = both.shape[1] // 2
-                    ids, q = every["id"].to_numpy(), [_prepared(x, unit, transform) for x in (both[:, :half], both[:, half:])]
-                    best = [[np.zeros(0, np.int64), *[np.zeros(0)] * 3] for _ in ids]
-                x, own = _prepared(np.stack(rest["vec"].to_list()).astype(np.float64), unit, transform), rest["id"].to_numpy()
-                good, bad = (np.round(x @ s.T, digits) + 0.0 for s in q)
-                scores = (good, bad, np.round(good - bad, digits) + 0.0)
-                order = scores[at] if ascending else -scores[at]
-                for p, held in enumerate(best):
-                    mine = order[:, p]
-                    last = (held[1 + at][-1] if ascending else -held[1 + at][-1]) if len(held[0]) >= k else np.inf
-                    near = np.flatnonzero(mine <= last)
-                    if not len(near):
-                        continue
-                    new = [np.concatenate([h, v]) for h, v in zip(held, (own[near], *(s[near, p] for s in scores)), strict=True)]
-                    first = np.lexsort((new[0], new[1 + at] if ascending else -new[1 + at]))[:k]
-                    best[p] = [c[first] for c in new]
-        if q is not None:
+                    ids, at = own.as_py(), 0
+                    vectors = [np.frombuffer(v.as_buffer(), dtype).astype(np.float64).reshape(len(ids) // 8, -1) for v in (good, bad)]
+                    sides = [[m(v) for v in vectors] for m in methods]
+                    held = [np.empty((len(ids) // 8, n)) for _ in methods]
+                x = np.frombuffer(vec.as_buffer(), dtype).astype(np.float64).reshape(-1, dim)
+                for m, (g, b), out in zip(methods, sides, held, strict=True):
+                    y = m(x)
+                    out[:, at : at + len(x)] = _rounded(_rounded(g @ y.T, digits) - _rounded(b @ y.T, digits), digits)
+                at += len(x)
+        if held:
             yield done()
 
-    found = stream.mapInPandas(run, "pair_idx long, train_idx long, score_good double, score_bad double, delta_i double")
-    return top_k(found, k, side)
+    return left.hint("shuffle_replicate_nl").crossJoin(rows).mapInArrow(run, "pair_idx long, pearson double, spearman double")
 
 
 def aggregate_queries(pairs: DataFrame) -> DataFrame:

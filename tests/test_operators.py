@@ -1,14 +1,17 @@
+import glob
 import itertools
 import math
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from loomwright.functions import metrics, text
 from loomwright.operators import chunks, cooccur, facts, probe, rank, sampling, scoring, stats, views
 from loomwright.plans.config import Attribution, Experiment
+from loomwright.plans.registry import QUERIES
 from loomwright.streaming import incremental
 
 
@@ -263,3 +266,38 @@ def test_config():
         e.output(42, "prec_at_k", "x")
     with pytest.raises(ValueError):
         Attribution(method="x")
+
+
+def vector_case(spark, n=90, m=7, dim=6, seed=8):
+    """Training rows and pairs with vectors whose products tie, and the contrasts of both methods by numpy."""
+    rng = np.random.default_rng(seed)
+    x, g, b = (np.round(rng.standard_normal((k, dim)), 1) + 0.05 for k in (n, m, m))
+    x[n // 2 :] = x[: n - n // 2]  # each row twice
+    train = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "train_idx long, vec array<double>")
+    pairs = spark.createDataFrame([(i, u.tolist(), v.tolist()) for i, (u, v) in enumerate(zip(g, b, strict=True))], "pair_idx long, vec_good array<double>, vec_bad array<double>")
+    scores = [[np.round(f(x) @ f(s).T, 6) for s in (g, b)] for f in (scoring.unit_vectors, scoring.sign_vectors)]
+    return train, pairs, [(*s, np.round(s[0] - s[1], 6)) for s in scores]
+
+
+def test_streamed_first_rows_by_numpy(spark):
+    """Of many blocks and parts, with ties within and across them, and of fewer rows than k."""
+    train, pairs, (scores, _) = vector_case(spark)
+    for side, at, sign in (("contrast", 2, -1), ("good", 0, -1), ("bad", 1, 1)):
+        for k in (5, 200):
+            got = {(r.pair_idx, r["rank"]): (r.train_idx, r.delta_i) for r in scoring.stream_top_k(train, pairs, k, side, block=2, part=20).collect()}
+            order = {p: np.lexsort((np.arange(90), sign * scores[at][:, p]))[:k] for p in range(7)}
+            assert got == {(p, j): (i, scores[2][i, p]) for p, o in order.items() for j, i in enumerate(o)}
+
+
+def table_rows(spark):
+    """Rows of each table in the shared folder."""
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    return {p: sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{p}/*.parquet")) for p in glob.glob(f"{root}/*")}
+
+
+@pytest.mark.parametrize("name", ["jaccard_topk"])
+def test_no_contrast_matrix_is_written(spark, sf_dir, name):
+    """Of 500 vectors and 25 pairs the matrix has 12,500 rows."""
+    before = table_rows(spark)
+    assert QUERIES[name](spark, sf_dir).count() > 0
+    assert sum(table_rows(spark).values()) - sum(before.values()) <= 2 * 500 + 25
