@@ -295,7 +295,7 @@ def table_rows(spark):
     return {p: sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{p}/*.parquet")) for p in glob.glob(f"{root}/*")}
 
 
-@pytest.mark.parametrize("name", ["jaccard_topk", "di_distribution"])
+@pytest.mark.parametrize("name", ["jaccard_topk", "di_distribution", "gradsim_prec_at_k"])
 def test_no_contrast_matrix_is_written(spark, sf_dir, name):
     """Of 500 vectors and 25 pairs the matrix has 12,500 rows."""
     before = table_rows(spark)
