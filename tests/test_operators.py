@@ -295,7 +295,7 @@ def table_rows(spark):
     return {p: sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{p}/*.parquet")) for p in glob.glob(f"{root}/*")}
 
 
-@pytest.mark.parametrize("name", ["jaccard_topk", "di_distribution", "gradsim_prec_at_k"])
+@pytest.mark.parametrize("name", ["jaccard_topk", "di_distribution", "gradsim_prec_at_k", "spearman_pearson"])
 def test_no_contrast_matrix_is_written(spark, sf_dir, name):
     """Of 500 vectors and 25 pairs the matrix has 12,500 rows."""
     before = table_rows(spark)
@@ -307,3 +307,18 @@ def test_streamed_means_by_numpy(spark):
     train, pairs, (scores, _) = vector_case(spark)
     got = {r.train_idx: r.v for r in scoring.stream_means(train, pairs, block=2, part=20).collect()}
     assert len(got) == 90 and all(abs(got[i] - v) < 1e-9 for i, v in enumerate(scores[2].mean(axis=1)))
+
+
+def test_streamed_correlations_by_ranks(spark, monkeypatch):
+    """Against ranks with shared ties; groups of one to all pairs, packs of one row to all; a pair of equal sides has no correlation."""
+    train, pairs, both = vector_case(spark)
+    same = pairs.where("pair_idx = 0").selectExpr("7L as pair_idx", "vec_good", "vec_good as vec_bad")
+    ranks = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    for columns, pack in ((1 << 24, 1 << 16), (200, 1000), (1, 1)):
+        monkeypatch.setattr(scoring, "COLUMNS", columns)
+        monkeypatch.setattr(scoring, "PACK", pack)
+        got = {r.pair_idx: (r.pearson, r.spearman) for r in scoring.stream_correlations(train, pairs.unionByName(same)).collect()}
+        assert len(got) == 8 and all(math.isnan(v) for v in got.pop(7))
+        for p, found in got.items():
+            a, b = (s[2][:, p] for s in both)
+            assert np.allclose(found, (np.corrcoef(a, b)[0, 1], np.corrcoef(ranks(a), ranks(b))[0, 1]), atol=1e-6)
