@@ -322,3 +322,21 @@ def test_streamed_correlations_by_ranks(spark, monkeypatch):
         for p, found in got.items():
             a, b = (s[2][:, p] for s in both)
             assert np.allclose(found, (np.corrcoef(a, b)[0, 1], np.corrcoef(ranks(a), ranks(b))[0, 1]), atol=1e-6)
+
+
+def test_rows_meet_all_queries_at_once(spark):
+    """2500 queries are held by one task, so rows are handed out once; scores leave in slices of SCORES at most."""
+    rng = np.random.default_rng(2)
+    x, q = rng.standard_normal((600, 4)), rng.standard_normal((2500, 4))
+    train, queries = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(v)], f"{n} long, vec array<double>") for v, n in ((x, "train_idx"), (q, "query_idx")))
+    stream = scoring._meetings(train, queries.withColumnRenamed("query_idx", "id"), 4, None, 50_000)
+    assert stream.where("not ask").count() == 600 and scoring._meetings(train, queries.withColumnRenamed("query_idx", "id"), 4, 1024, 50_000).where("not ask").count() == 1800
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = np.round(unit(x) @ unit(q).T, 6)
+    for block in (None, 700):
+        got = scoring.vector_scores(train, queries, block=block).toPandas()
+        assert len(got) == 600 * 2500 and len(got.drop_duplicates(["train_idx", "query_idx"])) == len(got)
+        assert np.abs(want[got["train_idx"], got["query_idx"]] - got["score"]).max() < 2e-6
+    batches = stream.coalesce(1).sortWithinPartitions("block", "part", F.desc("ask")).toArrow().to_batches(max_chunksize=500)
+    slices = [b.num_rows for b in scoring.scores_of(batches, True, None, 6)]
+    assert sum(slices) == 600 * 2500 and max(slices) <= scoring.SCORES
