@@ -30,6 +30,17 @@ def bm25(train: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     """train (train_idx, text), queries (query_idx, text) -> rows (train_idx, query_idx, score) of the pairs
     that share a token; all others score 0. idf is ln(1 + (N - df + 0.5) / (df + 0.5)).
 
+    Tasks that hold the queries' terms score the rows that they read; with too many terms, they meet by shuffle.
+    """
+    from loomwright.operators import postings
+
+    found = postings.index(train, queries, k1, b)
+    return bm25_shuffled(train, queries, k1, b) if found is None else postings.scores(*found)
+
+
+def bm25_shuffled(train: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """bm25 with any number of terms.
+
     Texts are read once: a row keeps its length and those of its tokens that a query holds,
     as it was read. Query terms, weighted by idf, meet its postings on the token; a token of many
     queries, or many rows, is no row of its own.
