@@ -15,7 +15,7 @@ from loomwright.operators import postings, scoring
 from loomwright.plans.registry import ORACLES, QUERIES
 
 DOCS, PASSAGES = 3000, 10
-STREAMED = ["cumulative_hits", "prec_at_k_exact", "seed_aggregate", "lift_at_k"]
+STREAMED = ["cumulative_hits", "prec_at_k_exact", "seed_aggregate", "lift_at_k", "norm_summary"]
 MEDIANS = ("norm_summary", "delta_summary")
 
 
