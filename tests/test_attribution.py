@@ -15,7 +15,7 @@ from loomwright.operators import postings, scoring
 from loomwright.plans.registry import ORACLES, QUERIES
 
 DOCS, PASSAGES = 3000, 10
-STREAMED = ["cumulative_hits", "prec_at_k_exact", "seed_aggregate", "lift_at_k", "norm_summary", "per_source_delta", "pooled_sources", "wilcoxon_statistic", "delta_summary", "verdict", "ratio_base_dx", "raw_score_moments", "topk_contrast", "topk_bad"]
+STREAMED = ["cumulative_hits", "prec_at_k_exact", "seed_aggregate", "lift_at_k", "norm_summary", "per_source_delta", "pooled_sources", "wilcoxon_statistic", "delta_summary", "verdict", "ratio_base_dx", "raw_score_moments", "topk_contrast", "topk_bad", "topk_good"]
 MEDIANS = ("norm_summary", "delta_summary")
 
 
